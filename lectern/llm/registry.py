@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_ledger
+from . import mixing, quality_ledger
 from .common import documents
 
 
 def queries() -> dict:
     return {
+        "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
         "op10_quality_ledger": lambda spark, sf_dir: quality_ledger.op10(documents(spark, sf_dir)),
     }
 
 
 def oracles() -> dict:
     return {
+        "op5_mixing": mixing.ORACLE,
         "op10_quality_ledger": quality_ledger.ORACLE,
     }
