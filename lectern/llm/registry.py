@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_ledger, secret_scan
+from . import mixing, quality_ledger, secret_scan, simhash
 from .common import documents
 
 
 def queries() -> dict:
     return {
         "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
+        "op7_simhash": lambda spark, sf_dir: simhash.op7(documents(spark, sf_dir)),
         "op8_secret_scan": lambda spark, sf_dir: secret_scan.op8(documents(spark, sf_dir)),
         "op10_quality_ledger": lambda spark, sf_dir: quality_ledger.op10(documents(spark, sf_dir)),
     }
