@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_ledger, secret_scan, simhash
+from . import bpe, language_id, mixing, quality_ledger, secret_scan, simhash
 from .common import documents
 
 
 def queries() -> dict:
     return {
         "op3_bpe": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir)),
+        "op4_language_id": lambda spark, sf_dir: language_id.op4(documents(spark, sf_dir)),
         "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
         "op7_simhash": lambda spark, sf_dir: simhash.op7(documents(spark, sf_dir)),
         "op8_secret_scan": lambda spark, sf_dir: secret_scan.op8(documents(spark, sf_dir)),
