@@ -62,31 +62,34 @@ class Pieces:
                 p = sp.id_to_piece(i)
                 if (body := p.removeprefix(START)).isalpha() and p == p.lower() or not body:
                     self.id[p] = i
-        self.longest = max(map(len, self.id))
+        # Every prefix of a piece, with the piece's id or -2 where it is only a prefix.
+        self.prefix = {p[:i]: -2 for p in self.id for i in range(1, len(p))} | self.id
         rank = {p: r for r, p in enumerate(self.id)}
         self.start = [0.0] * self.size
         total = sum(1 / (r + 100) for r in rank.values())
         for p, i in self.id.items():
             self.start[i] = 1 / (rank[p] + 100) / total
+        self.start.append(UNKNOWN)
 
     def lattice(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
         """Length and edges (from, to, piece; -1: a letter outside the vocabulary), by start."""
-        s, get, out = START + word, self.id.get, []
+        s, get, out = START + word, self.prefix.get, []
         n = len(s)
         for i in range(n):
-            if (k := get(s[i])) is None:
-                out.append((i, i + 1, -1))
-            else:
-                out.append((i, i + 1, k))
-            for j in range(i + 2, min(n, i + self.longest) + 1):
-                if (k := get(s[i:j])) is not None:
-                    out.append((i, j, k))
+            k = get(s[i], -1)
+            out.append((i, i + 1, k if k >= 0 else -1))
+            if k != -1:
+                for j in range(i + 2, n + 1):
+                    if (k := get(s[i:j])) is None:
+                        break
+                    if k >= 0:
+                        out.append((i, j, k))
         return n, out
 
     def expected(self, word: str) -> list[tuple[int, float]]:
         """Expected uses of each piece in a word, over all segmentations under the start distribution."""
         n, edges = self.lattice(word)
-        p = [*self.start, UNKNOWN]
+        p = self.start
         fwd, bwd = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         for i, j, k in edges:
             fwd[j] += fwd[i] * p[k]
