@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, mixing, quality_ledger, resharding, secret_scan, simhash
+from . import bpe, language_id, media, mixing, quality_ledger, resharding, secret_scan, simhash
 from .common import documents
 
 
 def queries() -> dict:
     return {
+        "op1_webp_media": lambda spark, sf_dir: media.op1(documents(spark, sf_dir)),
         "op2_resharding": lambda spark, sf_dir: resharding.op2(documents(spark, sf_dir)),
         "op3_bpe": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir)),
         "op4_language_id": lambda spark, sf_dir: language_id.op4(documents(spark, sf_dir)),

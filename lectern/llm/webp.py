@@ -162,6 +162,17 @@ def _entropy_image(bits: _Bits, width: int, height: int, top: bool) -> np.ndarra
     return np.array(out, dtype=np.uint32)
 
 
+def _packing(colours: int) -> int:
+    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+
+
+def _palette(coded: np.ndarray) -> tuple[int, np.ndarray]:
+    """Packing and the 256 colours (missing ones transparent black) from the coded steps between colours."""
+    table = np.zeros((256, 4), dtype=np.uint8)
+    table[: len(coded)] = np.cumsum(coded.view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8)
+    return _packing(len(coded)), table.view(np.uint32).ravel()
+
+
 def _read_transforms(bits: _Bits, width: int, height: int) -> tuple[list, int]:
     """The transforms in order of appearance, and the width of the coded image."""
     found: list = []
@@ -174,12 +185,8 @@ def _read_transforms(bits: _Bits, width: int, height: int) -> tuple[list, int]:
             across = -(-width >> block)
             found.append((kind, width, block, _entropy_image(bits, across, -(-height >> block), False).reshape(-1, across)))
         elif kind == PALETTE:
-            n = bits.read(8) + 1
-            parts = _entropy_image(bits, n, 1, False).view(np.uint8).reshape(n, 4)
-            table = np.zeros((256, 4), dtype=np.uint8)
-            table[:n] = np.cumsum(parts, axis=0, dtype=np.uint8)
-            pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            found.append((kind, width, pack, table.view(np.uint32).ravel()))
+            pack, table = _palette(_entropy_image(bits, bits.read(8) + 1, 1, False))
+            found.append((kind, width, pack, table))
             width = -(-width >> pack)
         else:
             found.append((kind, width, 0, None))
@@ -534,6 +541,7 @@ def _decode_lanes(lanes: _Lanes, ids: np.ndarray, width: np.ndarray, count: np.n
             v = out[t, :m]
             slot = np.where(cache_bits[:m] > 0, (v * np.uint32(CACHE_HASH)) >> np.minimum(shift[:m], 31), 0)
             cache[all_lanes[:m], slot] = v
+    lanes.pos[ids] = pos
     if (pos > lanes.end[ids]).any():
         raise Corrupt("an image ends early")
     return out
@@ -543,43 +551,61 @@ def _decode_lanes(lanes: _Lanes, ids: np.ndarray, width: np.ndarray, count: np.n
 LOCKSTEP_CELLS = 4_000_000
 
 
+def _lane_images(lanes: _Lanes, ids: np.ndarray, width: np.ndarray, height: np.ndarray, top: bool) -> dict[int, np.ndarray]:
+    """The next entropy-coded image of each lane; a top image with several prefix groups is left out."""
+    cache_bits = np.zeros(len(ids), dtype=np.int64)
+    has = lanes.read(ids, 1) == 1
+    cache_bits[has] = lanes.read(ids[has], 4)
+    rest = np.arange(len(ids))
+    if top:
+        rest = rest[lanes.read(ids, 1) == 0]
+    count = width * height
+    rest = rest[np.argsort(-count[rest], kind="stable")]
+    out = {}
+    while len(rest):
+        n = max(1, int(LOCKSTEP_CELLS // count[rest[0]]))
+        now, rest = rest[:n], rest[n:]
+        pixels = np.ascontiguousarray(_decode_lanes(lanes, ids[now], width[now], count[now], cache_bits[now]).T)
+        for row, i in zip(pixels, now):
+            out[int(ids[i])] = row[: count[i]].reshape(height[i], width[i])
+    return out
+
+
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """``decode`` of every file."""
-    out: list = [None] * len(files)
-    bodies = [_payload(f) for f in files]
-    lanes = _Lanes(bodies)
-    ids = np.arange(len(files))
-    if not len(ids):
+    if not files:
         return []
+    lanes = _Lanes([_payload(f) for f in files])
+    ids = np.arange(len(files))
     lanes.read(ids, 8)
     width, height = lanes.read(ids, 14) + 1, lanes.read(ids, 14) + 1
     if (lanes.read(ids, 4) >> 1).any():
         raise Corrupt("another version")
     coded = width.copy()
     transforms: dict[int, list] = {}
-    for i in np.flatnonzero((lanes.window(ids) & U64(1)) == 1):
-        bits = _Bits(bodies[i])
-        bits.pos = int(lanes.pos[i] - lanes.start[i])
-        transforms[i], coded[i] = _read_transforms(bits, int(width[i]), int(height[i]))
-        lanes.pos[i] = lanes.start[i] + bits.pos - 1
-    lanes.read(ids, 1)
-    cache_bits = np.zeros(len(ids), dtype=np.int64)
-    has = ids[lanes.read(ids, 1) == 1]
-    cache_bits[has] = lanes.read(has, 4)
-    many = lanes.read(ids, 1) == 1
-    for i in ids[many]:
-        out[i] = decode(files[i])
-    count = coded * height
-    rest = ids[~many]
-    rest = rest[np.argsort(-count[rest], kind="stable")]
-    while len(rest):
-        n = max(1, int(LOCKSTEP_CELLS // count[rest[0]]))
-        now, rest = rest[:n], rest[n:]
-        pixels = _decode_lanes(lanes, now, coded[now], count[now], cache_bits[now])
-        for k, i in enumerate(now):
-            img = np.ascontiguousarray(pixels[: count[i], k]).reshape(height[i], coded[i])
-            out[i] = _undo(img, transforms[i]) if i in transforms else img
-    return out
+    open_ = ids
+    while len(open_ := open_[lanes.read(open_, 1) == 1]):
+        kind = lanes.read(open_, 2)
+        for i, k in zip(open_.tolist(), kind.tolist()):
+            if k in [t[0] for t in transforms.setdefault(i, [])]:
+                raise Corrupt("a transform occurs twice")
+        for i in open_[kind == SUBTRACT_GREEN].tolist():
+            transforms[i].append((SUBTRACT_GREEN, int(coded[i]), 0, None))
+        for k in (PREDICTOR, CROSS_COLOUR):
+            if len(mine := open_[kind == k]):
+                block = lanes.read(mine, 3) + 2
+                found = _lane_images(lanes, mine, -(-coded[mine] >> block), -(-height[mine] >> block), False)
+                for i, b in zip(mine.tolist(), block.tolist()):
+                    transforms[i].append((k, int(coded[i]), b, found[i]))
+        if len(mine := open_[kind == PALETTE]):
+            n = lanes.read(mine, 8) + 1
+            found = _lane_images(lanes, mine, n, np.ones_like(n), False)
+            for i, k in zip(mine.tolist(), n.tolist()):
+                pack, table = _palette(found[i].ravel())
+                transforms[i].append((PALETTE, int(coded[i]), pack, table))
+                coded[i] = -(-coded[i] >> pack)
+    found = _lane_images(lanes, ids, coded, height, True)
+    return [_undo(found[i], transforms.get(i, ())) if i in found else decode(f) for i, f in enumerate(files)]
 
 
 # ---------------------------------------------------------------- encoder
@@ -867,9 +893,10 @@ def encode_many(words: np.ndarray, heights: np.ndarray, width: int, transform: b
         if transform == "green":
             choice[:] = 4
         if transform in (True, "palette"):
-            order = np.lexsort((words, own))
-            fresh = np.r_[True, (words[order][1:] != words[order][:-1]) | (own[order][1:] != own[order][:-1])]
-            colours = np.bincount(own[order][fresh], minlength=n)
+            key = own.astype(U64) << U64(32) | words
+            tables = np.sort(key)
+            tables = tables[np.r_[True, tables[1:] != tables[:-1]]]
+            colours = np.bincount((tables >> U64(32)).astype(np.int64), minlength=n)
             choice[(colours <= 256) & ((colours * 4 <= count) if transform is True else True)] = 3
     tokens_at = 100_000_000
     coded = words.copy()
@@ -892,27 +919,31 @@ def encode_many(words: np.ndarray, heights: np.ndarray, width: int, transform: b
     plain = ids[choice != 3]
     if len(plain):
         _entropy_coded(tokens, coded[(choice != 3)[own]], plain, count[plain], width, tokens_at, True)
-    for i in ids[choice == 3]:
-        _palette_coded(tokens, i, words[first[i] : first[i] + count[i]].reshape(-1, width), tokens_at)
+    if len(mine := ids[choice == 3]):
+        at = (choice == 3)[own]
+        _palette_coded(tokens, mine, key[at], tables[(choice == 3)[(tables >> U64(32)).astype(np.int64)]], colours[mine], count[mine], width, tokens_at)
     return [_riff(b) for b in tokens.packed(n)]
 
 
-def _palette_coded(tokens: _Tokens, i: int, img: np.ndarray, place: int) -> None:
-    table, index = np.unique(img, return_inverse=True)
-    n = len(table)
-    parts = table.view(np.uint8).reshape(n, 4)
+def _palette_coded(tokens: _Tokens, ids, key, tables, colours, count, width, place) -> None:
+    """Palettes of the images and their packed indices; ``key``: image << 32 | word, ``tables``: sorted distinct keys."""
+    first = np.cumsum(colours) - colours
+    index = (np.searchsorted(tables, key) - np.repeat(first, count)).astype(np.uint32)
+    parts = (tables & U64(0xFFFFFFFF)).astype(np.uint32).view(np.uint8).reshape(-1, 4)
     steps = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-    one = np.array([i])
-    tokens.add(one, 10, 1 | PALETTE << 1 | (n - 1) << 3, 11)
-    _entropy_coded(tokens, np.ascontiguousarray(steps).view(np.uint32).ravel(), one, np.array([n]), n, 11, False)
-    pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-    index = index.reshape(img.shape).astype(np.uint32)
-    if pack:
+    steps[first] = parts[first]
+    tokens.add(ids, 10, 1 | PALETTE << 1 | (colours - 1) << 3, 11)
+    _entropy_coded(tokens, np.ascontiguousarray(steps).view(np.uint32).ravel(), ids, colours, 1, 11, False)
+    packs = np.array([_packing(c) for c in colours])
+    for pack in range(4):
+        if not len(mine := np.flatnonzero(packs == pack)):
+            continue
+        rows = index[np.repeat(packs == pack, count)].reshape(-1, width)
         each = 1 << pack
-        index = np.pad(index, ((0, 0), (0, -index.shape[1] % each))).reshape(len(index), -1, each)
-        index = (index << (np.arange(each) * (8 >> pack)).astype(np.uint32)).sum(axis=2, dtype=np.uint32)
-    coded = (OPAQUE | index.astype(np.uint32) << np.uint32(8)).astype(np.uint32)
-    _entropy_coded(tokens, coded.ravel(), one, np.array([coded.size]), coded.shape[1], place, True)
+        rows = np.pad(rows, ((0, 0), (0, -width % each))).reshape(len(rows), -1, each)
+        rows = (rows << (np.arange(each) * (8 >> pack)).astype(np.uint32)).sum(axis=2, dtype=np.uint32)
+        coded = OPAQUE | rows << np.uint32(8)
+        _entropy_coded(tokens, coded.ravel().astype(np.uint32), ids[mine], count[mine] // width * rows.shape[1], rows.shape[1], place, True)
 
 
 def _riff(body: bytes) -> bytes:
