@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media, mixing, quality_ledger, resharding, secret_scan, simhash
+from . import backoff_lm, bpe, language_id, media, mixing, quality_ledger, resharding, secret_scan, simhash
 from .common import documents
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
         "op7_simhash": lambda spark, sf_dir: simhash.op7(documents(spark, sf_dir)),
         "op8_secret_scan": lambda spark, sf_dir: secret_scan.op8(documents(spark, sf_dir)),
+        "op9_backoff_lm": lambda spark, sf_dir: backoff_lm.op9(documents(spark, sf_dir)),
         "op10_quality_ledger": lambda spark, sf_dir: quality_ledger.op10(documents(spark, sf_dir)),
     }
 
