@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,17 @@ def local_session(cores: int | None = None, app: str = "lectern") -> SparkSessio
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (once per context)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lectern_shipped = True
