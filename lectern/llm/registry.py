@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff_lm, bpe, language_id, media, mixing, quality_ledger, resharding, secret_scan, simhash
+from . import backoff_lm, bpe, language_id, licence_scan, media, mixing, quality_ledger, resharding, secret_scan, simhash
 from .common import documents
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_bpe": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir)),
         "op4_language_id": lambda spark, sf_dir: language_id.op4(documents(spark, sf_dir)),
         "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
+        "op6_licence_scan": lambda spark, sf_dir: licence_scan.op6(documents(spark, sf_dir)),
         "op7_simhash": lambda spark, sf_dir: simhash.op7(documents(spark, sf_dir)),
         "op8_secret_scan": lambda spark, sf_dir: secret_scan.op8(documents(spark, sf_dir)),
         "op9_backoff_lm": lambda spark, sf_dir: backoff_lm.op9(documents(spark, sf_dir)),
@@ -23,5 +24,6 @@ def queries() -> dict:
 def oracles() -> dict:
     return {
         "op5_mixing": mixing.ORACLE,
+        "op6_licence_scan": licence_scan.oracle(),
         "op10_quality_ledger": quality_ledger.ORACLE,
     }
