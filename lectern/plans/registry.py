@@ -21,3 +21,10 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return keep
+
+
+def _load() -> None:
+    from . import queries_search  # noqa: F401
+
+
+_load()
