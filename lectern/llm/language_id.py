@@ -18,10 +18,10 @@ A run of more than 40 letters is scored in consecutive parts of 40 (to stay insi
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +35,9 @@ PART = 40
 ALPHA = 0.05
 #: Distinct words whose counts a training task holds before it folds them into piece sums.
 COUNTED_WORDS = 500_000
-#: Words a scoring task keeps (one row of doubles each); a full table starts anew.
-SCORED_WORDS = 400_000
+#: Words a worker keeps scored (one row of doubles each; a full table starts anew), words of texts that it
+#: scores together, and words whose lattices are built together.
+SCORED_WORDS, TOGETHER, WORDS_AT_ONCE = 800_000, 200_000, 20_000
 UNDETERMINED = "und"
 FOLDS = 5
 LETTERS = regex.compile(r"\p{L}+")
@@ -49,64 +50,87 @@ def default_vocabulary() -> str:
 
 
 class Pieces:
-    """The vocabulary: pieces that lower-case words can use, and the lattice of a word."""
+    """The vocabulary (pieces that lower-case words can use) and the lattices of words.
+
+    All pieces inside a batch of words are found in one pass of an Aho-Corasick automaton over the joined
+    words; a piece only has the word-start mark in front, so no match crosses a word.  Forward and backward then
+    run over the batch position by position.
+    """
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
-        self.id: dict[str, int] = {}
+        self.find = ahocorasick.Automaton()
+        own = []
         for i in range(self.size):
             if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i)):
                 p = sp.id_to_piece(i)
                 if (body := p.removeprefix(START)).isalpha() and p == p.lower() or not body:
-                    self.id[p] = i
-        # Every prefix of a piece, with the piece's id or -2 where it is only a prefix.
-        self.prefix = {p[:i]: -2 for p in self.id for i in range(1, len(p))} | self.id
-        rank = {p: r for r, p in enumerate(self.id)}
-        self.start = [0.0] * self.size
-        total = sum(1 / (r + 100) for r in rank.values())
-        for p, i in self.id.items():
-            self.start[i] = 1 / (rank[p] + 100) / total
-        self.start.append(UNKNOWN)
-
-    def lattice(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
-        """Length and edges (from, to, piece; -1: a letter outside the vocabulary), by start."""
-        s, get, out = START + word, self.prefix.get, []
-        n = len(s)
-        for i in range(n):
-            k = get(s[i], -1)
-            out.append((i, i + 1, k if k >= 0 else -1))
-            if k != -1:
-                for j in range(i + 2, n + 1):
-                    if (k := get(s[i:j])) is None:
-                        break
-                    if k >= 0:
-                        out.append((i, j, k))
-        return n, out
-
-    def expected(self, word: str) -> list[tuple[int, float]]:
-        """Expected uses of each piece in a word, over all segmentations under the start distribution."""
-        n, edges = self.lattice(word)
-        p = self.start
-        fwd, bwd = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for i, j, k in edges:
-            fwd[j] += fwd[i] * p[k]
-        for i, j, k in reversed(edges):
-            bwd[i] += p[k] * bwd[j]
-        return [(k, fwd[i] * p[k] * bwd[j] / fwd[n]) for i, j, k in edges if k >= 0]
-
-    def log_forward(self, word: str, tables: list[list[float]]) -> list[float]:
-        """log P(word) in each language."""
-        n, edges = self.lattice(word)
+                    self.find.add_word(p, i << 6 | len(p))
+                    own.append(i)
+        self.find.make_automaton()
+        #: The start distribution falls with the rank; the last entry is a letter outside the vocabulary.
+        self.start = np.zeros(self.size + 1)
+        self.start[own] = 1 / np.arange(100, 100 + len(own))
+        self.start /= self.start.sum()
+        self.start[self.size] = UNKNOWN
+
+    def lattices(self, found: list[str]):
+        """Edges (from, to, piece) of all words by rising start in their word, where the steps begin, first and last nodes."""
+        text = "".join(START + w for w in found)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
+        first = np.cumsum(sizes) - sizes
+        hits = np.fromiter(chain.from_iterable(self.find.iter(text)), dtype=np.int64).reshape(-1, 2)
+        size, piece = hits[:, 1] & 63, hits[:, 1] >> 6
+        start = hits[:, 0] - size + 1
+        bare = np.ones(len(text), dtype=bool)
+        bare[start[size == 1]] = False
+        bare = np.flatnonzero(bare)
+        start = np.concatenate([start, bare])
+        size = np.concatenate([size, np.ones_like(bare)])
+        piece = np.concatenate([piece, np.full_like(bare, self.size)])
+        own = np.repeat(np.arange(len(found)), sizes)
+        local = start - first[own[start]]
+        order = np.argsort(local.astype(np.int16), kind="stable")
+        source = (start + own[start])[order]
+        steps = np.searchsorted(local[order], np.arange(int(sizes.max()) + 1))
+        nodes = first + np.arange(len(found))
+        return source, source + size[order], piece[order], steps, nodes, nodes + sizes
+
+    @staticmethod
+    def _forward(lattice, p: np.ndarray) -> np.ndarray:
+        source, to, piece, steps, first, last = lattice
+        a = np.zeros((last[-1] + 1, *p.shape[1:]))
+        a[first] = 1
+        for i, j in zip(steps, steps[1:]):
+            a[to[i:j]] += a[source[i:j]] * p[piece[i:j]]  # one edge at most to a node in a step
+        return a
+
+    def expected(self, found: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in the words, over all segmentations under the start distribution."""
+        out = np.zeros(self.size + 1)
+        for at in range(0, len(found), WORDS_AT_ONCE):
+            some, n = found[at : at + WORDS_AT_ONCE], counts[at : at + WORDS_AT_ONCE]
+            lattice = source, to, piece, steps, first, last = self.lattices(some)
+            p = self.start[piece]
+            a = self._forward(lattice, self.start)
+            b = np.zeros_like(a)
+            b[last] = n / a[last]
+            for i, j in reversed(list(zip(steps, steps[1:]))):
+                b += 0 if i == j else np.bincount(source[i:j], weights=p[i:j] * b[to[i:j]], minlength=len(b))
+            out += np.bincount(piece, weights=a[source] * p * b[to], minlength=self.size + 1)
+        return out[: self.size]
+
+    def log_forward(self, found: list[str], tables: np.ndarray) -> np.ndarray:
+        """log P(word) by word and language; ``tables``: piece by language."""
         out = []
-        for p in tables:
-            a = [1.0] + [0.0] * n
-            for i, j, k in edges:
-                a[j] += a[i] * p[k]
-            out.append(math.log(a[n]))
-        return out
+        for at in range(0, len(found), WORDS_AT_ONCE):
+            lattice = self.lattices(found[at : at + WORDS_AT_ONCE])
+            out.append(np.log(self._forward(lattice, tables)[lattice[-1]]))
+        return np.concatenate(out)
 
 
 @lru_cache(maxsize=2)
@@ -122,10 +146,30 @@ def words(text: str | None) -> list[str]:
 
 
 class Model:
-    """Learned languages (sorted) and their piece probabilities."""
+    """Learned languages (sorted), their piece probabilities, and a bounded table of scored words.
+
+    The table lives as long as a worker holds the model, so tasks that follow each other share it.
+    """
 
-    def __init__(self, path: str, languages: list[str], tables: list[list[float]]):
+    def __init__(self, path: str, languages: list[str], tables: np.ndarray):
         self.path, self.languages, self.tables = path, languages, tables
+        self.at: dict[str, int] = {}
+        self.rows = np.empty((0, len(languages)))
+
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """log P of each text (a list of words) in each language."""
+        fresh = list({w for t in texts for w in t} - self.at.keys())
+        if len(self.at) + len(fresh) > SCORED_WORDS:
+            self.at, self.rows = {}, self.rows[:0]
+            fresh = list({w for t in texts for w in t})
+        if fresh:
+            k = len(self.at)
+            self.at.update(zip(fresh, range(k, k + len(fresh))))
+            if k + len(fresh) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:k], np.empty((k + 4 * len(fresh), len(self.languages)))])
+            self.rows[k : k + len(fresh)] = pieces(self.path).log_forward(fresh, self.tables)
+        get = self.at.__getitem__
+        return [self.rows[np.fromiter(map(get, t), dtype=np.int64, count=len(t))].sum(axis=0) for t in texts]
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str | None = None) -> Model:
@@ -139,10 +183,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
 
         def fold():
             for name, c in seen.items():
-                into = sums.setdefault(name, np.zeros(v.size))
-                for w, n in c.items():
-                    for k, x in v.expected(w):
-                        into[k] += n * x
+                n = np.fromiter(c.values(), dtype=np.float64, count=len(c))
+                sums[name] = sums.get(name, 0) + (v.expected(list(c), n) if c else np.zeros(v.size))
             seen.clear()
 
         for b in batches:
@@ -165,8 +207,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
         c = np.full(v.size, ALPHA)
         # Sums of doubles depend on their order in the last digits; rounding makes reruns agree.
         c[mine["piece"].to_numpy()] += mine["n"].round(3).to_numpy()
-        tables.append([*(c / c.sum()).tolist(), UNKNOWN])
-    return Model(path, languages, tables)
+        tables.append(np.append(c / c.sum(), UNKNOWN))
+    return Model(path, languages, np.stack(tables, axis=1) if tables else np.zeros((v.size + 1, 0)))
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -176,35 +218,21 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        v, n = pieces(m.path), len(m.languages)
-        at: dict[str, int] = {}
-        rows = np.empty((SCORED_WORDS, n))
-
-        def place(w: str) -> int:
-            if (k := at.get(w)) is None:
-                k = at[w] = len(at)
-                rows[k] = v.log_forward(w, m.tables)
-            return k
-
-        def total(found: list[str]) -> np.ndarray:
-            out = np.zeros(n)
-            for i in range(0, len(found), SCORED_WORDS // 4):
-                part = found[i : i + SCORED_WORDS // 4]
-                if len(at) + len(part) > SCORED_WORDS:
-                    at.clear()
-                out += rows[np.fromiter(map(place, part), dtype=np.int64, count=len(part))].sum(axis=0)
-            return out
+
+        def judged(texts: list[list[str]]) -> Iterator[tuple[str, float]]:
+            for t, x in zip(texts, m.totals(texts)):
+                best = int(x.argmax()) if t else 0
+                yield (m.languages[best], float(1 / np.exp(x - x[best]).sum())) if t else (UNDETERMINED, 0.0)
 
         for s in batches:
-            out = []
+            out, held, n = [], [], 0
             for t in s:
-                found = words(t) if n else []
-                if not found:
-                    out.append((UNDETERMINED, 0.0))
-                    continue
-                x = total(found)
-                best = int(x.argmax())
-                out.append((m.languages[best], float(1 / np.exp(x - x[best]).sum())))
+                held.append(words(t) if m.languages else [])
+                n += len(held[-1])
+                if n >= TOGETHER:
+                    out += judged(held)
+                    held, n = [], 0
+            out += judged(held)
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "_lid")]
