@@ -26,7 +26,7 @@ from . import webp
 ROW, ROWS = 64, 64
 TILE = ROW * ROWS
 #: Payload bytes coded at once by a task.
-BATCH = 16_000_000
+BATCH = 3_000_000
 
 
 def padded(value: bytes) -> bytes:

@@ -548,7 +548,7 @@ def _decode_lanes(lanes: _Lanes, ids: np.ndarray, width: np.ndarray, count: np.n
 
 
 #: Cells (steps x lanes) decoded at once.
-LOCKSTEP_CELLS = 4_000_000
+LOCKSTEP_CELLS = 1_500_000
 
 
 def _lane_images(lanes: _Lanes, ids: np.ndarray, width: np.ndarray, height: np.ndarray, top: bool) -> dict[int, np.ndarray]:
