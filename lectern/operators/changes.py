@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ def duplicate_groups(docs: DataFrame, hashes: tuple[str, ...] = ("sha256",)) ->
 
 def sha3_256():
     """SHA3-256 (hex) as an Arrow UDF: Spark has no such function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else hashlib.sha3_256(t.encode() if isinstance(t, str) else bytes(t)).hexdigest())

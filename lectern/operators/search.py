@@ -10,6 +10,7 @@ import math
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -238,8 +239,6 @@ def embed_prefixes(model: Column) -> Column:
 
 def hashing_embedder(dims: int = 64):
     """Offline embedder: signed hashing of tokens, unit length; Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         from zlib import crc32
