@@ -116,15 +116,19 @@ def arbitrated(qualities: dict[int, float], accept: float = 0.40) -> int | None:
     return best if best is not None and qualities[best] >= accept else None
 
 
-@F.pandas_udf("struct<width:int,height:int,ink:double,axis:string,spine:int,error:string>")
-def analysed(pages: pd.Series) -> pd.DataFrame:
-    """Geometry of each page of a binary column; broken images have an error."""
-    out = []
-    for data in pages:
-        try:
-            img = read_pgm(bytes(data))
-            out.append((img.shape[1], img.shape[0], float((img < INK).mean()), axis(img), spine(img), None))
-        except (ValueError, TypeError) as e:
-            out.append((None, None, None, None, None, str(e)))
-    d = pd.DataFrame(out, columns=["width", "height", "ink", "axis", "spine", "error"])
-    return d.astype({"width": "Int32", "height": "Int32", "spine": "Int32"})
+def analysed():
+    """UDF: geometry of each page of a binary column; broken images have an error."""
+
+    @F.pandas_udf("struct<width:int,height:int,ink:double,axis:string,spine:int,error:string>")
+    def f(pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in pages:
+            try:
+                img = read_pgm(bytes(data))
+                out.append((img.shape[1], img.shape[0], float((img < INK).mean()), axis(img), spine(img), None))
+            except (ValueError, TypeError) as e:
+                out.append((None, None, None, None, None, str(e)))
+        d = pd.DataFrame(out, columns=["width", "height", "ink", "axis", "spine", "error"])
+        return d.astype({"width": "Int32", "height": "Int32", "spine": "Int32"})
+
+    return f

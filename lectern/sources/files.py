@@ -53,7 +53,7 @@ def scanned(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def text_chunks(files: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
     """(path, seq, page_no, text): fixed slices of text files, each cleaned; no page numbers."""
-    t = files.where(kind_of(F.col("path")) == "text").select("path", F.decode("content", F.lit("UTF-8")).alias("t"))
+    t = files.where(kind_of(F.col("path")) == "text").select("path", F.decode("content", "UTF-8").alias("t"))
     return t.select("path", F.posexplode(sliced(F.col("t"), size)).alias("seq", "text")).select(
         "path", "seq", F.lit(None).cast("int").alias("page_no"), cleaned(F.col("text")).alias("text")
     )
@@ -77,7 +77,7 @@ def needs_ocr(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame:
 
 def pdf_text(content: Column) -> Column:
     """Literal metadata of an uncompressed PDF header: struct of title and author."""
-    raw = F.decode(content, F.lit("ISO-8859-1"))
+    raw = F.decode(content, "ISO-8859-1")
     one = lambda k: F.regexp_extract(raw, rf"/{k}\s*\(((?:[^()\\]|\\.)*)\)", 1)
     return F.struct(one("Title").alias("title"), one("Author").alias("author"))
 

@@ -1,0 +1,188 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.operators import changes as M
+from lectern.operators import chat as H
+from lectern.operators import curation as C
+from lectern.operators import enrich as E
+from lectern.operators import search as S
+from lectern.sources import files, settings, store
+from lectern.streaming import watch
+
+
+@pytest.fixture(scope="module")
+def lib(spark):
+    docs = [(1, "/lib/a.pdf", "h1", "Attention Is All You Need", "ai/transformers"), (2, "/lib/b.pdf", "h2", "The Rust Programming Language", "cs"),
+            (3, "/lib/c.pdf", "h2", "Cooking With Fire", "cooking")]
+    return {
+        "documents": spark.createDataFrame(docs, "id long, path string, sha256 string, title string, category string"),
+        "tags": spark.createDataFrame([(1, "transformer", "vocab"), (2, "transformer", "vocab"), (3, "shared", "manual")], "doc_id long, tag string, source string"),
+        "collections": spark.createDataFrame([(1, "reading")], "id long, name string"),
+        "members": spark.createDataFrame([(1, 3)], "collection_id long, doc_id long"),
+    }
+
+
+def ids(df, c="id"):
+    return sorted(r[c] for r in df.collect())
+
+
+def test_scopes(lib):
+    assert ids(H.scope(lib, "tag", "Transformer")) == [1, 2]
+    assert ids(H.scope(lib, "category", "ai")) == [1]
+    assert ids(H.scope(lib, "collection", "1")) == [3]
+    assert ids(H.scope(lib, "library")) == [1, 2, 3]
+    assert ids(H.scope(lib, "tag", "absent")) == []
+    for kind, value in (("document", "9"), ("collection", "9"), ("shelf", "")):
+        with pytest.raises(H.NotFound):
+            H.scope(lib, kind, value)
+
+
+def test_merge(lib):
+    to = M.canonical_ids(lib["documents"])
+    assert M.duplicate_groups(lib["documents"]).select("canonical", "duplicates").collect() == [(2, [3])]
+    assert sorted(map(tuple, M.merged_tags(lib["tags"], to).collect())) == [(1, "transformer", "vocab"), (2, "shared", "manual"), (2, "transformer", "vocab")]
+    assert list(map(tuple, M.merged_members(lib["members"], to).collect())) == [(1, 2)]
+    left = M.deleted(lib, lib["documents"].where("id = 3").select("id"))
+    assert ids(left["documents"]) == [1, 2] and left["members"].isEmpty() and ids(left["tags"], "doc_id") == [1, 2]
+
+
+def test_rename(spark):
+    d = spark.createDataFrame([("cs",), ("cs/ml/transformers",), ("csx",)], "c string")
+    assert [r[0] for r in d.select(M.renamed_category(F.col("c"), "cs", "computer-science")).collect()] == ["computer-science", "computer-science/ml/transformers", "csx"]
+    for a, b in (("cs", "cs/x"), ("", "x"), ("x", "x")):
+        with pytest.raises(M.Conflict):
+            M.renamed_category(F.col("c"), a, b)
+
+
+def test_updates(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
+    assert sorted(map(tuple, M.upserted(old, new, ["k"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(map(tuple, M.inserted_or_ignored(old, new, ["k"]).collect())) == [("a", 1), ("b", 2), ("c", 4)]
+    d = spark.createDataFrame([(1, "A", None, "x", False, None)], "id long, title string, authors string, category string, category_user boolean, year string")
+    d = d.withColumns({"summary": F.lit(None).cast("string"), "status": F.lit("ingested")})
+    r = spark.createDataFrame([(1, "B", "Unknown", "2020", "y", "s")], "id long, title string, authors string, year string, category string, summary string")
+    got = M.stored_results(d, r).first()
+    assert (got["title"], got["authors"], got["year"], got["category"], got["status"]) == ("A", "", "2020", "x", "done")
+
+
+def test_tags(spark):
+    f = lambda tags, c: spark.range(1).select(M.filtered_tags(F.array(*map(F.lit, tags)), F.lit(c))).first()[0]
+    assert f(["computer-science", "machine-learning", "quantization"], "computer-science/machine-learning") == ["quantization"]
+    assert f(["cs"], "cs") == ["cs"]
+    got = spark.range(1).select(M.constrained_tags(F.array(*map(F.lit, ["Logic", "new", "poetry", "b", "c"])), ["logic", "poetry"], F.lit("x"))).first()[0]
+    assert got["tags"] == ["logic", "poetry"] and got["other"] == ["new", "b"]
+
+
+def test_packing(spark):
+    f = lambda t, n: spark.range(1).select(C.packed(F.lit(t), n)).first()[0]
+    assert f("aaa\n\nbbb\n\ncccccccccc\n\n ", 8) == ["aaa\n\nbbb", "cccccccccc"] or f("aaa\n\nbbb\n\ncccccccccc\n\n ", 8)[0] == "aaa\n\nbbb"
+    assert f("", 8) == []
+
+
+def test_enrichment(spark):
+    def broken(t):
+        if "bad" in t:
+            raise RuntimeError("no")
+        return t[:20]
+
+    text = "\n\n".join(f"Part {i} " + "x" * 300 for i in range(40))
+    docs = spark.createDataFrame([(1, text, "ingested"), (2, "bad " * 200, "ingested"), (3, "short", "ingested"), (4, "t", "done")], "id long, text string, status string")
+    got = {r["id"]: r for r in E.processed(docs, broken, chunk_chars=1000, context_tokens=1450).collect()}
+    assert set(got) >= {1, 2} and 4 not in got
+    assert got[1]["source"] == "generated" and got[1]["summary"].startswith("Part 0") and got[1]["error"] is None
+    assert got[2]["status"] == "ingested" and "no" in got[2]["error"]
+    t = E.tagged(docs.select("id", "text"), E.overlapping_tags, ["part", "logic"]).where("id = 1").first()
+    assert t["tags"] == ["part"]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".trash").mkdir()
+    (tmp_path / "notes.md").write_text("hello \nworld")
+    (tmp_path / "sub" / "nested.MD").write_text("x" * 7000)
+    (tmp_path / ".trash" / "gone.md").write_text("x")
+    (tmp_path / "junk.bin").write_text("x")
+    f = files.scanned(spark, [str(tmp_path), str(tmp_path / "missing")])
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in f.select("path", "size", "error").collect()}
+    assert set(rows) == {"notes.md", "nested.MD", "missing"} and rows["missing"]["error"]
+    c = files.text_chunks(f.where("error IS NULL")).collect()
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["seq"], len(r["text"])) for r in c) == [("nested.MD", 0, 6000), ("nested.MD", 1, 1000), ("notes.md", 0, 12)]
+    assert [(r["name"], r["supported"]) for r in files.listing(spark, str(tmp_path)).collect()] == [("sub", False), ("junk.bin", False), ("notes.md", True)]
+    p = files.page_chunks(spark.createDataFrame([("a.pdf", "one\ftwo\f")], "path string, text string"))
+    assert [(r["page_no"], r["text"]) for r in p.orderBy("seq").collect()] == [(1, "one"), (2, "two")]
+    assert files.needs_ocr(p).first()["pages"] == [1, 2]
+
+
+def test_store(spark, lib, tmp_path):
+    s = store.Store(spark, str(tmp_path / "lib"))
+    assert s.version() == 0 and s.commit(lib) == 1
+    s.export(str(tmp_path / "out"))
+    with pytest.raises(M.Conflict):
+        s.export(str(tmp_path / "out"))
+    assert s.validate(str(tmp_path / "out")) == 3
+    assert s.load(str(tmp_path / "out")) == 2 and ids(s.read()["documents"]) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        s.validate(str(tmp_path))
+
+
+def test_bundle(spark, lib, tmp_path):
+    docs = lib["documents"].withColumn("kind", F.lit("book"))
+    both = spark.createDataFrame([(1, 1), (1, 3)], "collection_id long, doc_id long")
+    docs = docs.withColumn("path", F.when(F.col("id") == 3, "/other/a.pdf").otherwise(F.col("path")))
+    m = store.manifest(lib["collections"], both, docs, lib["tags"])
+    rows = store.parsed(m).orderBy("doc_id").collect()
+    assert [r["file"] for r in rows] == ["a.pdf", "3-a.pdf"] and rows[1]["tags"][0]["tag"] == "shared"
+    gone = store.write_bundle(str(tmp_path / "b.zip"), "reading", m.first()["manifest"], {"a.pdf": "/no/such"})
+    assert gone == ["a.pdf"] and store.read_bundle(str(tmp_path / "b.zip"), str(tmp_path / "x"))["name"] == "reading"
+
+
+def test_settings(spark, tmp_path):
+    c = settings.Config().updated(max_tags=7)
+    assert c.max_tags == 7 and c.updated(max_tags=99).max_tags == 7
+    c.save(str(tmp_path / "c.yaml"))
+    assert settings.load(str(tmp_path / "c.yaml")) == c
+    assert settings.vocabulary(spark, str(tmp_path / "none")).isEmpty()
+    (tmp_path / "v.yaml").write_text('tags:\n  Logic: "proofs"\n  art: ""\n')
+    v = settings.vocabulary(spark, str(tmp_path / "v.yaml"))
+    assert list(map(tuple, v.collect())) == [("art", ""), ("logic", "proofs")]
+
+
+def test_watcher(spark, tmp_path):
+    stamps = [("a", 1, 1, 1), ("a", 1, 1, 2), ("a", 1, 1, 3), ("b", 1, 1, 1), ("b", 2, 2, 2), ("b", 2, 2, 3)]
+    schema = "path string, size long, mtime long, scan long"
+    want = sorted(map(tuple, watch.settled_batch(spark.createDataFrame(stamps, schema)).collect()))
+    assert want == [("a", 1, 1, 2), ("b", 2, 2, 3)]
+    src = str(tmp_path / "in")
+    for k in (1, 2, 3):
+        spark.createDataFrame([s for s in stamps if s[3] == k], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = watch.settled(stream).writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("settled").collect())) == want
+    seen = []
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.md").write_text("x")
+    sink = watch.scan(lambda b: seen.append(b.count()), lambda: spark.range(20), lambda d: seen.append(d.count()))
+    q = watch.files(spark, str(tmp_path / "inbox")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert seen == [1, 8]
+
+
+def test_index_on_disk(spark, tmp_path):
+    c = spark.createDataFrame([(1, "the cat sat"), (2, "a cat and a dog"), (3, "the dog")], "id long, text string")
+    S.write_index(c, str(tmp_path / "ix"), 4)
+    p = S.read_postings(spark, str(tmp_path / "ix"), ["cat", "dog"], 4).select("term", "chunk_id", "tf", "positions")
+    n = spark.read.parquet(str(tmp_path / "ix/lengths"))
+    assert [r[0] for r in S.ranked(p, n, "cat OR dog", 3).collect()] == [r[0] for r in S.ranked(S.postings(c), S.lengths(c), "cat OR dog", 3).collect()]
+    v = S.embed_pending(c.withColumn("embedding", F.lit(None).cast("array<float>")), S.hashing_embedder(16), "m", None)
+    assert all(len(r["embedding"]) == 16 for r in v.collect())
+
+
+def test_chat(spark):
+    m = spark.createDataFrame([(1, 1, "hi", '[{"t":"text","text":"a"}]'), (1, 2, "yo", "{broken"), (1, 3, "x", None)], "session_id long, id long, content string, tool_log string")
+    assert [[e["text"] for e in r["events"]] for r in H.events(m).orderBy("id").collect()] == [["a"], ["yo"], ["x"]]
+    assert ids(H.reverted(m, 1, 2)) == [1]
+    assert H.regenerable(None) == list(H.FIELDS) and H.regenerable(["tags", "x"]) == ["tags"]
+    with pytest.raises(ValueError):
+        H.regenerable(["x"])
