@@ -1,18 +1,22 @@
-"""Stupid-backoff language model scores, computed relationally.
+"""Stupid-backoff language model scores, computed relationally over columnar blocks.
 
 Counts of words and word pairs over all documents are tables partitioned by hash.  A text's score is
-the sum over its words of ln S(w | u), where S is c(uw) / c(u) if the pair was counted at least
-``MIN_COUNT`` times and 0.4 * c(w) / N otherwise.  This telescopes into independent lookups: every word
-adds ln c(w)/N, every word but the first adds ln 0.4, and a pair that is in the table adds
-ln c(uw)/c(u) - ln 0.4 - ln c(w)/N.  So scoring is one equi-join of exploded n-grams (a row per
-document and distinct n-gram) with one table of values, and a sum per document.
-
-Counting tasks combine a bounded number of words before they send them; the join is a plain one, so AQE may
-split a key that a third of all documents share.
-
-Defined results: documents without words have score null and 0 words; rows that share a doc_id are one
-document whose words are pooled (pairs never cross rows); a null doc_id is one such document; extra
-columns are not returned; an empty table gives an empty result.
+the sum over its words of ln S(w | u): c(uw) / c(u) if the pair was counted at least ``MIN_COUNT`` times,
+0.4 * c(w) / N otherwise (the first word: c(w) / N).
+
+A row per word and pair would be 30 bytes each on its way through two shuffles, several times the
+input.  So rows are blocks: a task turns some millions of words into one row that holds the distinct word hashes and
+the texts as indices into them.  A block's exploded n-grams are sorted, counted inside the block, and cut
+by hash into buckets; a bucket meets the same bucket of all other blocks, the counts are added up (that
+is one partition of the count table), and every block gets back the totals of exactly its n-grams.
+Joined with its texts again, a block sums the scores of its documents.
+
+A frequent n-gram is one entry per block, so no bucket is hot; the number of buckets follows the number of
+words, so a bucket stays near ``BUCKET_WORDS`` words.
+
+Defined results: documents without words have score null and 0 words; every row is a document of
+its own, also with a repeated or null doc_id; pairs never cross rows; extra columns are not returned; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,133 +26,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, words_of
+from .common import checkpointed
 
 BACKOFF, MIN_COUNT = 0.4, 2
-#: Word hashes that a task remembers, and words it combines before sending counts.
-REMEMBERED, COMBINED = 500_000, 4_000_000
+#: Words in a block, and words of all documents for each bucket.
+BLOCK_WORDS, BUCKET_WORDS = 3_000_000, 1_500_000
 PAIR = np.uint64(0x9E3779B97F4A7C15)
+WORD_TABLE, PAIR_TABLE = 0, 1
+BLOCK = "block long, docs array<long>, sizes array<int>, words binary, places binary"
+PIECE = "tab int, bucket long, block long, n int, keys binary, counts binary"
+ANSWER = "block long, tab int, bucket long, n int, counts binary"
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
+def _packed(x: np.ndarray) -> bytes:
+    """Byte planes of an integer array, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
-def _hashed(text: str | None, known: _Hashes) -> np.ndarray:
-    w = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w))
+def _unpacked(b: bytes, n: int, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b)), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, n).T).view(dtype).ravel()
 
 
-def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = u * PAIR + w
-    x ^= x >> np.uint64(29)
-    return x * PAIR
+def _steps(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
-def _distinct(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows and their counts."""
-    if len(cols) == 1:
-        return np.unique(cols[0], return_counts=True)
-    order = np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-    at = np.flatnonzero(new)
-    return (*(c[at] for c in cols), np.diff(np.r_[at, len(order)]))
+def _block(number: int, docs: list, texts: list[list[bytes]]) -> tuple:
+    index: dict[bytes, int] = {}
+    seen = np.fromiter((index.setdefault(w, len(index)) for t in texts for w in t), dtype=np.int64)
+    hashes = np.fromiter(map(xxh64_intdigest, index), dtype=np.uint64, count=len(index))
+    often = np.argsort(-np.bincount(seen, minlength=len(index)), kind="stable")  # small numbers for frequent words
+    rank = np.empty(len(index), dtype=np.uint32)
+    rank[often] = np.arange(len(index), dtype=np.uint32)
+    return number, docs, [len(t) for t in texts], hashes[often].tobytes(), _packed(rank[seen]) if len(seen) else b""
 
 
-def _counts(docs: DataFrame, text: str) -> DataFrame:
-    """(u, w, c): partial counts of pairs, and of words (u null)."""
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 32
+    docs, texts, n = [], [], 0
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, n = _Hashes(), [], 0
+    def row():
+        return pd.DataFrame([_block(number, docs, texts)], columns=["block", "docs", "sizes", "words", "places"])
 
-        def send():
-            one, c1 = _distinct(np.concatenate(held))
-            u, w, c2 = _distinct(np.concatenate([h[:-1] for h in held]), np.concatenate([h[1:] for h in held]))
-            yield pd.DataFrame({"u": pd.array([None] * len(one), dtype="Int64"), "w": one.view(np.int64), "c": c1})
-            yield pd.DataFrame({"u": pd.array(u.view(np.int64), dtype="Int64"), "w": w.view(np.int64), "c": c2})
+    for b in batches:
+        for d, t in zip(b["doc_id"], b["t"]):
+            docs.append(None if pd.isna(d) else int(d))
+            texts.append((t or "").encode("utf-8", "surrogatepass").split())
+            n += len(texts[-1])
+            if n >= BLOCK_WORDS:
+                yield row()
+                docs, texts, n = [], [], 0
+                number += 1
+    if docs:
+        yield row()
 
-        for b in batches:
-            for t in b["t"]:
-                if len(h := _hashed(t, known)):
-                    held.append(h)
-                    n += len(h)
-                if n >= COMBINED:
-                    yield from send()
-                    held, n = [], 0
-        if held:
-            yield from send()
 
-    return docs.select(F.col(text).alias("t")).mapInPandas(count, "u long, w long, c long")
+class _Grams:
+    """Words, pairs and documents of a block row."""
 
+    def __init__(self, row):
+        self.sizes = np.asarray(row.sizes, dtype=np.int64)
+        total = int(self.sizes.sum())
+        self.words = np.frombuffer(bytes(row.words), dtype=np.uint64)
+        self.places = _unpacked(row.places, total, np.uint32).astype(np.int64) if total else np.zeros(0, dtype=np.int64)
+        self.first = np.zeros(total, dtype=bool)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.first[starts[self.sizes > 0]] = True
 
-def _exploded(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, key, n): a row for each document and distinct word or pair."""
+    def pairs(self) -> np.ndarray:
+        """Key of the pair that ends at each word (meaningless at first words)."""
+        h = self.words[self.places]
+        x = np.roll(h, 1) * PAIR + h
+        x ^= x >> np.uint64(29)
+        return x * PAIR
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
-        for b in batches:
-            ids, keys, counts, n = [], [], [], 0
-            for d, t in zip(b["doc_id"], b["t"]):
-                h = _hashed(t, known)
-                for x in (h, _pair_key(h[:-1], h[1:])):
-                    if len(x):
-                        k, c = _distinct(x)
-                        ids.append((d, len(k)))
-                        keys.append(k)
-                        counts.append(c)
-                        n += len(k)
-                if n > 500_000:
-                    yield _frame(ids, keys, counts)
-                    ids, keys, counts, n = [], [], [], 0
-            if n:
-                yield _frame(ids, keys, counts)
-
-    def _frame(ids, keys, counts):
-        d = pd.array(np.repeat(np.array([-1 if pd.isna(x) else int(x) for x, _ in ids]), [k for _, k in ids]), dtype="Int64")
-        if any(pd.isna(x) for x, _ in ids):
-            d[np.repeat([bool(pd.isna(x)) for x, _ in ids], [k for _, k in ids])] = pd.NA
-        return pd.DataFrame({"doc_id": d, "key": np.concatenate(keys).view(np.int64), "n": np.concatenate(counts).astype("int32")})
-
-    return docs.select("doc_id", F.col(text).alias("t")).mapInPandas(explode, "doc_id long, key long, n int")
-
-
-def values(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, value): what a word or a pair adds to a score."""
-    counts = checkpointed(_counts(docs, text).groupBy("u", "w").agg(F.sum("c").alias("c")).where(F.col("u").isNull() | (F.col("c") >= MIN_COUNT)))
-    ones = counts.where(F.col("u").isNull()).select("w", "c")
-    total = ones.agg(F.sum("c")).first()[0] or 1
-    ln = F.log(F.col("c") / F.lit(float(total)))
-    pairs = counts.where(F.col("u").isNotNull()).withColumnRenamed("c", "c_uw")
-    pairs = pairs.join(ones.select(F.col("w").alias("u"), F.col("c").alias("c_u")), "u").join(ones, "w")
-    gain = F.log(F.col("c_uw") / F.col("c_u")) - F.lit(math.log(BACKOFF)) - ln
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            k = _pair_key(b["u"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"key": k.view(np.int64), "value": b["value"]})
 
-    two = pairs.select("u", "w", gain.alias("value")).mapInPandas(keyed, "key long, value double")
-    return ones.select(F.col("w").alias("key"), ln.alias("value")).unionByName(two)
+def _cut(tab: int, block: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Slices of sorted keys by their upper bits."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []
+    for a, b in zip(at, [*at[1:], len(keys)]):
+        yield tab, int(bucket[a]), block, int(b - a), _packed(_steps(keys[a:b])), _packed(counts[a:b].astype(np.uint32))
+
+
+def _exploded(bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                g = _Grams(row)
+                order = np.argsort(g.words)
+                counts = np.bincount(g.places, minlength=len(g.words))
+                out = list(_cut(WORD_TABLE, row.block, g.words[order], counts[order], bits))
+                out += _cut(PAIR_TABLE, row.block, *np.unique(g.pairs()[~g.first], return_counts=True), bits)
+                yield pd.DataFrame(out, columns=["tab", "bucket", "block", "n", "keys", "counts"])
+
+    return run
+
+
+def _totals(pieces: pd.DataFrame) -> pd.DataFrame:
+    """One partition of a count table, and for every block the totals of its keys."""
+    keys = [np.cumsum(_unpacked(k, n, np.uint64), dtype=np.uint64) for k, n in zip(pieces["keys"], pieces["n"])]
+    counts = [_unpacked(c, n, np.uint32) for c, n in zip(pieces["counts"], pieces["n"])]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
+    ends = np.cumsum(pieces["n"].to_numpy())
+    answers = [_packed(total[at[e - n : e]]) for e, n in zip(ends, pieces["n"])]
+    return pieces[["block", "tab", "bucket", "n"]].assign(counts=answers)
+
+
+def _scores(total: int):
+    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in block.itertuples():
+            g = _Grams(row)
+            known = {
+                t: np.concatenate([_unpacked(c, n, np.uint64) for c, n in zip(a["counts"], a["n"])]).astype(np.float64)
+                for t, a in answers.sort_values("bucket").groupby("tab")
+            }
+            scores = np.zeros(len(g.sizes))
+            if len(g.places):
+                word = np.empty(len(g.words))
+                word[np.argsort(g.words)] = known[WORD_TABLE]
+                c = word[g.places]
+                value = np.log(c / total)
+                if (~g.first).any():
+                    pair = np.zeros(len(c))
+                    pair[~g.first] = known[PAIR_TABLE][np.unique(g.pairs()[~g.first], return_inverse=True)[1]]
+                    met = pair >= MIN_COUNT
+                    value[~g.first] += math.log(BACKOFF)
+                    value[met] = np.log(pair[met] / np.roll(c, 1)[met])
+                some = g.sizes > 0
+                starts = (np.cumsum(g.sizes) - g.sizes)[some]
+                scores[some] = np.add.reduceat(value, starts)
+            out.append(pd.DataFrame({"doc_id": pd.array(list(row.docs), dtype="Int64"), "n_words": g.sizes, "s": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "n_words": [], "s": []})
+
+    return run
 
 
 def scored(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_words, score, per_word): sum and mean of ln S over the words of each document."""
-    sums = _exploded(docs, text).join(values(docs, text), "key").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("value")).alias("s"))
-    n = F.size(words_of(F.col(text)))
-    sizes = docs.select("doc_id", n.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("later"))
-    score = F.col("s") + F.col("later") * F.lit(math.log(BACKOFF))
-    d = sizes.withColumnRenamed("doc_id", "_d").join(sums, F.col("_d").eqNullSafe(F.col("doc_id")), "left")
-    return d.select(F.col("_d").alias("doc_id"), "n_words", F.round(score, 6).alias("score"), F.round(score / F.col("n_words"), 6).alias("per_word"))
+    """(doc_id, n_words, score, per_word): sum and mean of ln S over the words of each row."""
+    blocks = checkpointed(docs.select("doc_id", F.col(text).alias("t")).mapInPandas(_blocks, BLOCK))
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_WORDS))))
+    pieces = blocks.mapInPandas(_exploded(bits), PIECE)
+    answers = pieces.groupBy("tab", "bucket").applyInPandas(_totals, ANSWER)
+    d = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(total), "doc_id long, n_words long, s double")
+    score = F.when(F.col("n_words") > 0, F.col("s"))
+    return d.select("doc_id", "n_words", F.round(score, 6).alias("score"), F.round(score / F.col("n_words"), 6).alias("per_word"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
