@@ -186,3 +186,14 @@ def test_chat(spark):
     assert H.regenerable(None) == list(H.FIELDS) and H.regenerable(["tags", "x"]) == ["tags"]
     with pytest.raises(ValueError):
         H.regenerable(["x"])
+
+
+def test_jobs(spark):
+    from lectern.operators.jobs import FINISHED_KEPT, Jobs
+
+    j = Jobs(spark)
+    assert j.run("count", lambda: spark.range(5).count())["result"] == 5
+    assert j.run("bad", lambda: 1 / 0)["status"] == "failed" and not j.cancel(2)
+    for _ in range(FINISHED_KEPT + 5):
+        j.run("x", lambda: None)
+    assert len(j.history) == FINISHED_KEPT and j.history[-1]["status"] == "done"
