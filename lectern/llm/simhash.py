@@ -41,6 +41,9 @@ BLOCK = 2048
 #: So many dense keys are broadcast at most (16 bytes each); beyond, they are shuffled.
 BROADCAST_KEYS = 100_000
 CHUNK = 255 * 256
+HOT_SHARE = 1000
+#: Column that holds a row's fingerprint on the way.
+PRINT = "_simhash64"
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -136,8 +139,9 @@ def _dense_links(stored: DataFrame, asking: DataFrame, dense: DataFrame) -> Data
     block = F.pmod(F.xxhash64("fp"), F.col("nb"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     d = dense.withColumn("nb", nb).drop("n")
-    s = stored.join(d, "key").select("key", "fp", block.alias("i"), every.alias("j"))
-    q = asking.join(d, "key").select("key", "fp", every.alias("i"), block.alias("j"))
+    key, fp = F.col("key").alias("key"), F.col("fp").alias("fp")  # new columns, so that both sides can be told apart
+    s = stored.join(d, "key").select(key, fp, block.alias("i"), every.alias("j"))
+    q = asking.join(d, "key").select(key, fp, every.alias("i"), block.alias("j"))
     return s.groupBy("key", "i", "j").cogroup(q.groupBy("key", "i", "j")).applyInPandas(_compare, "a long, b long")
 
 
@@ -167,15 +171,20 @@ def links(prints: DataFrame) -> DataFrame:
 def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
     """``docs`` without its text, plus ``fingerprint`` (hex) and ``component_id``."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "fingerprint", "component_id")]
-    rows = checkpointed(docs.select(*keep, fingerprints(words)(F.col(text)).alias("fp")))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    rows = checkpointed(docs.select(*keep, fingerprints(words)(F.col(text)).alias(PRINT)))
+    prints = checkpointed(rows.groupBy(F.col(PRINT).alias("fp")).agg(F.min(F.col(f"`{key}`")).alias("least"), F.count("*").alias("n")))
     found = components(links(prints))
     with_root = prints.join(found.withColumnRenamed("node", "fp"), "fp")
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = with_root.join(least, "root").select("fp", "component_id")
-    classes = prints.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(classes, "fp").select(
-        *(F.col(f"`{c}`") for c in rows.columns if c != "fp"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    classes = prints.join(joined, "fp", "left").select(F.col("fp").alias(PRINT), F.coalesce("component_id", "least").alias("component_id"), "n")
+    classes = checkpointed(classes)
+    # Fingerprints that hold more than one row in HOT_SHARE are fewer than HOT_SHARE: those are broadcast.
+    hot = F.broadcast(classes.where(F.col("n") * HOT_SHARE > rows.count()).drop("n"))
+    rest = rows.join(hot.select(PRINT), PRINT, "left_anti").join(classes.drop("n"), PRINT)
+    out = rows.join(hot, PRINT).unionByName(rest)
+    return out.select(
+        *(F.col(f"`{c}`") for c in rows.columns if c != PRINT), F.lower(F.lpad(F.hex(PRINT), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
