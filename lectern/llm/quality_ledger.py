@@ -24,7 +24,7 @@ from .common import words_of
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims", "n_stutters")
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,15 @@ RULES = (
     Rule(4, "exclaiming", "100 * n_exclaims > 30 * n_words"),
     Rule(5, "copied_lines", "n_dup_lines >= 3 AND 100 * n_dup_lines > 50 * n_lines"),
     Rule(6, "short_or_long_words", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)"),
+    Rule(7, "stuttering", "100 * n_stutters > 30 * n_words"),
 )
 BIT = {r.name: 1 << r.bit for r in RULES}
 #: Versioned policies: a document is kept where ``failed_bits & mask`` is zero.
 POLICIES = {
     "base@1": BIT["few_words"] | BIT["repeated_windows"],
-    "web@1": sum(BIT.values()) & ~BIT["short_or_long_words"],
-    "web@2": sum(BIT.values()),
+    "web@1": sum(BIT.values()) & ~BIT["short_or_long_words"] & ~BIT["stuttering"],
+    "web@2": sum(BIT.values()) & ~BIT["stuttering"],
+    "web@3": sum(BIT.values()),
 }
 
 
@@ -91,7 +93,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sequence(F.lit(0), F.size("_hash") - WINDOW),
         lambda i: F.xxhash64(*(F.get(F.col("_hash"), i + j) for j in range(WINDOW))),
     )
-    d = d.withColumn("_win", F.when(F.size("_hash") > WINDOW, windows)).drop("_hash")
+    again = F.filter("_hash", lambda h, i: h == F.get(F.col("_hash"), F.greatest(i - 1, F.lit(0))))  # the first word is its own
+    d = d.withColumns(
+        {"_win": F.when(F.size("_hash") > WINDOW, windows), "n_stutters": F.greatest(F.size(again) - 1, F.lit(0)).cast("long")}
+    ).drop("_hash")
     some = F.size(F.array_distinct("_win")) < F.size("_win")
     d = d.withColumn("_at", F.when(some, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     at = F.col("_at")
@@ -149,7 +154,7 @@ def op10(docs: DataFrame) -> DataFrame:
     return ledger(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failed_bits").bitwiseAND(F.lit(POLICIES["base@1"]).cast("long")) != 0).alias("base_failed"),
-        passes("web@2").alias("kept"),
+        passes("web@3").alias("kept"),
         "failed_bits",
     )
 
@@ -170,7 +175,8 @@ m AS (
          length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
          length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_exclaims,
          len(lns)::BIGINT AS n_lines, (len(lns) - len(list_distinct(lns)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutters
   FROM d LEFT JOIN r USING (rid)),
 b AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
@@ -179,7 +185,8 @@ b AS (
     + CASE WHEN 100 * n_upper > 40 * word_chars THEN 8 ELSE 0 END
     + CASE WHEN 100 * n_exclaims > 30 * n_words THEN 16 ELSE 0 END
     + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END
-    + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 64 ELSE 0 END)::BIGINT AS failed_bits
+    + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 64 ELSE 0 END
+    + CASE WHEN 100 * n_stutters > 30 * n_words THEN 128 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits

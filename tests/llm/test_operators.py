@@ -302,7 +302,7 @@ def test_ledger(docs, odd):
 def test_ablations(docs):
     rows = quality_ledger.ledger(docs.select("doc_id", "text")).cache()
     bits = [r["failed_bits"] for r in rows.collect()]
-    for r in quality_ledger.ablations(rows, "web@2").collect():
+    for r in quality_ledger.ablations(rows, "web@3").collect():
         b = quality_ledger.BIT[r["rule"]]
         assert r["n_failed"] == sum(1 for x in bits if x & b) and r["n_only"] == sum(1 for x in bits if x == b)
 
