@@ -23,9 +23,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter, or with no language more likely than the others together, go."""
     ship(spark)
     model = language_id.train(docs.where(~language_id.held_out()))
-    judged = language_id.identified(docs, model)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = language_id.identified(docs.select(whole.alias("doc"), "text"), model)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return judged.where(sure).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged.where(sure).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ Main path: DataFrame expressions only.  Spans come from pairing a pattern's matc
 pieces that the same pattern splits the text into, so positions are code points without any UDF.
 
 Defined results: null and empty texts have no spans; every row is returned, repeated rows
-alike; extra columns pass through ``scanned`` and ``redacted`` (a column named like a result column
-is replaced); an empty table gives an empty result.
+alike; extra columns pass through ``redacted`` whatever their names, and through ``scanned`` unless they
+are named like its results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,9 +161,9 @@ def _listed(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by MASK (overlapping spans by one); null texts stay null."""
-    cols = docs.columns
-    d = scanned(docs, table, text).drop("base")
-    t = F.col(text)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # so that no column of theirs meets one of ours
+    d = scanned(docs.select(whole.alias("_doc"), F.col(text).alias("_text")), table, "_text")
+    t = F.col("_text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     cut = F.aggregate(
         "spans",
@@ -174,7 +174,8 @@ def redacted(docs: DataFrame, table: list[float], text: str = "text") -> DataFra
         ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))),
     )
-    return d.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(t)).select(*(F.col(f"`{c}`") for c in cols))
+    masked = F.when(F.size("spans") > 0, cut).otherwise(t)
+    return d.select(*((masked if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def op8(docs: DataFrame) -> DataFrame:

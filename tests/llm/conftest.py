@@ -1,7 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, h string, spans string, base int, fp long, tag string"
-LONG = "word%d and more text, " * 3
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, h string, spans string, base int, fp long, tag string, score double, lang_pred string, row int, times int"
 
 
 def rows():
@@ -11,7 +10,7 @@ def rows():
         (None, "El perro come y la casa es grande", "es", "b", 33), (7, "漢字 and ñandú 😀 é́", None, "c", 18),
         (8, "line one is here\n" * 40, "en", "a", 680), (9, " ".join(f"w{i % 97}" for i in range(60_000)), "en", "hot", 0),
     ]
-    return [(*r, 7, 0.5, "x", "y", 3, 11, "z") for r in out]
+    return [(*r, 7, 0.5, "x", "y", 3, 11, "z", 0.1, "q", 1, 2) for r in out]
 
 
 @pytest.fixture(scope="session")
