@@ -158,17 +158,54 @@ def matching(index: DataFrame, node) -> DataFrame:
     return a.join(b, "chunk_id", "left_semi" if node.kind == "and" else "left_anti")
 
 
+def _leaves(node) -> list[Term]:
+    return [node] if isinstance(node, Term) else _leaves(node.left) + _leaves(node.right)
+
+
+def _holds(node, leaves: list[Term]) -> Column:
+    """A query as a condition on ``seen``, the array of leaves found in a chunk."""
+    if isinstance(node, Term):
+        return F.array_contains("seen", leaves.index(node))
+    a, b = _holds(node.left, leaves), _holds(node.right, leaves)
+    return a | b if node.kind == "or" else a & b if node.kind == "and" else a & ~b
+
+
+def _word_hits(index: DataFrame, leaves: list[Term]) -> DataFrame:
+    """(chunk_id, q, tf) of words and prefixes, in one pass over the index; q numbers the leaves."""
+    is_ = [F.col("term").startswith(t.words[0]) if t.prefix else F.col("term") == t.words[0] for t in leaves]
+    any_ = is_[0]
+    for c in is_[1:]:
+        any_ = any_ | c
+    which = F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(is_))), lambda x: x.isNotNull())
+    rows = index.where(any_).select("chunk_id", "tf", F.explode(which).alias("q"))
+    return rows.groupBy("chunk_id", "q").agg(F.sum("tf").alias("tf"))
+
+
+def _candidates(index: DataFrame, node) -> DataFrame:
+    """(chunk_id, q, tf) of the scoring leaves, and whether the chunk matches."""
+    leaves = list(dict.fromkeys(_leaves(node)))
+    if not all(t.words for t in leaves):  # a query without a word finds nothing
+        return index.where(F.lit(False)).select("chunk_id", F.lit(0).alias("q"), "tf", F.lit(False).alias("match"))
+    scoring = sorted({leaves.index(t) for t in terms_of(node)})
+    if all(len(t.words) == 1 for t in leaves):
+        hits = _word_hits(index, leaves)
+        found = hits.groupBy("chunk_id").agg(F.collect_set("q").alias("seen"), F.collect_list(F.struct("q", "tf")).alias("hits"))
+        found = found.select("chunk_id", _holds(node, leaves).alias("match"), F.explode("hits").alias("h"))
+        return found.select("chunk_id", "match", "h.q", "h.tf").where(F.col("q").isin(scoring))
+    hits = None
+    for i in scoring:
+        rows = _hits(index, leaves[i]).withColumn("q", F.lit(i))
+        hits = rows if hits is None else hits.unionByName(rows)
+    wanted = matching(index, node).withColumn("match", F.lit(True))
+    return hits.join(wanted, "chunk_id", "left").withColumn("match", F.coalesce("match", F.lit(False)))
+
+
 def ranked(index: DataFrame, sizes: DataFrame, query: str, k: int | None) -> DataFrame:
     """(chunk_id, score): the k best matching chunks by BM25, ties by id."""
-    node = parse(query)
-    score = None
     stats = sizes.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("mean"))
-    wanted = matching(index, node)
-    for i, term in enumerate(dict.fromkeys(terms_of(node))):
-        hits = _hits(index, term).withColumn("q", F.lit(i))
-        score = hits if score is None else score.unionByName(hits)
-    seen = score.groupBy("q").agg(F.count("*").alias("n"))
-    d = score.join(F.broadcast(seen), "q").join(wanted, "chunk_id", "left_semi").join(sizes, "chunk_id").join(F.broadcast(stats))
+    d = _candidates(index, parse(query))
+    seen = d.groupBy("q").agg(F.count("*").alias("n"))  # in how many chunks a leaf occurs, matching or not
+    d = d.where("match").join(F.broadcast(seen), "q").join(sizes, "chunk_id").join(F.broadcast(stats))
     idf = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
     tf = F.col("tf")

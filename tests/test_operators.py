@@ -175,6 +175,9 @@ def test_index_on_disk(spark, tmp_path):
     p = S.read_postings(spark, str(tmp_path / "ix"), ["cat", "dog"], 4).select("term", "chunk_id", "tf", "positions")
     n = spark.read.parquet(str(tmp_path / "ix/lengths"))
     assert [r[0] for r in S.ranked(p, n, "cat OR dog", 3).collect()] == [r[0] for r in S.ranked(S.postings(c), S.lengths(c), "cat OR dog", 3).collect()]
+    assert S.ranked(p, n, " ?! ", 3).isEmpty()
+    got = {q: sorted(r[0] for r in S.ranked(S.postings(c), S.lengths(c), q, 9).collect()) for q in ("cat dog", "dog NOT cat", '"the cat" OR do*', "(cat OR dog) NOT sat")}
+    assert got == {"cat dog": [2], "dog NOT cat": [3], '"the cat" OR do*': [1, 2, 3], "(cat OR dog) NOT sat": [2, 3]}
     v = S.embed_pending(c.withColumn("embedding", F.lit(None).cast("array<float>")), S.hashing_embedder(16), "m", None)
     assert all(len(r["embedding"]) == 16 for r in v.collect())
 
