@@ -42,6 +42,8 @@ BLOCK = 2048
 BROADCAST_KEYS = 100_000
 CHUNK = 255 * 256
 HOT_SHARE = 1000
+#: Distinct fingerprints whose keys one task makes.
+PRINTS_PER_TASK = 250_000
 #: Column that holds a row's fingerprint on the way.
 PRINT = "_simhash64"
 
@@ -147,6 +149,9 @@ def _dense_links(stored: DataFrame, asking: DataFrame, dense: DataFrame) -> Data
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) pairs of the distinct fingerprints ``fp``, at most DISTANCE bits apart, or a spanning forest of them."""
+    conf = prints.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), prints.count() // PRINTS_PER_TASK)
+    prints = prints.repartition(parts, "fp")  # 72 keys each follow, so few small partitions would be few long tasks
     stored = prints.select("fp", F.explode(_keys(F.col("fp"), [0])).alias("key"))
     flips = [0, *(1 << b for b in range(WIDTH))]
     asking = prints.select("fp", F.explode(_keys(F.col("fp"), flips)).alias("key"))
