@@ -13,10 +13,13 @@ class Conflict(ValueError):
     """A name is taken, or a change is not allowed."""
 
 
-def duplicate_groups(docs: DataFrame, hashes: tuple[str, ...] = ("sha256",)) -> DataFrame:
-    """Groups of equal content: canonical (lowest id) and the other ids, sorted."""
-    g = docs.groupBy(*hashes).agg(F.min("id").alias("canonical"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return g.where(F.size("ids") > 1).select(*hashes, "canonical", F.slice("ids", F.lit(2), F.size("ids") - 1).alias("duplicates"))
+def duplicates(docs: DataFrame, hashes: tuple[str, ...] = ("sha256",)) -> DataFrame:
+    """(hashes, canonical, duplicate): one row per document whose content a lower id has too.
+
+    Rows rather than lists, so a group may hold any share of all documents.
+    """
+    g = docs.groupBy(*hashes).agg(F.min("id").alias("canonical"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return docs.select("id", *hashes).join(g, list(hashes)).where("id <> canonical").select(*hashes, "canonical", F.col("id").alias("duplicate"))
 
 
 def sha3_256():
@@ -32,7 +35,7 @@ def verified_duplicates(docs: DataFrame) -> DataFrame:
     """Bucket by SHA-256, hash again by SHA3-256 only where a bucket has two rows, group by both."""
     often = docs.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1").select("sha256")
     d = docs.join(often, "sha256", "left_semi").withColumn("sha3", sha3_256()(F.col("text")))
-    return duplicate_groups(d, ("sha256", "sha3"))
+    return duplicates(d, ("sha256", "sha3"))
 
 
 def canonical_ids(docs: DataFrame) -> DataFrame:

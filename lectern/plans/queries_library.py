@@ -124,11 +124,10 @@ def folder_stats(spark, sf_dir):
     return C.folder_stats(L.documents(spark, sf_dir), spark.createDataFrame([(d,) for d in _DIRS], "dir string"))
 
 
-@query("dup_groups", Q + """SELECT sha256, min(id) AS canonical, array_to_string(list_sort(list(id))[2:], ',') AS duplicates
-FROM docs GROUP BY sha256 HAVING count(*) > 1""")
+@query("dup_groups", Q + """, g AS (SELECT id, sha256, min(id) OVER (PARTITION BY sha256) AS canonical FROM docs)
+SELECT sha256, canonical, id AS duplicate FROM g WHERE id <> canonical""")
 def dup_groups(spark, sf_dir):
-    g = M.duplicate_groups(L.documents(spark, sf_dir))
-    return g.withColumn("duplicates", F.array_join(F.col("duplicates").cast("array<string>"), ","))
+    return M.duplicates(L.documents(spark, sf_dir))
 
 
 @query("sha3_groups")
@@ -136,8 +135,7 @@ def sha3_groups(spark, sf_dir):
     from ..session import ship
 
     ship(spark)
-    g = M.verified_duplicates(L.documents(spark, sf_dir))
-    return g.withColumn("duplicates", F.array_join(F.col("duplicates").cast("array<string>"), ","))
+    return M.verified_duplicates(L.documents(spark, sf_dir))
 
 
 @query("first_path_wins", Q + "SELECT path, CASE WHEN path = min(path) OVER (PARTITION BY sha256) THEN 'added' ELSE 'duplicate' END AS action FROM docs")

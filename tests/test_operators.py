@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +41,9 @@ def test_scopes(lib):
 
 def test_merge(lib):
     to = M.canonical_ids(lib["documents"])
-    assert M.duplicate_groups(lib["documents"]).select("canonical", "duplicates").collect() == [(2, [3])]
+    assert M.duplicates(lib["documents"]).select("canonical", "duplicate").collect() == [(2, 3)]
+    checked = M.verified_duplicates(lib["documents"].withColumn("text", F.col("sha256"))).first()
+    assert (checked["canonical"], checked["duplicate"], checked["sha3"]) == (2, 3, hashlib.sha3_256(b"h2").hexdigest())
     assert sorted(map(tuple, M.merged_tags(lib["tags"], to).collect())) == [(1, "transformer", "vocab"), (2, "shared", "manual"), (2, "transformer", "vocab")]
     assert list(map(tuple, M.merged_members(lib["members"], to).collect())) == [(1, 2)]
     left = M.deleted(lib, lib["documents"].where("id = 3").select("id"))
