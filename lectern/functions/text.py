@@ -9,7 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EDGES = r"^\s+|\s+$"
-JUNK = ("unknown", "none", "n/a", "na", "null", "untitled", "-", "anonymous")
+# Placeholders that stand for nothing.
+JUNK = ("unknown", "untitled", "unspecified", "anonymous", "none", "n/a", "na", "null")
+JUNK_CATEGORY = (
+    "unknown", "untitled", "unspecified", "none", "n/a", "na", "null", "other", "misc", "miscellaneous", "general", "documents", "library", "uncategorized",
+)
 JUNK_INGEST = (*JUNK, "not specified", "not available")
 HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -52,11 +56,11 @@ def first_non_empty(*cols: Column) -> Column:
 
 
 def note_title(body: Column, note_id: Column) -> Column:
-    """First line with something on it, without list and heading marks, cut to 60 characters."""
-    lines = F.filter(F.split(body, "\n"), lambda x: trimmed(x) != "")
-    t = trimmed(F.regexp_replace(trimmed(F.get(lines, F.lit(0))), r"^[#*\-> ]+", ""))
+    """First line that says something without its list and heading marks, cut to 60 characters."""
+    lines = F.transform(F.split(body, "\n"), lambda x: trimmed(F.regexp_replace(x, r"^[#*\-> ]+", "")))
+    t = F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
     cut = F.when(F.length(t) > 60, F.concat(F.substring(t, 1, 60), F.lit("…"))).otherwise(t)
-    return F.coalesce(F.nullif(cut, F.lit("")), F.concat(F.lit("Note #"), note_id.cast("string")))
+    return F.coalesce(cut, F.concat(F.lit("Note #"), note_id.cast("string")))
 
 
 def clean_meta(c: Column, junk=JUNK_INGEST) -> Column:
@@ -74,10 +78,10 @@ def vocabulary_key(c: Column) -> Column:
     return F.lower(trimmed(c))
 
 
-def normal_category(c: Column, junk=JUNK_INGEST) -> Column:
+def normal_category(c: Column, junk=JUNK_CATEGORY) -> Column:
     """Lower-case, blanks as hyphens, at most 40 characters, junk as empty."""
-    t = F.lower(trimmed(F.coalesce(c, F.lit(""))))
-    return F.when(t.isin(*junk), "").otherwise(F.substring(F.regexp_replace(t, r"\s+", "-"), 1, 40))
+    t = F.regexp_replace(F.lower(trimmed(F.coalesce(c, F.lit("")))), r"\s+", "-")
+    return F.when(t.isin(*junk), "").otherwise(F.substring(t, 1, 40))
 
 
 def clamped_interval(c: Column) -> Column:

@@ -152,6 +152,13 @@ def filtered_tags(tags: Column, category: Column) -> Column:
     return F.when(F.size(left) == 0, tags).otherwise(left)
 
 
+def respelled(results: DataFrame, docs: DataFrame) -> DataFrame:
+    """Results whose category equals an existing shelf but for its case take the shelf's spelling."""
+    shelves = docs.where("category <> ''").groupBy(F.lower("category").alias("_low")).agg(F.min("category").alias("_shelf"))
+    r = results.join(shelves, F.lower("category") == F.col("_low"), "left")
+    return r.withColumn("category", F.coalesce("_shelf", "category")).drop("_low", "_shelf")
+
+
 def constrained_tags(proposed: Column, vocabulary: list[str], category: Column, most: int = 6) -> Column:
     """Struct of accepted tags (in the vocabulary) and at most two others."""
     known = F.array(*(F.lit(v) for v in vocabulary))

@@ -22,12 +22,11 @@ def _values(rows) -> str:
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
-NOTES = [(1, "\n# A heading\nbody"), (2, "   \n"), (3, "- " + "long words " * 12), (4, "plain"), (5, "> * quoted")]
+NOTES = [(1, "\n# A heading\nbody"), (2, "   \n"), (3, "- " + "long words " * 12), (4, "plain"), (5, "> * quoted"), (6, "---\n## real"), (7, "-- #")]
 
 
 @query("note_titles", rf"""WITH n(id, body) AS {_values(NOTES)},
-l AS (SELECT id, list_filter(string_split(body, chr(10)), lambda x: {_TRIM.format('x')} <> '')[1] AS x FROM n),
-t AS (SELECT id, {_TRIM.format(rf"regexp_replace({_TRIM.format('x')}, '^[#*\-> ]+', '')")} AS t FROM l)
+t AS (SELECT id, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_TRIM.format(r"regexp_replace(x, '^[#*\-> ]+', '')")}), lambda x: x <> '')[1] AS t FROM n)
 SELECT id::BIGINT AS id, CASE WHEN t IS NULL OR t = '' THEN 'Note #' || id WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS title FROM t""")
 def note_titles(spark, sf_dir):
     return spark.createDataFrame(NOTES, "id long, body string").select("id", T.note_title(F.col("body"), F.col("id")).alias("title"))

@@ -78,6 +78,12 @@ def test_tags(spark):
     assert got["tags"] == ["logic", "poetry"] and got["other"] == ["new", "b"]
 
 
+def test_respelled(spark):
+    d = spark.createDataFrame([("AI/ML",), ("cs",)], "category string")
+    r = spark.createDataFrame([(1, "ai/ml"), (2, "new")], "id long, category string")
+    assert sorted(map(tuple, M.respelled(r, d).select("id", "category").collect())) == [(1, "AI/ML"), (2, "new")]
+
+
 def test_packing(spark):
     f = lambda t, n: spark.range(1).select(C.packed(F.lit(t), n)).first()[0]
     assert f("aaa\n\nbbb\n\ncccccccccc\n\n ", 8) == ["aaa\n\nbbb", "cccccccccc"] or f("aaa\n\nbbb\n\ncccccccccc\n\n ", 8)[0] == "aaa\n\nbbb"
