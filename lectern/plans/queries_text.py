@@ -144,6 +144,7 @@ PINS = [(101, "course", "methods results measurements detail"), (102, "course",
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda t: strlen(t) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in K.KIND_STOPWORDS) + "], t)))"
 _OVER = f""", pins(example, kind, text) AS {_values(PINS)},
 o AS (SELECT fx.id, example, kind, len(list_intersect({_TOK.format('fx.text')}, {_TOK.format('pins.text')})) AS shared FROM fx CROSS JOIN pins)"""
+_OVER_SHELF = _OVER.replace(", ".join(f"'{w}'" for w in K.KIND_STOPWORDS), ", ".join(f"'{w}'" for w in K.STOPWORDS))
 
 
 @query("kind_with_pins", _FX + _kind_scores("fx") + _OVER + """, w AS (SELECT id, kind, CASE WHEN shared < 2 THEN 0 ELSE least(4, 3 + 0.25::DOUBLE * (shared - 2)) END AS w FROM o),
@@ -154,12 +155,12 @@ def kind_with_pins(spark, sf_dir):
     return K.with_examples(d, pins)
 
 
-@query("best_examples", _FX + _OVER + ", r AS (SELECT id, example, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, example) AS n FROM o WHERE shared >= 2) SELECT id::BIGINT AS id, example::BIGINT AS example, shared::BIGINT AS shared FROM r WHERE n <= 3")
+@query("best_examples", _FX + _OVER_SHELF + ", r AS (SELECT id, example, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, example) AS n FROM o WHERE shared >= 2) SELECT id::BIGINT AS id, example::BIGINT AS example, shared::BIGINT AS shared FROM r WHERE n <= 3")
 def best_examples(spark, sf_dir):
     from pyspark.sql import Window
 
-    d = _fixtures(spark).select("id", K.tokens(F.col("text")).alias("tokens"))
-    pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", K.tokens(F.col("text")).alias("tokens"))
+    d = _fixtures(spark).select("id", K.tokens(F.col("text"), K.STOPWORDS).alias("tokens"))
+    pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", K.tokens(F.col("text"), K.STOPWORDS).alias("tokens"))
     w = Window.partitionBy("id").orderBy(F.col("shared").desc(), "example")
     o = K.overlap(d, pins).where("shared >= 2").withColumn("n", F.row_number().over(w))
     return o.where("n <= 3").select("id", "example", "shared")
