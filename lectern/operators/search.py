@@ -214,16 +214,21 @@ def ranked(index: DataFrame, sizes: DataFrame, query: str, k: int | None) -> Dat
     return out if k is None else out.orderBy(F.col("score").desc(), "chunk_id").limit(k)
 
 
-def snippet(text: Column, terms: list[str], size: int = SNIPPET_TOKENS) -> Column:
-    """The first window of ``size`` tokens with the most distinct terms, matches in brackets."""
-    t = tokens(text)
+def with_snippet(hits: DataFrame, terms: list[str], size: int = SNIPPET_TOKENS) -> DataFrame:
+    """``hits`` plus ``snippet``: the first window of ``size`` tokens with the most distinct terms, matches in brackets.
+
+    Tokens and the best window are columns of their own, so they are made once per hit.
+    """
     known = F.array(*(F.lit(x) for x in terms))
+    t, best = F.col("_tokens"), F.col("_best")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - size + 1))
-    best = F.array_max(F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice(t, i, size), known)).alias("n"), (-i).alias("at"))))
+    windows = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice(t, i, size), known)).alias("n"), (-i).alias("at")))
+    d = hits.withColumn("_tokens", tokens(F.col("text"))).withColumn("_best", F.array_max(windows))
     shown = F.transform(F.slice(t, -best["at"], size), lambda w: F.when(F.array_contains(known, w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return F.concat(
+    cut = F.concat(
         F.when(best["at"] < -1, "…").otherwise(""), F.array_join(shown, " "), F.when(-best["at"] + size <= F.size(t), "…").otherwise("")
     )
+    return d.withColumn("snippet", cut).drop("_tokens", "_best")
 
 
 def keyword(chunks: DataFrame, docs: DataFrame, query: str, k: int = 20) -> DataFrame:
@@ -231,9 +236,8 @@ def keyword(chunks: DataFrame, docs: DataFrame, query: str, k: int = 20) -> Data
     terms = sorted({w for t in terms_of(parse(query)) for w in t.words})
     top = ranked(postings(chunks), lengths(chunks), query, k)
     hit = chunks.join(F.broadcast(top), F.col("id") == F.col("chunk_id"))
-    return hit.join(docs.select(F.col("id").alias("doc_id"), "path"), "doc_id").select(
-        "chunk_id", "doc_id", "path", "score", snippet(F.col("text"), terms).alias("snippet")
-    )
+    hit = hit.join(docs.select(F.col("id").alias("doc_id"), "path"), "doc_id")
+    return with_snippet(hit, terms).select("chunk_id", "doc_id", "path", "score", "snippet")
 
 
 # ---------------------------------------------------------------- vectors
