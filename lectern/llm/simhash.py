@@ -23,6 +23,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) > words else iter((b" ".join(w),))
     total, ones = 0, np.zeros(64, dtype=np.int64)
     while True:
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s, _ in zip(shingles, range(CHUNK))), dtype=np.uint64)
+        h = np.fromiter((xxh64_intdigest(s, SEED) for s in islice(shingles, CHUNK)), dtype=np.uint64)
         if not len(h):
             break
         total += len(h)

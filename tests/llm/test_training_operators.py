@@ -345,6 +345,21 @@ def test_fingerprint_by_definition():
     assert simhash.fingerprint(" ") == 0
 
 
+def test_fingerprint_of_several_chunks():
+    """Every shingle counts, at chunk borders too: two shingles take turns, so that each bit is decided by few."""
+    from xxhash import xxh64_intdigest
+
+    for n in (simhash.CHUNK + 1, 2 * simhash.CHUNK + 1, 2 * simhash.CHUNK + 2):
+        for words in (1, 3):
+            w = [b"odd" if i % 2 else b"even" for i in range(n + words - 1)]
+            ones = np.zeros(64, dtype=np.int64)
+            for i in range(n):
+                h = xxh64_intdigest(b" ".join(w[i : i + words]), 42)
+                ones += [h >> b & 1 for b in range(64)]
+            want = sum(1 << b for b in range(64) if 2 * ones[b] > n)
+            assert simhash.fingerprint(b" ".join(w).decode(), words) & (1 << 64) - 1 == want
+
+
 def test_pigeonring_loses_nothing():
     rng = np.random.default_rng(2)
     for _ in range(3000):
