@@ -21,10 +21,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .licence_texts import NOTICES, TEXTS
-
-#: Patterns valid alike in Java, RE2 and Python.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+from .licence_texts import LONG_TEXTS, NOTICES, TEXTS
+
+#: Words after "copyright" that go on with a sentence of the licence, wrapped there, and are no holder's name.
+PROSE = "holder|owner|notice|law|licen[sc]e|statement|treat|interest|claim|protect|permission|right|disclaimer|and|or|in|is|are|of|to|on|that|as|for|under|can|may|does|do|has"
+#: A notice: copyright with a sign, a year or a name behind it, a sign with a year, or the usual second line.
+COPYRIGHT_LINE = (
+    rf"(^|\n)[ \t*#/]*(copyright[ \t]*(:|©|\(c\)|[ \t](?!({PROSE})(d|s|y|ies|ed|able)?\b)[^\s])|\(c\)[ \t]*(copyright\b|[0-9]{{4}})|©|all rights reserved)[^\n]*"
+)
+#: What the SQL twin takes for one; it stays as it was, so it drops any line that begins so.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 #: Equivalent spellings, between blanks.
 SPELLINGS = (
@@ -32,8 +38,10 @@ SPELLINGS = (
     (r" acknowledgement", " acknowledgment"), (r" non infringement ", " noninfringement "), (r" https? ", " http "),
     (r" (copyright owner|copyright holder)s? ", " copyright holder "), (r" per cent ", " percent "),
 )
-#: Every known notice has one of these in its lower-case form; texts without any are not split.
-MARK = r"licen[sc]e|cc by|cc0| under "
+#: Every known notice has this word, which the canonical form keeps; texts and lines without it are not looked at.
+MARK = r"(^|[^\p{L}\p{N}])under($|[^\p{L}\p{N}])"
+#: The SQL twin's narrower choice of lines.
+SQL_MARK = r"licen[sc]e|cc by|cc0| under "
 
 
 def canonical(text: Column) -> Column:
@@ -44,24 +52,24 @@ def canonical(text: Column) -> Column:
     return F.btrim(t)
 
 
-def canonical_text(text: str) -> str:
+def canonical_text(text: str, copyright_line: str = COPYRIGHT_LINE) -> str:
     """The same in Python, for the known texts."""
-    t = re.sub(COPYRIGHT_LINE, r"\1", text.lower())
+    t = re.sub(copyright_line, r"\1", text.lower())
     t = " " + re.sub(r"[\W_]+", " ", t) + " "
     for a, b in SPELLINGS:
         t = re.sub(a, b, t)
     return t.strip(" ")
 
 
-def _digests(known) -> list[tuple[str, str]]:
-    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), spdx) for spdx, t in known})
+def _digests(known, copyright_line: str = COPYRIGHT_LINE) -> list[tuple[str, str]]:
+    return sorted({(hashlib.sha256(canonical_text(t, copyright_line).encode()).hexdigest(), spdx) for spdx, t in known})
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus digest, licence (of the whole text, or null) and notices (array of SPDX ids, sorted)."""
     spark = docs.sparkSession
-    assert all(re.search(MARK, t.lower()) for _, t in NOTICES)
-    known = spark.createDataFrame(_digests(TEXTS), "digest string, licence string")
+    assert all("under" in canonical_text(t).split(" ") for _, t in NOTICES)
+    known = spark.createDataFrame(sorted({*_digests(TEXTS), *LONG_TEXTS}), "digest string, licence string")
     names = _digests(NOTICES)
     by_digest = F.create_map(*(F.lit(x) for pair in names for x in pair))
     t = F.coalesce(F.col(text), F.lit(""))
@@ -84,7 +92,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def _canonical_sql(x: str) -> str:
-    t = f"regexp_replace(lower(coalesce({x}, '')), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    t = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_COPYRIGHT_LINE}', '\\1', 'g')"
     t = f"(' ' || regexp_replace({t}, '{NOT_ALNUM}', ' ', 'g') || ' ')"
     for a, b in SPELLINGS:
         t = f"regexp_replace({t}, '{a}', '{b}', 'g')"
@@ -92,14 +100,14 @@ def _canonical_sql(x: str) -> str:
 
 
 def oracle() -> str:
-    values = lambda known: ", ".join(f"('{d}', '{s}')" for d, s in _digests(known))
+    values = lambda known: ", ".join(f"('{d}', '{s}')" for d, s in _digests(known, SQL_COPYRIGHT_LINE))
     return f"""
 WITH known(digest, licence) AS (VALUES {values(TEXTS)}),
 notice(digest, licence) AS (VALUES {values(NOTICES)}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
 l AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
 n AS (SELECT rid, list_sort(list(DISTINCT notice.licence)) AS notices
-      FROM l JOIN notice ON notice.digest = sha256({_canonical_sql('line')}) WHERE regexp_matches(lower(line), '{MARK}') GROUP BY rid)
+      FROM l JOIN notice ON notice.digest = sha256({_canonical_sql('line')}) WHERE regexp_matches(lower(line), '{SQL_MARK}') GROUP BY rid)
 SELECT doc_id, d.digest, known.licence, coalesce(array_to_string(notices, ','), '') AS notices, coalesce(len(notices), 0)::BIGINT AS n_notices
 FROM d LEFT JOIN known ON known.digest = d.digest LEFT JOIN n USING (rid)
 """

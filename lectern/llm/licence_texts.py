@@ -65,6 +65,23 @@ IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or impli
 language governing permissions and limitations under the License."""),
 )
 
+#: (canonical digest, SPDX id) of long texts, as published and without what follows their terms (how to apply them).
+LONG_TEXTS = (
+    ("04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543", "Apache-2.0"),
+    ("119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40", "Apache-2.0"),
+    ("c683128a79af968653f7a06709159e41adcfcb00ca1e8ab9ffa1d516dcf82123", "GPL-2.0"),
+    ("393d838a3fcdf4be802c0512341c9f00cc4c10adb56ebbf01687ff37049a19dd", "GPL-2.0"),
+    ("ab0ff01b5102d67da216e91690a50504aebf46513a85db94155933b2db63283f", "GPL-3.0"),
+    ("22fb9eab6c587ba29bf311c60aba8ee70bbd3dc03ec5eecdfb7f3b4188c969cd", "GPL-3.0"),
+    ("bc7898eef7d53923eff574c7a898468049b8e1e90eef19ba0b8132904dd70a66", "LGPL-2.1"),
+    ("e8fee7034b6432f7d6c16577b34654c02947180c540389d03e5e06c427f0f4f5", "LGPL-2.1"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
+    ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", "MPL-2.0"),
+    ("cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", "CC0-1.0"),
+    ("0e8037f213cf5b762cfe55777c02772a1bc561cb73cd966997a0d2cb1f385657", "AGPL-3.0"),
+    ("2299534f97fea828375c1439d345166789a1d8441aea4185881b9df420138165", "AGPL-3.0"),
+)
+
 #: Names under which a one-line notice cites a licence.
 NAMES = (
     ("MIT", "MIT License"),

@@ -284,6 +284,31 @@ def test_licences(spark):
     assert got[1]["licence"] == "MIT-0" and got[2]["licence"] is None and got[3]["notices"] == ["CC-BY-NC-4.0", "MIT"] and got[4]["notices"] == []
 
 
+def test_licences_however_wrapped(spark):
+    """The same licence in other lines, notices in other punctuation, and whole long texts where the system has them."""
+    import textwrap
+    from pathlib import Path
+
+    from lectern.llm.licence_texts import TEXTS
+
+    want = [(spdx, t) for spdx, t in TEXTS if not t.startswith("Licensed")]
+    rows = [(spdx, "Copyright (c) 2020 Some Body\n\n" + "\n".join(textwrap.wrap(t, width, initial_indent=" * ", subsequent_indent=" * "))) for spdx, t in want for width in (30, 40, 60, 78, 80, 100, 10_000)]
+    as_usual = "SOFTWARE.\nIN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY"
+    assert "authors or copyright holder be liable" in licence_scan.canonical_text(as_usual)
+    for notice in ("copyright (c) 2020 a", "copyright 2020 a", "© a", "copyright jane doe", "(c) 2020 a", "all rights reserved."):
+        assert licence_scan.canonical_text("x\n" + notice + "\ny") == "x y"
+    assert licence_scan.canonical_text("(b) x\n(c) you must retain\ncopyright notice") == "b x c you must retain copyright notice"
+    common = Path("/usr/share/common-licenses")
+    for spdx, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0")):
+        if (common / name).exists():
+            rows.append((spdx, " ".join((common / name).read_text().split("\n\n")[0].split()) + "\n\n" + (common / name).read_text().split("\n\n", 1)[1]))
+    got = licence_scan.scanned(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert len(got) == len(rows) and [(r["want"], r["licence"]) for r in got if r["want"] != r["licence"]] == []
+    lines = [("CC-BY-4.0", "a\nReleased under: CC-BY 4.0\nb"), ("CC-BY-SA-3.0", "(Published under: CC-BY-SA-3.0)"), ("", "misunderstand CC-BY 4.0")]
+    got = licence_scan.scanned(spark.createDataFrame(lines, "want string, text string")).collect()
+    assert all(",".join(r["notices"]) == r["want"] for r in got)
+
+
 def test_ledger(docs, odd):
     for df in (docs, odd):
         want = Counter()
