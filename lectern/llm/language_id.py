@@ -13,7 +13,8 @@ Defined results: a null text and one without a letter get ``und`` and score 0, a
 text when nothing could be learned; ties go to the first language in code point order; rows without
 a language are never trained on; repeated rows give equal rows; extra columns pass through
 ``identified`` (columns named like its results are replaced); an empty table gives an empty result.
-A run of more than 40 letters is scored in consecutive parts of 40 (to stay inside a double's range).
+Words are never cut: those of more than 40 letters, and those whose probability comes near the end of a
+double's range (letters that a large corpus never showed), are computed with logarithms.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ from pyspark.sql import functions as F
 
 START = "▁"
 UNKNOWN = 1e-7
-PART = 40
+#: Longer words, and those with a smaller probability in any language, are computed with logarithms.  Up to this length the start
+#: distribution stays inside a double's range; above the bound what plain doubles lose does not show.
+PLAIN_LETTERS, PLAIN_LEAST = 40, 1e-250
 ALPHA = 0.05
 #: Distinct words whose counts a training task holds before it folds them into piece sums.
 COUNTED_WORDS = 500_000
 #: Words a worker keeps scored (one row of doubles each; a full table starts anew), words of texts that it
 #: scores together, and words whose lattices are built together.
 SCORED_WORDS, TOGETHER, WORDS_AT_ONCE = 800_000, 200_000, 20_000
+#: Letters of words that are computed with logarithms together (one longer word goes alone).
+LETTERS_AT_ONCE = 200_000
 UNDETERMINED = "und"
 FOLDS = 5
 LETTERS = regex.compile(r"\p{L}+")
@@ -94,7 +99,7 @@ class Pieces:
         piece = np.concatenate([piece, np.full_like(bare, self.size)])
         own = np.repeat(np.arange(len(found)), sizes)
         local = start - first[own[start]]
-        order = np.argsort(local.astype(np.int16), kind="stable")
+        order = np.argsort(local.astype(np.int16 if sizes.max() < 1 << 15 else np.int64), kind="stable")
         source = (start + own[start])[order]
         steps = np.searchsorted(local[order], np.arange(int(sizes.max()) + 1))
         nodes = first + np.arange(len(found))
@@ -109,9 +114,46 @@ class Pieces:
             a[to[i:j]] += a[source[i:j]] * p[piece[i:j]]  # one edge at most to a node in a step
         return a
 
+    @staticmethod
+    def _log_forward(lattice, logs: np.ndarray) -> np.ndarray:
+        """``_forward`` with logarithms, which neither underflow nor need short words."""
+        source, to, piece, steps, first, last = lattice
+        a = np.full((last[-1] + 1, *logs.shape[1:]), -np.inf)
+        a[first] = 0
+        for i, j in zip(steps, steps[1:]):
+            a[to[i:j]] = np.logaddexp(a[to[i:j]], a[source[i:j]] + logs[piece[i:j]])
+        return a
+
+    @staticmethod
+    def _in_parts(found: list[str], at: np.ndarray) -> Iterator[np.ndarray]:
+        """The indices ``at`` in parts whose words have a bounded number of letters together, like lengths together."""
+        at = sorted(at, key=lambda k: len(found[k]))
+        part, n = [], 0
+        for k in at:
+            if part and n + len(found[k]) > LETTERS_AT_ONCE:
+                yield np.array(part)
+                part, n = [], 0
+            part.append(k)
+            n += len(found[k])
+        if part:
+            yield np.array(part)
+
     def expected(self, found: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in the words, over all segmentations under the start distribution."""
         out = np.zeros(self.size + 1)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.start)
+        for part in self._in_parts(found, np.flatnonzero(sizes > PLAIN_LETTERS)):
+            lattice = source, to, piece, steps, first, last = self.lattices([found[k] for k in part])
+            a = self._log_forward(lattice, logs)
+            b = np.full_like(a, -np.inf)
+            b[last] = np.log(counts[part]) - a[last]
+            for i, j in reversed(list(zip(steps, steps[1:]))):
+                np.logaddexp.at(b, source[i:j], logs[piece[i:j]] + b[to[i:j]])
+            out += np.bincount(piece, weights=np.exp(a[source] + logs[piece] + b[to]), minlength=self.size + 1)
+        if (sizes > PLAIN_LETTERS).any():
+            found, counts = [w for w in found if len(w) <= PLAIN_LETTERS], counts[sizes <= PLAIN_LETTERS]
         for at in range(0, len(found), WORDS_AT_ONCE):
             some, n = found[at : at + WORDS_AT_ONCE], counts[at : at + WORDS_AT_ONCE]
             lattice = source, to, piece, steps, first, last = self.lattices(some)
@@ -126,11 +168,22 @@ class Pieces:
 
     def log_forward(self, found: list[str], tables: np.ndarray) -> np.ndarray:
         """log P(word) by word and language; ``tables``: piece by language."""
-        out = []
-        for at in range(0, len(found), WORDS_AT_ONCE):
-            lattice = self.lattices(found[at : at + WORDS_AT_ONCE])
-            out.append(np.log(self._forward(lattice, tables)[lattice[-1]]))
-        return np.concatenate(out)
+        out = np.empty((len(found), *tables.shape[1:]))
+        left = np.fromiter((len(w) > PLAIN_LETTERS for w in found), dtype=bool, count=len(found))
+        plain = np.flatnonzero(~left)
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[at : at + WORDS_AT_ONCE]
+            lattice = self.lattices([found[k] for k in some])
+            p = self._forward(lattice, tables)[lattice[-1]]
+            left[some] = (p < PLAIN_LEAST).any(axis=1)
+            out[some] = np.log(np.maximum(p, PLAIN_LEAST))
+        if left.any():
+            with np.errstate(divide="ignore"):
+                logs = np.log(tables)
+            for part in self._in_parts(found, np.flatnonzero(left)):
+                lattice = self.lattices([found[k] for k in part])
+                out[part] = self._log_forward(lattice, logs)[lattice[-1]]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -139,10 +192,7 @@ def pieces(path: str) -> Pieces:
 
 
 def words(text: str | None) -> list[str]:
-    found = LETTERS.findall((text or "").lower())
-    if any(len(w) > PART for w in found):
-        found = [w[i : i + PART] for w in found for i in range(0, len(w), PART)]
-    return found
+    return LETTERS.findall((text or "").lower())
 
 
 class Model:

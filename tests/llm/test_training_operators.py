@@ -219,6 +219,43 @@ def test_forward_sums_all_segmentations():
     assert abs(sum(e[k] * len(p) for p, k in ((p, q >> 6) for p, q in v.find.items())) - 3 * 4) < 1e-6
 
 
+def test_long_and_rare_words_in_full():
+    """Runs of letters that training never saw, under counts of a large corpus, and runs of any length."""
+    from fractions import Fraction
+
+    v = language_id.pieces(language_id.default_vocabulary())
+
+    def exact(s, p):
+        """log of the sum over all segmentations, in whole numbers."""
+        a = [Fraction(1)] + [Fraction(0)] * len(s)
+        for i in range(len(s)):
+            for n in range(1, min(64, len(s) - i) + 1):
+                k = v.find.get(s[i : i + n], None)
+                if k is not None or n == 1:
+                    a[i + n] += a[i] * Fraction(float(p[k >> 6] if k is not None else p[-1]))
+        return math.log(a[-1].numerator) - math.log(a[-1].denominator)
+
+    tables = []
+    for often in "the", "der":
+        c = np.full(v.size, language_id.ALPHA)
+        c[v.find.get(language_id.START + often) >> 6] = 1e9
+        tables.append(np.append(c / c.sum(), language_id.UNKNOWN))
+    tables = np.stack(tables, axis=1)
+    found = ["the", "世" * 40, "ж" * 40, "世界" * 50, "haus" * 30, "haus"]
+    got = v.log_forward(found, tables)
+    want = [[exact(language_id.START + w, tables[:, i]) for i in (0, 1)] for w in found]
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-9)
+    m = language_id.Model(language_id.default_vocabulary(), ["de", "en"], tables[:, ::-1])
+    assert language_id.words("世" * 100) == ["世" * 100]
+    (x,) = m.totals([language_id.words("世" * 40 + " the the")])
+    assert np.isfinite(x).all() and x.argmax() == 1
+    for w in ("ж" * 39, "haus" * 30, "世界" * 20_000):
+        e = v.expected([w, "the"], np.array([2.0, 3.0])) - v.expected(["the"], np.array([3.0]))
+        assert np.isfinite(e).all() and (e > -1e-9).all()
+        known = sum(e[q >> 6] * len(p) for p, q in v.find.items() if e[q >> 6] > 1e-9)
+        assert w[0] == "ж" or abs(known - 2 * (len(w) + 1)) < 1e-4 * len(w)
+
+
 def test_held_out_accuracy(docs, odd):
     got = {r["doc_id"]: r for r in language_id.op4(docs).collect()}
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
