@@ -136,7 +136,8 @@ def kind_scores(spark, sf_dir):
 
 @query("kind_documents", "WITH fx AS (SELECT doc_id AS id, left(text, 40000) AS text, 0 AS ocr, doc_id % 150 AS pages FROM documents)" + _kind_scores("fx") + f"SELECT id, {_best()} AS kind FROM s")
 def kind_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(40000)).alias("text"), (F.col("doc_id") % 150).alias("pages"))
+    """Whole texts; the twin reads their first 40,000 characters, so the two agree on texts up to that length."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 150).alias("pages"))
     return d.select("id", K.best_kind(K.scores(F.col("text"), F.lit(0), F.col("pages"))).alias("kind"))
 
 

@@ -210,3 +210,17 @@ def test_jobs(spark):
     for _ in range(FINISHED_KEPT + 5):
         j.run("x", lambda: None)
     assert len(j.history) == FINISHED_KEPT and j.history[-1]["status"] == "done"
+
+
+def test_kind_documents_reads_whole_texts(spark, tmp_path):
+    """Numbered chapters in the middle, references at the end and the size per page count behind character 40,000 as well."""
+    from lectern.plans import registry
+
+    filler = "some plain words in a row\n" * 2000
+    chapters = "".join(f"\n{i}. The body of things\nbody\n" for i in range(1, 7))
+    ends = "\nReferences\n" + "".join(f"[{i}] A. Body, 2020. doi:10.1000/x{i}\n" for i in range(1, 9))
+    rows = [(1, filler + chapters + filler), (2, filler * 2 + ends), (3, filler * 2), (4, filler + "\n" + ends + filler)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["kind"] for r in registry.QUERIES["kind_documents"](spark, str(tmp_path)).collect()}
+    # the fourth has its references between head and tail, which the classifier does not read for them
+    assert got == {1: "book", 2: "paper", 3: "", 4: ""}
