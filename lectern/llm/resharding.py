@@ -138,18 +138,32 @@ def assign(rows: DataFrame, shards: int = NEW_SHARDS) -> DataFrame:
     return d.join(F.broadcast(starts), ["shard", "old", "block"]).withColumn("slot", F.col("start") + F.col("nth") - 1).drop("start", "nth", "block")
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, out: str, key: str = "doc_id") -> DataFrame:
+def rewrite_affected(docs: DataFrame, assigned: DataFrame, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes what the transfers change, by new shard: rows received and the rest of shards that lost rows.
 
-    ``docs`` has the column ``old`` beside its own; its key is unique.  Files of shards that neither lose nor receive a row stay
-    as they are, and so do those of a shard that only receives.  Returns (shard, action), one row per
+    ``docs`` has the column ``old`` beside its own.  Keys may be null or repeated: the nth of the rows alike in old shard, key, size
+    and digest takes the nth of their places, so each row is written once.  Files of shards that neither lose nor receive a row
+    stay as they are, and so do those of a shard that only receives.  Returns (shard, action), one row per
     shard: ``untouched``, ``received`` (files beside the old ones) or ``rewritten`` (instead of them).
     """
     moved = assigned.where("shard != old")
     losing = moved.select(F.col("old").alias("shard")).distinct()
     gaining = moved.select("shard").distinct()
-    change = assigned.join(F.broadcast(losing.withColumnRenamed("shard", "old")), "old", "left_semi").select(key, "shard", "old")
-    docs.join(change, [key, "old"]).drop("old").write.partitionBy("shard").parquet(out)
+    lost = F.broadcast(losing.withColumnRenamed("shard", "old"))
+    alike = ["_old", "_key", "_size", "_crc"]
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("_order")).alias("_nth")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "old")).alias("_doc")
+    rows = docs.join(lost, "old", "left_semi").select(
+        whole, F.col("old").alias("_old"), F.col(f"`{key}`").alias("_key"), (F.octet_length(t) + F.lit(ROW_BYTES)).cast("long").alias("_size"),
+        F.crc32(t).alias("_crc"), F.lit(0).alias("_order"),
+    )
+    places = assigned.join(lost, "old", "left_semi").select(
+        "shard", F.col("old").alias("_old"), F.col("doc_id").alias("_key"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("slot").alias("_order")
+    )
+    a, b = rows.select("*", nth).alias("a"), places.select("*", nth).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*alike, "_nth")]
+    a.join(b, same).select("_doc.*", "shard").write.partitionBy("shard").parquet(out)
     every = assigned.select("shard").union(assigned.select("old")).distinct()
     return every.join(losing.withColumn("l", F.lit(True)), "shard", "left").join(gaining.withColumn("g", F.lit(True)), "shard", "left").select(
         "shard", F.when(F.col("l"), "rewritten").when(F.col("g"), "received").otherwise("untouched").alias("action")

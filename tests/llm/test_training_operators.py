@@ -162,6 +162,19 @@ def test_rewrite(spark, docs, tmp_path):
     assert set(acts.values()) <= {"untouched", "received", "rewritten"} and acts[5] == "received"
 
 
+def test_rewrite_of_null_and_repeated_keys(spark, tmp_path):
+    """Every row of a shard that loses rows is written once, whatever its key."""
+    rows = [(k, f"text {t}", n) for n, (k, t) in enumerate([(None, 1), (None, 1), (None, 2), *[(5, 3)] * 4, (5, 4), *((i, i) for i in range(10, 60))])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("old", F.lit(0)).cache()
+    a = resharding.assign(resharding.sized(d, F.col("old")), 3).cache()
+    acts = {r["shard"]: r["action"] for r in resharding.rewrite_affected(d, a, str(tmp_path / "out")).collect()}
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert acts == {0: "rewritten", 1: "received", 2: "received"} and out.columns == ["doc_id", "text", "row", "shard"]
+    assert sorted(r["row"] for r in out.collect()) == list(range(len(rows)))
+    alike = lambda df: Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in df.collect())
+    assert alike(out.withColumn("text_crc32", F.crc32("text"))) == alike(a)
+
+
 # ---------------------------------------------------------------- 3
 
 
