@@ -40,6 +40,12 @@ def collections_of_document(spark, sf_dir):
     return m.join(L.collections(spark, sf_dir), F.col("collection_id") == F.col("id")).select("doc_id", "name")
 
 
+@query("collections_of_all_documents", Q + "SELECT m.doc_id, c.name FROM members m JOIN collections c ON c.id = m.collection_id")
+def collections_of_all_documents(spark, sf_dir):
+    m = L.members(spark, sf_dir)
+    return m.join(L.collections(spark, sf_dir), F.col("collection_id") == F.col("id")).select("doc_id", "name")
+
+
 @query("collection_tags", Q + "SELECT collection_id, tag, count(*) AS n FROM members JOIN tags USING (doc_id) GROUP BY ALL")
 def collection_tags(spark, sf_dir):
     return L.members(spark, sf_dir).join(L.tags(spark, sf_dir), "doc_id").groupBy("collection_id", "tag").agg(F.count("*").alias("n"))

@@ -273,3 +273,39 @@ def settle_check(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("before", F.lag("value").over(w))
     return e.select("user_id", "event_id", F.coalesce(F.col("before") == F.col("value"), F.lit(False)).alias("settled"))
+
+
+def _whole(spark, sf_dir):
+    """All documents in the shape of the fixtures."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(0).cast("long").alias("ocr"), (F.col("doc_id") % 150).alias("pages"))
+
+
+# The operators above over whole tables and whole texts; they have no twin.
+
+
+@query("kind_scores_documents")
+def kind_scores_documents(spark, sf_dir):
+    d = _whole(spark, sf_dir).select("id", K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
+    return d.select("id", "score.*", K.best_kind(F.col("score")).alias("kind"))
+
+
+@query("kind_with_pins_documents")
+def kind_with_pins_documents(spark, sf_dir):
+    d = _whole(spark, sf_dir).select("id", K.tokens(F.col("text")).alias("tokens"), K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
+    pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", "kind", K.tokens(F.col("text")).alias("tokens"))
+    return K.with_examples(d, pins)
+
+
+@query("abstract_documents")
+def abstract_documents(spark, sf_dir):
+    return _whole(spark, sf_dir).select("id", K.abstract(F.col("text")).alias("abstract"))
+
+
+@query("front_matter_documents")
+def front_matter_documents(spark, sf_dir):
+    return _whole(spark, sf_dir).select("id", K.front_matter(F.col("text")).alias("front"))
+
+
+@query("toc_documents")
+def toc_documents(spark, sf_dir):
+    return _whole(spark, sf_dir).select("id", K.contents(F.col("text")).alias("toc"))

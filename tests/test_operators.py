@@ -224,3 +224,17 @@ def test_kind_documents_reads_whole_texts(spark, tmp_path):
     got = {r["id"]: r["kind"] for r in registry.QUERIES["kind_documents"](spark, str(tmp_path)).collect()}
     # the fourth has its references between head and tail, which the classifier does not read for them
     assert got == {1: "book", 2: "paper", 3: "", 4: ""}
+
+
+def test_section_queries_read_documents(spark, tmp_path):
+    """Sections, kinds and scores of stored documents, one row per document."""
+    from lectern.plans import registry
+
+    text = "filler\n" * 9000 + "Contents\nFirst things .... 3\nPreface\n" + "why it was made " * 30 + "\nAbstract\n" + "what it says " * 20 + "\nReferences\n[1] x\n"
+    spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {r["id"]: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("toc_documents")[1]["toc"] == "First things"
+    assert run("front_matter_documents")[1]["front"].startswith("why it was made")
+    assert run("abstract_documents")[1]["abstract"] == ("what it says " * 20).strip()
+    assert run("kind_scores_documents")[1]["paper"] == 6.0 and run("kind_with_pins_documents")[1]["kind"] == "paper"
+    assert all(len(run(f"{n}_documents")) == 3 for n in ("toc", "front_matter", "abstract", "kind_scores", "kind_with_pins"))
