@@ -1,7 +1,8 @@
 """Keyword search (BM25 over postings) and vector search.
 
-The postings table (term, chunk_id, tf, positions) is an inverted index that can be written once, partitioned by a
-hash of the term; a query reads only its terms' rows.
+The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index that is written once, in ranges of
+(term, chunk_id): a word or a prefix is a range of files and row groups, and a word of half the corpus spans many files.
+A row carries its chunk's length, so a query reads the rows of its terms and one row of statistics, and no text.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SNIPPET_TOKENS = 12
+#: Bytes of a row group: small ones, so that a term's range is cut close.
+INDEX_ROW_GROUP = 4 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -24,27 +27,30 @@ def tokens(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, positions) from (id, text)."""
-    t = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return t.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, chunk_id, tf, n_tokens, positions) from (id, text)."""
+    t = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("text")).alias("t"))
+    t = t.select("chunk_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "term"))
+    return t.groupBy("term", "chunk_id").agg(
+        F.count("*").alias("tf"), F.max("n").alias("n_tokens"), F.sort_array(F.collect_list("pos")).alias("positions")
+    )
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.col("id").alias("chunk_id"), F.size(tokens(F.col("text"))).alias("n_tokens"))
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row: number of chunks and their mean length."""
+    return chunks.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean"))
 
 
-def write_index(chunks: DataFrame, path: str, parts: int = 64) -> None:
-    """Postings under ``part=hash(term) % parts``, and chunk lengths, as Parquet."""
-    p = postings(chunks).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    p.repartition(parts, "part").sortWithinPartitions("term").write.partitionBy("part").parquet(f"{path}/postings")
-    lengths(chunks).write.parquet(f"{path}/lengths")
+def write_index(chunks: DataFrame, path: str, parts: int | None = None) -> None:
+    """Postings sorted by (term, chunk_id) in ``parts`` ranges, and the statistics, as Parquet."""
+    n = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = postings(chunks).repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    p.write.option("parquet.block.size", INDEX_ROW_GROUP).parquet(f"{path}/postings")
+    statistics(chunks).write.parquet(f"{path}/statistics")
 
 
-def read_postings(spark: SparkSession, path: str, terms: list[str], parts: int = 64) -> DataFrame:
-    """Rows of the terms; the filters prune partitions and row groups."""
-    at = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).alias("p"))
-    wanted = sorted({int(r["p"]) for r in at.collect()})
-    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(wanted) & F.col("term").isin(terms))
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) as written; conditions on ``term`` prune files and row groups."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics")
 
 
 # ---------------------------------------------------------------- query language
@@ -131,21 +137,23 @@ def terms_of(node) -> list[Term]:
     return terms_of(node.left) + (terms_of(node.right) if node.kind != "not" else [])
 
 
+def _rows(index: DataFrame, word: str, prefix: bool) -> DataFrame:
+    return index.where(F.col("term").startswith(word) if prefix else F.col("term") == word)
+
+
 def _hits(index: DataFrame, term: Term) -> DataFrame:
-    """(chunk_id, tf) of a word, a prefix or a phrase."""
+    """(chunk_id, tf, n_tokens) of a word, a prefix or a phrase."""
     if len(term.words) == 1:
-        w = term.words[0]
-        rows = index.where(F.col("term").startswith(w) if term.prefix else F.col("term") == w)
-        return rows.groupBy("chunk_id").agg(F.sum("tf").alias("tf"))
+        return _rows(index, term.words[0], term.prefix).groupBy("chunk_id").agg(F.sum("tf").alias("tf"), F.max("n_tokens").alias("n_tokens"))
     out = None
     for k, w in enumerate(term.words):
-        last = term.prefix and k == len(term.words) - 1
-        rows = index.where(F.col("term").startswith(w) if last else F.col("term") == w).groupBy("chunk_id")
-        rows = rows.agg(F.flatten(F.collect_list(F.transform("positions", lambda p: p - k))).alias(f"p{k}"))  # noqa: B023
-        out = rows.withColumnRenamed("p0", "at") if out is None else out.join(rows, "chunk_id").select(
-            "chunk_id", F.array_intersect("at", f"p{k}").alias("at")
-        )
-    return out.where(F.size("at") > 0).select("chunk_id", F.size("at").cast("long").alias("tf"))
+        rows = _rows(index, w, term.prefix and k == len(term.words) - 1).groupBy("chunk_id")
+        at = F.flatten(F.collect_list(F.transform("positions", lambda p: p - k))).alias(f"p{k}")  # noqa: B023
+        if out is None:
+            out = rows.agg(at, F.max("n_tokens").alias("n_tokens")).withColumnRenamed("p0", "at")
+        else:
+            out = out.join(rows.agg(at), "chunk_id").select("chunk_id", "n_tokens", F.array_intersect("at", f"p{k}").alias("at"))
+    return out.where(F.size("at") > 0).select("chunk_id", F.size("at").cast("long").alias("tf"), "n_tokens")
 
 
 def matching(index: DataFrame, node) -> DataFrame:
@@ -171,27 +179,29 @@ def _holds(node, leaves: list[Term]) -> Column:
 
 
 def _word_hits(index: DataFrame, leaves: list[Term]) -> DataFrame:
-    """(chunk_id, q, tf) of words and prefixes, in one pass over the index; q numbers the leaves."""
+    """(chunk_id, q, tf, n_tokens) of words and prefixes, in one pass over the index; q numbers the leaves."""
     is_ = [F.col("term").startswith(t.words[0]) if t.prefix else F.col("term") == t.words[0] for t in leaves]
     any_ = is_[0]
     for c in is_[1:]:
         any_ = any_ | c
     which = F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(is_))), lambda x: x.isNotNull())
-    rows = index.where(any_).select("chunk_id", "tf", F.explode(which).alias("q"))
-    return rows.groupBy("chunk_id", "q").agg(F.sum("tf").alias("tf"))
+    rows = index.where(any_).select("chunk_id", "tf", "n_tokens", F.explode(which).alias("q"))
+    return rows.groupBy("chunk_id", "q").agg(F.sum("tf").alias("tf"), F.max("n_tokens").alias("n_tokens"))
 
 
 def _candidates(index: DataFrame, node) -> DataFrame:
-    """(chunk_id, q, tf) of the scoring leaves, and whether the chunk matches."""
+    """(chunk_id, q, tf, n_tokens) of the scoring leaves, and whether the chunk matches."""
     leaves = list(dict.fromkeys(_leaves(node)))
     if not all(t.words for t in leaves):  # a query without a word finds nothing
-        return index.where(F.lit(False)).select("chunk_id", F.lit(0).alias("q"), "tf", F.lit(False).alias("match"))
+        return index.where(F.lit(False)).select("chunk_id", F.lit(0).alias("q"), "tf", "n_tokens", F.lit(False).alias("match"))
     scoring = sorted({leaves.index(t) for t in terms_of(node)})
     if all(len(t.words) == 1 for t in leaves):
         hits = _word_hits(index, leaves)
-        found = hits.groupBy("chunk_id").agg(F.collect_set("q").alias("seen"), F.collect_list(F.struct("q", "tf")).alias("hits"))
-        found = found.select("chunk_id", _holds(node, leaves).alias("match"), F.explode("hits").alias("h"))
-        return found.select("chunk_id", "match", "h.q", "h.tf").where(F.col("q").isin(scoring))
+        found = hits.groupBy("chunk_id").agg(
+            F.collect_set("q").alias("seen"), F.collect_list(F.struct("q", "tf")).alias("hits"), F.max("n_tokens").alias("n_tokens")
+        )
+        found = found.select("chunk_id", "n_tokens", _holds(node, leaves).alias("match"), F.explode("hits").alias("h"))
+        return found.select("chunk_id", "n_tokens", "match", "h.q", "h.tf").where(F.col("q").isin(scoring))
     hits = None
     for i in scoring:
         rows = _hits(index, leaves[i]).withColumn("q", F.lit(i))
@@ -200,12 +210,11 @@ def _candidates(index: DataFrame, node) -> DataFrame:
     return hits.join(wanted, "chunk_id", "left").withColumn("match", F.coalesce("match", F.lit(False)))
 
 
-def ranked(index: DataFrame, sizes: DataFrame, query: str, k: int | None) -> DataFrame:
+def ranked(index: DataFrame, stats: DataFrame, query: str, k: int | None) -> DataFrame:
     """(chunk_id, score): the k best matching chunks by BM25, ties by id."""
-    stats = sizes.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("mean"))
     d = _candidates(index, parse(query))
     seen = d.groupBy("q").agg(F.count("*").alias("n"))  # in how many chunks a leaf occurs, matching or not
-    d = d.where("match").join(F.broadcast(seen), "q").join(sizes, "chunk_id").join(F.broadcast(stats))
+    d = d.where("match").join(F.broadcast(seen), "q").join(F.broadcast(stats))
     idf = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
     tf = F.col("tf")
@@ -231,10 +240,13 @@ def with_snippet(hits: DataFrame, terms: list[str], size: int = SNIPPET_TOKENS)
     return d.withColumn("snippet", cut).drop("_tokens", "_best")
 
 
-def keyword(chunks: DataFrame, docs: DataFrame, query: str, k: int = 20) -> DataFrame:
-    """Chunk-level hits with their document and a snippet; texts are read again only for the hits."""
+def keyword(chunks: DataFrame, docs: DataFrame, query: str, k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Chunk-level hits with their document and a snippet; texts are read for the hits only.
+
+    ``index``: (postings, statistics) as ``read_index`` gives them; without one the chunks are gone through.
+    """
     terms = sorted({w for t in terms_of(parse(query)) for w in t.words})
-    top = ranked(postings(chunks), lengths(chunks), query, k)
+    top = ranked(*(index or (postings(chunks), statistics(chunks))), query, k)
     hit = chunks.join(F.broadcast(top), F.col("id") == F.col("chunk_id"))
     hit = hit.join(docs.select(F.col("id").alias("doc_id"), "path"), "doc_id")
     return with_snippet(hit, terms).select("chunk_id", "doc_id", "path", "score", "snippet")

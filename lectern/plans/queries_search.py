@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import library as L
 from ..operators import search as S
-from ..session import table
+from ..session import shared_folder, table
 from .registry import query
 
 QUERY = "the nation ering leaux"
+_written: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf_dir):
+    """(postings, statistics) of a library's chunks, written to the shared folder by the first query of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        S.write_index(L.chunks(spark, sf_dir), path)
+        _written[key] = path
+    return S.read_index(spark, _written[key])
 
 
 def _bm25_sql(match: str, terms: str, k: int, extra: str = "") -> str:
@@ -46,12 +59,11 @@ FROM y JOIN chunks ON chunks.id = y.id JOIN docs ON docs.id = chunks.doc_id
 
 @query("kw_bm25_topk", _OR + _SNIPPET)
 def kw_bm25_topk(spark, sf_dir):
-    return S.keyword(L.chunks(spark, sf_dir), L.documents(spark, sf_dir), " OR ".join(QUERY.split()), 20)
+    return S.keyword(L.chunks(spark, sf_dir), L.documents(spark, sf_dir), " OR ".join(QUERY.split()), 20, stored_index(spark, sf_dir))
 
 
 def _top(spark, sf_dir, q, k):
-    c = L.chunks(spark, sf_dir)
-    return S.ranked(S.postings(c), S.lengths(c), q, k)
+    return S.ranked(*stored_index(spark, sf_dir), q, k)
 
 
 _HAS = "h.id IN (SELECT id FROM p WHERE term = '{}')"
@@ -82,7 +94,7 @@ def kw_phrase(spark, sf_dir):
 def kw_postfilter(spark, sf_dir):
     """Filters after the top k, so fewer may be left."""
     c = L.chunks(spark, sf_dir)
-    top = S.ranked(S.postings(c), S.lengths(c), " OR ".join(QUERY.split()), 20)
+    top = S.ranked(*stored_index(spark, sf_dir), " OR ".join(QUERY.split()), 20)
     ok = L.documents(spark, sf_dir).where("status = 'done'").select(F.col("id").alias("doc_id"))
     return c.select(F.col("id").alias("chunk_id"), "doc_id").join(F.broadcast(top), "chunk_id").join(ok, "doc_id", "left_semi").select("chunk_id", "score")
 
@@ -93,7 +105,7 @@ WHERE category LIKE 'en/%' ORDER BY score DESC, top.id LIMIT 8""")
 def kw_scoped_tool(spark, sf_dir):
     """Three times the limit is ranked, then the scope filters, then the limit cuts."""
     c = L.chunks(spark, sf_dir)
-    top = S.ranked(S.postings(c), S.lengths(c), " OR ".join(QUERY.split()), 24)
+    top = S.ranked(*stored_index(spark, sf_dir), " OR ".join(QUERY.split()), 24)
     scope = L.documents(spark, sf_dir).where(F.col("category").startswith("en/")).select(F.col("id").alias("doc_id"))
     hits = c.select(F.col("id").alias("chunk_id"), "doc_id").join(F.broadcast(top), "chunk_id").join(scope, "doc_id", "left_semi")
     return hits.orderBy(F.col("score").desc(), "chunk_id").limit(8).select("chunk_id", "score")
