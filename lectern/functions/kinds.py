@@ -38,6 +38,7 @@ ABSTRACT_ENDS = (
 )
 PREFACE, FOREWORD, INTRO = LINE + r"preface\b", LINE + r"(foreword|acknowledge?ments?)\b", LINE + r"(introduction|prologue|about this (book|work))\b"
 CHAPTER_START = r"(?dim)^[\s]*(chapter|part|appendix)\b|^[\s]*1\s+[\w(]"
+# Words that no example is judged by.
 STOPWORDS = (
     "the and for with from that this are was were into about their which how what why can its one two new study using paper "
     "document introduction abstract chapter section"

@@ -108,15 +108,16 @@ def _sql(p: str) -> str:
 
 
 def _kind_scores(src: str) -> str:
-    m = lambda p: f"regexp_matches(t, '{_sql(p)}')"
-    n = lambda p: f"len(regexp_extract_all(t, '{_sql(p)}'))"
+    m = lambda p, x="t": f"regexp_matches({x}, '{_sql(p)}')"
+    n = lambda p, x="t": f"len(regexp_extract_all({x}, '{_sql(p)}'))"
     w = lambda c, v: f"CASE WHEN {c} THEN {float(v)}::DOUBLE ELSE 0 END"
-    return f""", v AS (SELECT id, ocr, pages, text AS t, CASE WHEN pages > 0 THEN strlen(text) / pages END AS pp, CASE WHEN pages > 0 THEN ocr / pages ELSE 0 END AS sc FROM {src}),
-c AS (SELECT *, {n(K.CITATION)} AS cites, {n(K.CHAPTERS)} AS ch, {n(K.FIGURE)} AS fi, {n(K.COURSE)} AS co, {n(K.HANDBOOK)} AS hb FROM v),
+    head = "CASE WHEN strlen(text) > 60000 THEN left(text, 40000) || chr(10) || right(text, 20000) ELSE left(text, 40000) END"
+    return f""", v AS (SELECT id, ocr, pages, {head} AS t, left(text, 2000000) AS f, CASE WHEN pages > 0 THEN strlen(text) / pages END AS pp, CASE WHEN pages > 0 THEN ocr / pages ELSE 0 END AS sc FROM {src}),
+c AS (SELECT *, {n(K.CITATION)} AS cites, {n(K.CHAPTERS, 'f')} AS ch, {n(K.FIGURE)} AS fi, {n(K.COURSE)} AS co, {n(K.HANDBOOK)} AS hb FROM v),
 s AS (SELECT id,
   round({w(m(K.ABSTRACT), 4)} + {w(m(K.ARXIV), 3)} + {w(m(K.REFERENCES), 2)} + CASE WHEN cites >= 4 THEN least(3, cites / 4) ELSE 0 END + {w(m(K.DOI), 1.5)} + {w(m(K.KEYWORDS), 1)}, 6) AS paper,
-  round(CASE WHEN ch >= 2 THEN least(4, 1.5::DOUBLE + ch / 3) WHEN {m(K.CHAPTER)} THEN 3 ELSE 0 END + {w(n(K.TOC_LINE) + ' >= 6', 2)} + {w(n(K.FRONT) + ' >= 2', 1.5)}
-    + {w(m(K.ISBN), 2)} + {w(m(K.PUBLISHER), 2)} + {w(m(K.CONTENTS), 1)} + CASE WHEN pages >= 120 THEN 3 WHEN pages >= 60 THEN 1.5 ELSE 0 END::DOUBLE
+  round(CASE WHEN ch >= 2 THEN least(4, 1.5::DOUBLE + ch / 3) WHEN {m(K.CHAPTER)} THEN 3 ELSE 0 END + {w(n(K.TOC_LINE, 'f') + ' >= 6', 2)} + {w(n(K.FRONT, 'f') + ' >= 2', 1.5)}
+    + {w(m(K.ISBN, 'f'), 2)} + {w(m(K.PUBLISHER), 2)} + {w(m(K.CONTENTS), 1)} + CASE WHEN pages >= 120 THEN 3 WHEN pages >= 60 THEN 1.5 ELSE 0 END::DOUBLE
     + {w('sc > 0.6 AND pp >= 600', 1)} + {w(m(K.APPENDIX), 0.5)}, 6) AS book,
   round({w('sc > 0.6 AND pp < 600', 5)} + CASE WHEN fi >= 6 AND pp < 1200 THEN least(3, fi / 6) ELSE 0 END, 6) AS gallery,
   round(CASE WHEN co >= 3 THEN least(4, co::DOUBLE) ELSE 0 END + {w(m(K.DUE), 1)} + {w(m(K.CONTENTS), 0.2)}, 6) AS course,
@@ -134,11 +135,30 @@ def kind_scores(spark, sf_dir):
     return d.select("id", "score.*", K.best_kind(F.col("score")).alias("kind"))
 
 
-@query("kind_documents", "WITH fx AS (SELECT doc_id AS id, left(text, 40000) AS text, 0 AS ocr, doc_id % 150 AS pages FROM documents)" + _kind_scores("fx") + f"SELECT id, {_best()} AS kind FROM s")
+_WHOLE = "WITH fx AS (SELECT doc_id AS id, text, 0::BIGINT AS ocr, doc_id % 150 AS pages FROM documents)"
+
+
+def _whole(spark, sf_dir):
+    """All documents in the shape of the fixtures."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(0).cast("long").alias("ocr"), (F.col("doc_id") % 150).alias("pages"))
+
+
+@query("kind_documents", _WHOLE + _kind_scores("fx") + f"SELECT id, {_best()} AS kind FROM s")
 def kind_documents(spark, sf_dir):
-    """Whole texts; the twin reads their first 40,000 characters, so the two agree on texts up to that length."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 150).alias("pages"))
-    return d.select("id", K.best_kind(K.scores(F.col("text"), F.lit(0), F.col("pages"))).alias("kind"))
+    return _whole(spark, sf_dir).select("id", K.best_kind(K.scores(F.col("text"), F.col("ocr"), F.col("pages"))).alias("kind"))
+
+
+_LONG = "SELECT doc_id AS id, repeat(text || chr(10), 1 + (70000 // greatest(1, strlen(text)))::INT) AS text, 0::BIGINT AS ocr, 10::BIGINT AS pages FROM documents"
+
+
+@query("kind_scores_long", f"WITH fx AS ({_LONG})" + _kind_scores("fx") + f"SELECT id, paper, book, gallery, course, reference, {_best()} AS kind FROM s")
+def kind_scores_long(spark, sf_dir):
+    """Every document repeated to over 60,000 bytes, so that head, tail and whole text are told apart."""
+    size = F.greatest(F.lit(1), F.octet_length("text"))
+    long = F.repeat(F.concat("text", F.lit("\n")), (1 + F.floor(70000 / size)).cast("int"))
+    d = _whole(spark, sf_dir).select("id", long.alias("text"))
+    d = d.select("id", K.scores(F.col("text"), F.lit(0), F.lit(10)).alias("score"))
+    return d.select("id", "score.*", K.best_kind(F.col("score")).alias("kind"))
 
 
 PINS = [(101, "course", "methods results measurements detail"), (102, "course", "section describes methods results"), (103, "reference", "lecture homework monday syllabus office hours noon")]
@@ -148,8 +168,11 @@ o AS (SELECT fx.id, example, kind, len(list_intersect({_TOK.format('fx.text')},
 _OVER_SHELF = _OVER.replace(", ".join(f"'{w}'" for w in K.KIND_STOPWORDS), ", ".join(f"'{w}'" for w in K.STOPWORDS))
 
 
-@query("kind_with_pins", _FX + _kind_scores("fx") + _OVER + """, w AS (SELECT id, kind, CASE WHEN shared < 2 THEN 0 ELSE least(4, 3 + 0.25::DOUBLE * (shared - 2)) END AS w FROM o),
-x AS (SELECT s.id, """ + ", ".join(f"round({k} + coalesce((SELECT sum(w) FROM w WHERE w.id = s.id AND w.kind = '{k}'), 0), 6) AS {k}" for k in K.KINDS) + f" FROM s) SELECT id::BIGINT AS id, {_best()} AS kind FROM x")
+_PINNED = _kind_scores("fx") + _OVER + """, w AS (SELECT id, kind, CASE WHEN shared < 2 THEN 0 ELSE least(4, 3 + 0.25::DOUBLE * (shared - 2)) END AS w FROM o),
+x AS (SELECT s.id, """ + ", ".join(f"round({k} + coalesce((SELECT sum(w) FROM w WHERE w.id = s.id AND w.kind = '{k}'), 0), 6) AS {k}" for k in K.KINDS) + f" FROM s) SELECT id::BIGINT AS id, {_best()} AS kind FROM x"
+
+
+@query("kind_with_pins", _FX + _PINNED)
 def kind_with_pins(spark, sf_dir):
     d = _fixtures(spark).select("id", K.tokens(F.col("text")).alias("tokens"), K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
     pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", "kind", K.tokens(F.col("text")).alias("tokens"))
@@ -182,9 +205,12 @@ def _before(x: str, p: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '{_sql(p)}') THEN left({x}, (length(regexp_extract({x}, '{_lazy(p)}')) - length(regexp_extract({x}, '{_sql(p)}')))::BIGINT) ELSE {x} END"
 
 
-@query("abstract", _FX + f""", a AS (SELECT id, {_after('text', K.ABSTRACT)} AS r FROM fx),
+_ABSTRACT = f""", a AS (SELECT id, {_after('text', K.ABSTRACT)} AS r FROM fx),
 b AS (SELECT id, CASE WHEN regexp_matches(r, '{_sql(K.ABSTRACT_ENDS)}') THEN {_before('r', K.ABSTRACT_ENDS)} ELSE left(r, 3000) END AS c FROM a),
-c AS (SELECT id, regexp_replace({_TRIM.format('c')}, '^[—\\-– \\n\\t]+', '') AS o FROM b) SELECT id::BIGINT AS id, CASE WHEN strlen(o) >= 150 THEN o ELSE '' END AS abstract FROM c""")
+c AS (SELECT id, regexp_replace({_TRIM.format('c')}, '^[—\\-– \\n\\t]+', '') AS o FROM b) SELECT id::BIGINT AS id, CASE WHEN strlen(o) >= 150 THEN o ELSE '' END AS abstract FROM c"""
+
+
+@query("abstract", _FX + _ABSTRACT)
 def abstract(spark, sf_dir):
     return _fixtures(spark).select("id", K.abstract(F.col("text")).alias("abstract"))
 
@@ -192,16 +218,22 @@ def abstract(spark, sf_dir):
 _FM = ", ".join(f"{_TRIM.format('left(' + _before('r' + str(i), K.CHAPTER_START) + ', 7000)')} AS f{i}" for i in range(3))
 
 
-@query("front_matter", _FX + ", a AS (SELECT id, " + ", ".join(f"{_after('text', p)} AS r{i}" for i, p in enumerate((K.PREFACE, K.FOREWORD, K.INTRO))) + f""" FROM fx), b AS (SELECT id, {_FM} FROM a)
-SELECT id::BIGINT AS id, CASE WHEN strlen(f0) >= 400 THEN f0 WHEN strlen(f1) >= 400 THEN f1 WHEN strlen(f2) >= 400 THEN f2 ELSE '' END AS front FROM b""")
+_FRONT_MATTER = ", a AS (SELECT id, " + ", ".join(f"{_after('text', p)} AS r{i}" for i, p in enumerate((K.PREFACE, K.FOREWORD, K.INTRO))) + f""" FROM fx), b AS (SELECT id, {_FM} FROM a)
+SELECT id::BIGINT AS id, CASE WHEN strlen(f0) >= 400 THEN f0 WHEN strlen(f1) >= 400 THEN f1 WHEN strlen(f2) >= 400 THEN f2 ELSE '' END AS front FROM b"""
+
+
+@query("front_matter", _FX + _FRONT_MATTER)
 def front_matter(spark, sf_dir):
     return _fixtures(spark).select("id", K.front_matter(F.col("text")).alias("front"))
 
 
-@query("toc", _FX + f""", a AS (SELECT id, {_after('text', K.CONTENTS)} AS r FROM fx), b AS (SELECT id, {_before('r', K.PREFACE)} AS r FROM a),
+_TOC = f""", a AS (SELECT id, {_after('text', K.CONTENTS)} AS r FROM fx), b AS (SELECT id, {_before('r', K.PREFACE)} AS r FROM a),
 c AS (SELECT id, {_before('r', K.FOREWORD)} AS r FROM b), d AS (SELECT id, {_before('r', K.INTRO)} AS r FROM c)
 SELECT id::BIGINT AS id, coalesce(array_to_string(list_filter(list_transform(string_split(left(r, 4000), chr(10)),
-  lambda x: {_TRIM.format("regexp_replace(regexp_replace(x, '[.·—-]{2,}" + chr(92) + "s*" + chr(92) + "d+" + chr(92) + "s*$', ''), '" + chr(92) + "s+" + chr(92) + "d+$', '')")}), lambda x: strlen(x) >= 3)[1:60], chr(10)), '') AS toc FROM d""")
+  lambda x: {_TRIM.format("regexp_replace(regexp_replace(x, '[.·—-]{2,}" + chr(92) + "s*" + chr(92) + "d+" + chr(92) + "s*$', ''), '" + chr(92) + "s+" + chr(92) + "d+$', '')")}), lambda x: strlen(x) >= 3)[1:60], chr(10)), '') AS toc FROM d"""
+
+
+@query("toc", _FX + _TOC)
 def toc(spark, sf_dir):
     return _fixtures(spark).select("id", K.contents(F.col("text")).alias("toc"))
 
@@ -275,37 +307,32 @@ def settle_check(spark, sf_dir):
     return e.select("user_id", "event_id", F.coalesce(F.col("before") == F.col("value"), F.lit(False)).alias("settled"))
 
 
-def _whole(spark, sf_dir):
-    """All documents in the shape of the fixtures."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(0).cast("long").alias("ocr"), (F.col("doc_id") % 150).alias("pages"))
-
-
-# The operators above over whole tables and whole texts; they have no twin.
+# The operators above over whole tables and whole texts.
 
 
-@query("kind_scores_documents")
+@query("kind_scores_documents", _WHOLE + _kind_scores("fx") + f"SELECT id, paper, book, gallery, course, reference, {_best()} AS kind FROM s")
 def kind_scores_documents(spark, sf_dir):
     d = _whole(spark, sf_dir).select("id", K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
     return d.select("id", "score.*", K.best_kind(F.col("score")).alias("kind"))
 
 
-@query("kind_with_pins_documents")
+@query("kind_with_pins_documents", _WHOLE + _PINNED)
 def kind_with_pins_documents(spark, sf_dir):
     d = _whole(spark, sf_dir).select("id", K.tokens(F.col("text")).alias("tokens"), K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
     pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", "kind", K.tokens(F.col("text")).alias("tokens"))
     return K.with_examples(d, pins)
 
 
-@query("abstract_documents")
+@query("abstract_documents", _WHOLE + _ABSTRACT)
 def abstract_documents(spark, sf_dir):
     return _whole(spark, sf_dir).select("id", K.abstract(F.col("text")).alias("abstract"))
 
 
-@query("front_matter_documents")
+@query("front_matter_documents", _WHOLE + _FRONT_MATTER)
 def front_matter_documents(spark, sf_dir):
     return _whole(spark, sf_dir).select("id", K.front_matter(F.col("text")).alias("front"))
 
 
-@query("toc_documents")
+@query("toc_documents", _WHOLE + _TOC)
 def toc_documents(spark, sf_dir):
     return _whole(spark, sf_dir).select("id", K.contents(F.col("text")).alias("toc"))
