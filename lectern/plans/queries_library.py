@@ -130,12 +130,13 @@ def dup_groups(spark, sf_dir):
     return M.duplicates(L.documents(spark, sf_dir))
 
 
-@query("sha3_groups")
+@query("sha3_groups", Q + """, c AS (SELECT sha256, id AS duplicate, min(id) OVER (PARTITION BY text) AS canonical FROM docs)
+SELECT sha256, canonical, duplicate FROM c WHERE duplicate <> canonical""")
 def sha3_groups(spark, sf_dir):
     from ..session import ship
 
     ship(spark)
-    return M.verified_duplicates(L.documents(spark, sf_dir))
+    return M.verified_duplicates(L.documents(spark, sf_dir)).drop("sha3")  # the twin groups by the texts themselves
 
 
 @query("first_path_wins", Q + "SELECT path, CASE WHEN path = min(path) OVER (PARTITION BY sha256) THEN 'added' ELSE 'duplicate' END AS action FROM docs")
@@ -299,7 +300,13 @@ def add_members(spark, sf_dir):
     return M.added_members(m, new)[0]
 
 
-@query("chunk_packing")
+@query("chunk_packing", Q.replace("WITH", "WITH RECURSIVE", 1) + """, j AS (SELECT session_id, string_split(string_agg(content, chr(10) || chr(10) ORDER BY id), chr(10) || chr(10)) AS ps FROM messages GROUP BY 1),
+p AS (SELECT session_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM j),
+r AS (SELECT session_id, i, p, 0 AS pack, length(p) + 2 AS n FROM p WHERE i = 0 UNION ALL
+  SELECT p.session_id, p.i, p.p, CASE WHEN r.n + length(p.p) > 2000 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.n + length(p.p) > 2000 THEN 0 ELSE r.n END + length(p.p) + 2
+  FROM r JOIN p ON p.session_id = r.session_id AND p.i = r.i + 1),
+k AS (SELECT session_id, pack, string_agg(p, chr(10) || chr(10) ORDER BY i) AS t FROM r GROUP BY ALL)
+SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY pack) - 1)::INT AS seq, t AS pack FROM k WHERE regexp_replace(t, '\\s+', '', 'g') <> ''""")
 def chunk_packing(spark, sf_dir):
     """Greedy packing of a session's messages into packs of 2000 characters."""
     rows = F.array_sort(F.collect_list(F.struct("id", "content")))
