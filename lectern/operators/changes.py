@@ -55,6 +55,20 @@ def merged_members(members: DataFrame, to: DataFrame) -> DataFrame:
     return members.join(to, members["doc_id"] == to["id"]).select("collection_id", F.col("canonical").alias("doc_id")).distinct()
 
 
+def merged_chats(chats: DataFrame, to: DataFrame) -> DataFrame:
+    """Chats about a duplicate become chats about the canonical document; other scopes stay."""
+    m = to.where("id <> canonical").select(F.col("id").cast("string").alias("_from"), F.col("canonical").cast("string").alias("_to"))
+    d = chats.join(m, (F.col("scope_kind") == "document") & (F.col("scope_value") == F.col("_from")), "left")
+    return d.withColumn("scope_value", F.coalesce("_to", "scope_value")).drop("_from", "_to")
+
+
+def merged(lib: dict[str, DataFrame], to: DataFrame) -> dict[str, DataFrame]:
+    """A library whose duplicates (id, canonical) are gone: tags, memberships and chats move, everything else that hangs on them goes."""
+    out = deleted(lib, to.where("id <> canonical").select("id"))
+    moved = {"tags": merged_tags, "members": merged_members, "chats": merged_chats}
+    return out | {k: f(lib[k], to) for k, f in moved.items() if k in lib}
+
+
 def first_wins(files: DataFrame) -> DataFrame:
     """Of files with equal content the first path is ingested, the others are duplicates."""
     first = files.groupBy("sha256").agg(F.min("path").alias("first"))
@@ -179,3 +193,37 @@ def with_new_ids(new: DataFrame, old: DataFrame, order: str) -> DataFrame:
     """Ids after the largest old one, in the order of a column (single writer; new rows are few)."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     return new.withColumn("id", F.row_number().over(Window.orderBy(order)) + F.lit(top))
+
+
+def meta_value(meta: DataFrame, key: str) -> DataFrame:
+    """One row: a setting's value, empty where it was never set."""
+    return meta.where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+
+
+def meta_set(meta: DataFrame, key: str, value: str) -> DataFrame:
+    new = meta.sparkSession.createDataFrame([(key, value)], "key string, value string")
+    return upserted(meta.select("key", "value"), new, ["key"])
+
+
+def note_added(notes: DataFrame, doc_id: int, body: str, now: Column | None = None) -> DataFrame:
+    """Notes (id, doc_id, body, created, updated) with one more; a blank one is refused."""
+    if not body.strip():
+        raise Conflict("a note needs a text")
+    at = F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    new = notes.sparkSession.range(1).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(body).alias("body"), at.alias("created"), at.alias("updated"))
+    return notes.unionByName(with_new_ids(new, notes, "body").withColumn("id", F.col("id").cast("long")))
+
+
+def note_edited(notes: DataFrame, note: int, body: str, now: Column | None = None) -> DataFrame:
+    at = F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    mine = F.col("id") == note
+    return notes.withColumns({"body": F.when(mine, body).otherwise(F.col("body")), "updated": F.when(mine, at).otherwise(F.col("updated"))})
+
+
+def notes_removed(notes: DataFrame, ids: list[int]) -> DataFrame:
+    return notes.where(~F.col("id").isin(ids))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same elements, in whatever order (settings that did not really change)."""
+    return F.array_sort(F.array_distinct(F.coalesce(a, F.array().cast("array<string>")))) == F.array_sort(F.array_distinct(F.coalesce(b, F.array().cast("array<string>"))))

@@ -1,7 +1,8 @@
 """The watcher as a stream: file stamps, the settle rule, and scans that ingest and then enrich.
 
 Stamps (path, size, mtime) come as rows, because a file source does not see a path again whose content
-changed.  A stamp has settled when two scans in a row saw it; state per path is kept by Spark.
+changed.  A stamp has settled when two scans in a row saw it; state per path is kept by Spark and dropped when the
+path has not been seen for a while, so vanished files leave nothing behind.
 """
 
 from __future__ import annotations
@@ -24,7 +25,14 @@ def files(spark: SparkSession, directory: str, per_batch: int = 100) -> DataFram
     return d.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+#: Milliseconds without a stamp after which a file counts as vanished.
+FORGET_MS = 600_000
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     size, mtime, done = state.get if state.exists else (None, None, False)
     out = []
     for b in batches:
@@ -36,13 +44,13 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             else:
                 size, mtime, done = int(r.size), int(r.mtime), False
     state.update((int(size), int(mtime), bool(done)))
+    state.setTimeoutDuration(FORGET_MS)
     yield pd.DataFrame(out, columns=["path", "size", "mtime", "scan"])
 
 
-
 def settled(stamps: DataFrame) -> DataFrame:
     """(path, size, mtime, scan): each stamp once, at the scan that saw it the second time in a row."""
-    return stamps.groupBy("path").applyInPandasWithState(_step, SETTLED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stamps.groupBy("path").applyInPandasWithState(_step, SETTLED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def settled_batch(stamps: DataFrame) -> DataFrame:
@@ -57,6 +65,22 @@ def settled_batch(stamps: DataFrame) -> DataFrame:
     return d.groupBy("path", "run").agg(F.min_by(F.struct("size", "mtime", "scan"), "scan").alias("s")).select("path", "s.*")
 
 
+def due(stamps: DataFrame, done: DataFrame, settle: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(path, size, mtime) to ingest now, and ``done`` without the files that are gone.
+
+    ``stamps``: (path, size, mtime, scan) of the last two scans; ``done``: (path, size, mtime) as ingested before.  A path of the
+    last scan is due if the scan before saw the same stamp (unless ``settle`` is off) and that stamp is not done.
+    """
+    last = stamps.join(F.broadcast(stamps.agg(F.max("scan").alias("scan"))), "scan", "left_semi").select("path", "size", "mtime")
+    stamp = ["path", "size", "mtime"]
+    if settle:
+        last_but = stamps.groupBy(*stamp).agg(F.countDistinct("scan").alias("n")).where("n > 1").select(*stamp)
+        ready = last.join(last_but, stamp, "left_semi")
+    else:
+        ready = last
+    return ready.join(done, stamp, "left_anti"), done.join(last.select("path"), "path", "left_semi")
+
+
 def scan(
     ingest: Callable[[DataFrame], None], pending: Callable[[], DataFrame], enrich: Callable[[DataFrame], None], most: int = 8
 ) -> Callable[[DataFrame, int], None]:

@@ -182,11 +182,11 @@ def test_watcher(spark, tmp_path):
 def test_index_on_disk(spark, tmp_path):
     c = spark.createDataFrame([(1, "the cat sat"), (2, "a cat and a dog"), (3, "the dog")], "id long, text string")
     S.write_index(c, str(tmp_path / "ix"), 4)
-    p = S.read_postings(spark, str(tmp_path / "ix"), ["cat", "dog"], 4).select("term", "chunk_id", "tf", "positions")
-    n = spark.read.parquet(str(tmp_path / "ix/lengths"))
-    assert [r[0] for r in S.ranked(p, n, "cat OR dog", 3).collect()] == [r[0] for r in S.ranked(S.postings(c), S.lengths(c), "cat OR dog", 3).collect()]
-    assert S.ranked(p, n, " ?! ", 3).isEmpty()
-    got = {q: sorted(r[0] for r in S.ranked(S.postings(c), S.lengths(c), q, 9).collect()) for q in ("cat dog", "dog NOT cat", '"the cat" OR do*', "(cat OR dog) NOT sat")}
+    index, scan = S.read_index(spark, str(tmp_path / "ix")), (S.postings(c), S.statistics(c))
+    assert [r[0] for r in S.ranked(*index, "cat OR dog", 3).collect()] == [r[0] for r in S.ranked(*scan, "cat OR dog", 3).collect()]
+    assert S.ranked(*index, " ?! ", 3).isEmpty()
+    assert "PushedFilters: [IsNotNull(term), StringStartsWith(term,do)]" in S._rows(index[0], "do", True)._jdf.queryExecution().toString()
+    got = {q: sorted(r[0] for r in S.ranked(*index, q, 9).collect()) for q in ("cat dog", "dog NOT cat", '"the cat" OR do*', "(cat OR dog) NOT sat")}
     assert got == {"cat dog": [2], "dog NOT cat": [3], '"the cat" OR do*': [1, 2, 3], "(cat OR dog) NOT sat": [2, 3]}
     v = S.embed_pending(c.withColumn("embedding", F.lit(None).cast("array<float>")), S.hashing_embedder(16), "m", None)
     assert all(len(r["embedding"]) == 16 for r in v.collect())
@@ -238,3 +238,54 @@ def test_section_queries_read_documents(spark, tmp_path):
     assert run("abstract_documents")[1]["abstract"] == ("what it says " * 20).strip()
     assert run("kind_scores_documents")[1]["paper"] == 6.0 and run("kind_with_pins_documents")[1]["kind"] == "paper"
     assert all(len(run(f"{n}_documents")) == 3 for n in ("toc", "front_matter", "abstract", "kind_scores", "kind_with_pins"))
+
+
+def test_tool_loop(spark):
+    from lectern.operators import tools
+
+    docs = spark.createDataFrame([(1, "/a.txt", "One", "en/x", "first text"), (2, "/b.txt", "Two", "fr/y", "second")], "id long, path string, title string, category string, text string")
+    lib = {"documents": docs}
+    hits = lambda q, mode, k: spark.createDataFrame([(2, 0.9, mode), (1, 0.5, q)], "doc_id long, score double, why string").limit(k)
+    reg = tools.library_tools(lib, docs.where("id = 1").select("id"), hits, fetch=lambda url: f"page {url}")
+    assert [t["name"] for t in reg.definitions()] == ["search_library", "get_document", "open_document", "regenerate_metadata", "fetch_url"]
+    assert reg.call("search_library", {"query": "q"}) == [{"doc_id": 1, "score": 0.5, "why": "q"}]
+    assert reg.call("get_document", {"doc_id": 1})["opening"] == "first text"
+    assert reg.call("get_document", {"doc_id": 2}) == "error: document 2" and reg.call("nothing", {}) == "error: unknown tool nothing"
+    assert reg.call("open_document", {"doc_id": 1, "view": "odd"}) == {"action": "open", "id": 1, "view": "preview"}
+    assert reg.call("open_document", {}) == "error: doc_id is missing" and reg.call("open_document", {"doc_id": "x"}).startswith("error: ")
+    assert reg.call("regenerate_metadata", {"doc_id": 1, "fields": ["tags", "odd"]})["fields"] == ["tags"]
+    assert reg.call("fetch_url", {"url": "u"}) == "page u"
+    asked = []
+
+    def backend(messages, tools_):
+        asked.append(len(tools_))
+        return f"round {len(asked)}", [("get_document", {"doc_id": 1})] if len(asked) < 3 else []
+
+    events = tools.converse(backend, reg, "who?")
+    assert [e["t"] for e in events] == ["text", "tool", "text", "tool", "text"] and events[-1]["text"] == "round 3"
+    endless = tools.converse(lambda m, t: ("", [("nothing", {})]), reg, "who?", rounds=2)
+    assert [e["result"] for e in endless] == ["error: unknown tool nothing"] * 2
+
+
+def test_streams_of_each_provider(spark):
+    from lectern.operators import tools
+
+    lines = {
+        "openai": ['data: {"choices":[{"delta":{"content":"a"}}]}', "", ": ping", 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"name":"f","arguments":"{\\"x\\""}}]}}]}',
+                   'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":":1}"}}]}}]}', "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}'],
+        "anthropic": ["event: x", 'data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"a"}}', 'data: {"type":"content_block_start","index":1,"content_block":{"type":"tool_use","name":"f"}}',
+                      'data: {"type":"content_block_delta","index":1,"delta":{"partial_json":"{\\"x\\""}}', 'data: {"type":"content_block_delta","index":1,"delta":{"partial_json":":1}"}}'],
+        "ollama": ['{"message":{"content":"a"}}', '{"message":{"content":"","tool_calls":[{"function":{"name":"f","arguments":{"x":1}}}]}}', '{"done":true}'],
+    }
+    for provider, ls in lines.items():
+        log = spark.createDataFrame([(7, i, x) for i, x in enumerate(ls)], "answer long, seq long, line string")
+        r = tools.streamed(log, provider).first()
+        assert (r["answer"], r["text"], [(c["name"], c["args"]) for c in r["calls"]]) == (7, "a", [("f", '{"x":1}')])
+
+
+def test_vanished_files_are_forgotten(spark):
+    s = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 1, 1), ("b", 1, 1, 0), ("b", 2, 1, 1), ("c", 1, 1, 0), ("d", 1, 1, 1), ("e", 1, 1, 0), ("e", 1, 1, 1)], "path string, size long, mtime long, scan long")
+    done = spark.createDataFrame([("e", 1, 1), ("c", 1, 1), ("b", 1, 1)], "path string, size long, mtime long")
+    now, left = watch.due(s, done)
+    assert [r["path"] for r in now.collect()] == ["a"] and sorted(r["path"] for r in left.collect()) == ["b", "e"]
+    assert sorted(r["path"] for r in watch.due(s, done, settle=False)[0].collect()) == ["a", "b", "d"]
