@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 INK = 110
 SPINE_FROM, SPINE_TO, SPINE_DEPTH, SPINE_FLANK = 0.42, 0.58, 0.004, 0.10
 RHYTHM, AXIS_RATIO = 0.15, 1.3
+BLANK, MARGIN, LEAST_LINES, LAGS, BAND = 0.0005, 0.15, 24, (4, 120), 1.6
 
 
 def read_pgm(data: bytes) -> np.ndarray:
@@ -74,13 +75,17 @@ def split(img: np.ndarray) -> list[np.ndarray]:
 
 
 def rhythm(profile: np.ndarray) -> float:
-    """Strength of the line rhythm: best autocorrelation of a profile over usual line distances."""
-    x = profile - profile.mean()
-    power = float((x * x).sum())
-    if power == 0:
+    """Strength of the line rhythm: best normalised autocorrelation of the inked part over usual line distances, 0 to 1."""
+    if profile.mean() < BLANK:
         return 0.0
-    lags = range(4, max(5, len(x) // 6))
-    return max(float((x[:-k] * x[k:]).sum()) / power for k in lags)
+    inked = np.flatnonzero(profile >= MARGIN * profile.max())
+    x = profile[inked[0] : inked[-1] + 1]
+    x = x - x.mean()
+    variance = float((x * x).mean())
+    if len(x) < LEAST_LINES or variance < 1e-9:
+        return 0.0
+    lags = range(LAGS[0], min(len(x) // 4, LAGS[1]) + 1)
+    return max([0.0, *(float((x[:-k] * x[k:]).mean()) / variance for k in lags)])
 
 
 def axis(img: np.ndarray) -> str:
@@ -92,15 +97,18 @@ def axis(img: np.ndarray) -> str:
 
 
 def asymmetry(img: np.ndarray) -> float:
-    """Ink above minus ink below the middle of text lines, as a share of both (a hint at upside-down text)."""
+    """Median over text lines of how far the ink's centre lies below the line's middle, in line heights; upright Latin text is positive."""
     rows, _ = profiles(img)
-    on = rows > rows.mean()
+    if rows.mean() < BLANK:
+        return 0.0
+    on = rows > BAND * rows.mean()
     edges = np.flatnonzero(np.diff(np.r_[False, on, False].astype(int)))
-    up = down = 0.0
-    for a, b in zip(edges[::2], edges[1::2]):
-        m = (a + b) // 2
-        up, down = up + rows[a:m].sum(), down + rows[b - (m - a) : b].sum()
-    return 0.0 if up + down == 0 else float((up - down) / (up + down))
+    at = np.arange(len(rows))
+    off = [
+        (float((at[a:b] * rows[a:b]).sum() / rows[a:b].sum()) - (a + (b - a) / 2)) / (b - a)
+        for a, b in zip(edges[::2], edges[1::2]) if b - a >= 3
+    ]
+    return sorted(off)[len(off) // 2] if off else 0.0
 
 
 def candidates(img: np.ndarray) -> list[int]:

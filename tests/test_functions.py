@@ -100,3 +100,15 @@ def test_page_geometry(spark):
     assert I.arbitrated({0: 0.3, 180: 0.2}) is None and I.arbitrated({0: 0.5, 180: 0.5}) == 0
     rows = spark.createDataFrame([(I.write_pgm(img),), (b"x",), (None,)], "b binary").select(I.analysed()("b").alias("a")).select("a.*").collect()
     assert rows[0]["axis"] == "rows" and rows[1]["error"] and rows[2]["error"]
+
+
+def test_rhythm_and_mass():
+    page = np.full((400, 300), 255, dtype=np.uint8)
+    for top in range(60, 340, 20):  # lines whose lower part is heavier
+        page[top : top + 4, 40:150] = 0
+        page[top + 4 : top + 10, 40:260] = 0
+    rows, _ = I.profiles(page)
+    assert I.rhythm(rows) > 0.9 and I.rhythm(np.zeros(100)) == 0 and I.rhythm(np.ones(10)) == 0
+    assert I.rhythm(rows) == pytest.approx(I.rhythm(rows[55:345]))  # white margins do not count
+    assert I.asymmetry(page) > 0 > I.asymmetry(I.rotated(page, 180)) and I.asymmetry(np.full((50, 50), 255, dtype=np.uint8)) == 0
+    assert I.candidates(page) == [0, 180] and I.candidates(I.rotated(page, 180)) == [180, 0]
