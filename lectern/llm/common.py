@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: White space between words: the six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Rows of a few columns that fill a file of a checkpoint.
+ROWS_PER_FILE = 1_000_000
+_holder: list = []
+
+
+def hold(owner: str, release) -> None:
+    """A Python worker keeps the tables of one operator: when another one starts, ``release`` of the last is called."""
+    if _holder and _holder[0][0] != owner:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((owner, release))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,20 +28,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names in spark.checkpoint.dir.
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage in the shared folder.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder used instead.
+    ``rows``: there are as many at most, so that a small table is not written as one tiny file per shuffle partition.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(-(-max(1, rows) // ROWS_PER_FILE))
     return df.checkpoint(eager=True)
 
 
+def wrapped(docs: DataFrame, text: str) -> DataFrame:
+    """Each row as one struct ``_doc`` beside ``_text``, so that no column of theirs meets one of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+
+
+def unwrapped(d: DataFrame, docs: DataFrame, results, without=()) -> DataFrame:
+    """The columns that ``docs`` had, except those called like a result or listed in ``without``, then the results."""
+    kept = [c for c in docs.columns if c not in {*results, *without}]
+    return d.select(*(F.col("_doc").getField(c).alias(c) for c in kept), *results)
+
+
 def words_of(text: Column) -> Column:
     """The maximal runs of non-blank characters, in order; none for null."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

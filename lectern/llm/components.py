@@ -32,12 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the least node reachable.
 
     Self-loops and repeated edges are harmless; nodes without an edge to another are not returned.
+    Rounds never have more edges than the first, so a round is written in as few files as its rows fill.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)
     state = _state(e)
     while state[0]:
-        e = checkpointed(_small(_large(e).distinct()).distinct())
+        e = checkpointed(_small(_large(e).distinct()).distinct(), rows=state[0])
         if (now := _state(e)) == state:
             break
         state = now
