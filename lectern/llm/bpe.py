@@ -9,8 +9,8 @@ The vocabulary is a tokenizer file whose path is a parameter: byte-level BPE wit
 lower case, special tokens matched in the raw text, and no decoder (tokens are joined by one space).
 
 Defined results: a null text is empty; an empty text has no ids and decodes to the empty text;
-repeated rows give equal rows; extra columns pass through ``encoded`` unless named like its results;
-an empty table gives an empty result.
+repeated rows give equal rows; extra columns pass through ``encoded`` and ``digested`` unless named like a
+result, which then replaces them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold, unwrapped, wrapped
+
 END = "</w>"
 #: Entries of a worker's word table (about 200 bytes each); a full table starts anew.
 TABLE_SIZE = 600_000
@@ -200,13 +202,13 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
 
     @F.pandas_udf("struct<ids:array<int>,decoded:string>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold("bpe", codec.cache_clear)
         c = codec(path)
         for s in batches:
             ids = [c.encode(t) for t in s]
             yield pd.DataFrame({"ids": [[int(i) for i in x] for x in ids], "decoded": [c.decode(x) for x in ids]})
 
-    d = docs.withColumn("_bpe", f(F.col(text)))
-    return d.withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
+    return unwrapped(wrapped(docs, text).select("_doc", f("_text").alias("_bpe")).select("_doc", "_bpe.*"), docs, ["ids", "decoded"])
 
 
 def digested(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -218,6 +220,7 @@ def digested(docs: DataFrame, text: str = "text", path: str | None = None) -> Da
 
     @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold("bpe", codec.cache_clear)
         c = codec(path)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for s in batches:
@@ -227,8 +230,8 @@ def digested(docs: DataFrame, text: str = "text", path: str | None = None) -> Da
                 rows.append((len(ids), sha(" ".join(ids)), sha(c.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.select(*keep, f(F.col(text)).alias("_bpe")).select(*keep, "_bpe.*")
+    d = wrapped(docs, text).select("_doc", f("_text").alias("_bpe")).select("_doc", "_bpe.*")
+    return unwrapped(d, docs, ["n_tokens", "ids_sha256", "decoded_sha256"], [text])
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold, unwrapped, wrapped
+
 START = "▁"
 UNKNOWN = 1e-7
 #: Longer words, and those with a smaller probability in any language, are computed with logarithms.  Up to this length the start
@@ -37,10 +39,10 @@ UNKNOWN = 1e-7
 PLAIN_LETTERS, PLAIN_LEAST = 40, 1e-250
 ALPHA = 0.05
 #: Distinct words whose counts a training task holds before it folds them into piece sums.
-COUNTED_WORDS = 500_000
+COUNTED_WORDS = 300_000
 #: Words a worker keeps scored (one row of doubles each; a full table starts anew), words of texts that it
 #: scores together, and words whose lattices are built together.
-SCORED_WORDS, TOGETHER, WORDS_AT_ONCE = 800_000, 200_000, 20_000
+SCORED_WORDS, TOGETHER, WORDS_AT_ONCE = 400_000, 100_000, 20_000
 #: Letters of words that are computed with logarithms together (one longer word goes alone).
 LETTERS_AT_ONCE = 200_000
 UNDETERMINED = "und"
@@ -191,6 +193,14 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def release() -> None:
+    """Drops what a worker keeps between tasks."""
+    pieces.cache_clear()
+    for m in Model.kept:
+        m.at, m.rows = {}, m.rows[:0].copy()
+    Model.kept.clear()
+
+
 def words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
@@ -201,6 +211,9 @@ class Model:
     The table lives as long as a worker holds the model, so tasks that follow each other share it.
     """
 
+    #: Models of this process that have scored words.
+    kept: list = []
+
     def __init__(self, path: str, languages: list[str], tables: np.ndarray):
         self.path, self.languages, self.tables = path, languages, tables
         self.at: dict[str, int] = {}
@@ -213,10 +226,12 @@ class Model:
             self.at, self.rows = {}, self.rows[:0]
             fresh = list({w for t in texts for w in t})
         if fresh:
+            if self not in Model.kept:
+                Model.kept.append(self)
             k = len(self.at)
             self.at.update(zip(fresh, range(k, k + len(fresh))))
             if k + len(fresh) > len(self.rows):
-                self.rows = np.concatenate([self.rows[:k], np.empty((k + 4 * len(fresh), len(self.languages)))])
+                self.rows = np.concatenate([self.rows[:k], np.empty((k // 2 + 2 * len(fresh), len(self.languages)))])
             self.rows[k : k + len(fresh)] = pieces(self.path).log_forward(fresh, self.tables)
         get = self.at.__getitem__
         return [self.rows[np.fromiter(map(get, t), dtype=np.int64, count=len(t))].sum(axis=0) for t in texts]
@@ -227,6 +242,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
     path = path or default_vocabulary()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("language_id", release)
         v = pieces(path)
         seen: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
@@ -267,6 +283,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold("language_id", release)
         m = shared.value
 
         def judged(texts: list[list[str]]) -> Iterator[tuple[str, float]]:
@@ -285,8 +302,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out += judged(held)
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "_lid")]
-    return docs.withColumn("_lid", f(F.col(text))).select(*keep, "_lid.*")
+    return unwrapped(wrapped(docs, text).select("_doc", f("_text").alias("_lid")).select("_doc", "_lid.*"), docs, ["lang_pred", "score"])
 
 
 def held_out(key: str = "doc_id") -> Column:
