@@ -12,10 +12,10 @@ from ..operators import library as L
 from ..operators import search as S
 from ..operators import tools as U
 from ..session import table
-from ..sources import store
+from ..sources import files, store
 from ..streaming import watch
 from .queries_text import _ABSTRACT, _FRONT_MATTER, _JUNK, _WHOLE
-from .registry import query
+from .registry import ORACLES, query
 
 Q = L.SQL
 
@@ -220,3 +220,15 @@ def embed_prefixes(spark, sf_dir):
 @query("normal_shelves", Q + "SELECT id, left(lower(regexp_replace(trim(category || ' New Shelf'), '\\s+', '-', 'g')), 40) AS shelf FROM docs")
 def normal_shelves(spark, sf_dir):
     return L.documents(spark, sf_dir).select("id", T.normal_category(F.concat("category", F.lit(" New Shelf"))).alias("shelf"))
+
+
+_SANE = ORACLES["text_sane"].replace("FROM documents)", "FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents))")
+
+
+@query("ocr_targets", f"""WITH s AS ({_SANE}) SELECT source AS path, doc_id::INT AS page_no FROM documents JOIN s USING (doc_id)
+WHERE strlen(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 400 OR (NOT sane AND doc_id % 2 = 0)""")
+def ocr_targets(spark, sf_dir):
+    """Documents as the pages of their sources: thin ones, and implausible ones with an image."""
+    d = table(spark, sf_dir, "documents")
+    p = d.select(F.col("source").alias("path"), F.col("doc_id").cast("int").alias("page_no"), "text", (F.col("doc_id") % 2 == 0).alias("has_image"))
+    return files.ocr_targets(p, least=400)

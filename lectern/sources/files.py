@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quality import sane
-from ..functions.text import basename, cleaned, extension
+from ..functions.text import basename, cleaned, extension, trimmed
 from ..operators.library import CHUNK_CHARS, sliced
 
 TEXT_EXTENSIONS = (".txt", ".md", ".markdown", ".rst")
@@ -75,6 +76,79 @@ def needs_ocr(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame:
     )
 
 
+def ocr_targets(pages: DataFrame, force: bool = False, only: list[int] | None = None, least: int = MIN_PAGE_CHARS) -> DataFrame:
+    """(path, page_no) of the pages to recognise.
+
+    By force all pages, or those numbered in ``only``; else thin ones, and implausible ones that hold an image
+    (column ``has_image``; without that column every page may).
+    """
+    p = pages.where(F.col("page_no").isNotNull())
+    if force:
+        return (p if only is None else p.where(F.col("page_no").isin(only))).select("path", "page_no")
+    text = trimmed(F.coalesce("text", F.lit("")))
+    thin, implausible = F.octet_length(text) < least, ~F.coalesce(sane(text), F.lit(False))
+    image = F.coalesce("has_image", F.lit(False)) if "has_image" in pages.columns else F.lit(True)
+    return p.where(thin | (implausible & image)).select("path", "page_no")
+
+
+def page_results(files: DataFrame, wanted: DataFrame, work, result: str, workers: int = 3) -> DataFrame:
+    """(path, page_no, result, error) of a pluggable ``work(content, page_no)``, a file's pages in one go; a failure is a row.
+
+    ``workers`` bounds how many files are worked on at once, whatever the cluster could do.
+    """
+    kind = {"text": "string", "image": "binary"}[result]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, content, numbers in zip(b["path"], b["content"], b["numbers"]):
+                for n in numbers:
+                    try:
+                        out.append((path, int(n), work(bytes(content), int(n)), None))
+                    except Exception as e:  # the other pages go on
+                        out.append((path, int(n), None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "page_no", result, "error"])
+
+    todo = wanted.groupBy("path").agg(F.array_sort(F.collect_set("page_no")).alias("numbers"))
+    todo = todo.join(files.where(F.col("content").isNotNull()).select("path", "content"), "path").repartition(workers)
+    return todo.mapInPandas(run, f"path string, page_no int, {result} {kind}, error string")
+
+
+def recognised(pages: DataFrame, files: DataFrame, reader, force: bool = False, only: list[int] | None = None, workers: int = 3) -> DataFrame:
+    """``pages`` with recognised text where a page was wanted and read, and ``ocr``; other pages keep their text."""
+    read = page_results(files, ocr_targets(pages, force, only), reader, "text", workers)
+    read = read.where("text IS NOT NULL").select("path", "page_no", cleaned(F.col("text")).alias("_read"))
+    d = pages.join(read, ["path", "page_no"], "left")
+    return d.withColumns({"text": F.coalesce("_read", "text"), "ocr": F.col("_read").isNotNull()}).drop("_read")
+
+
+def ocr_pages(pages: DataFrame) -> DataFrame:
+    """(path, n_pages, n_ocr) per document."""
+    return pages.groupBy("path").agg(F.count("*").alias("n_pages"), F.count_if("ocr").alias("n_ocr"))
+
+
+def rendered(files: DataFrame, wanted: DataFrame, render, cache: str | None = None, workers: int = 3) -> DataFrame:
+    """(path, page_no, size, modified, image): pictures of pages by a pluggable ``render(content, page_no)``.
+
+    ``cache``: a folder of pictures made before; a picture counts for the size and time that its file had, so a changed file is drawn anew.
+    """
+    spark = files.sparkSession
+    stamps = wanted.join(files.select("path", "size", "modified"), "path").select("path", "page_no", "size", "modified")
+    key = ["path", "page_no", "size", "modified"]
+    old = None
+    if cache is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(cache)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            old = spark.read.parquet(cache)
+    todo = stamps if old is None else stamps.join(old.select(*key), key, "left_anti")
+    made = page_results(files, todo.select("path", "page_no"), render, "image", workers).where("image IS NOT NULL")
+    made = made.join(stamps, ["path", "page_no"]).select(*key, "image")
+    if cache is None:
+        return made
+    made.write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(stamps, key, "left_semi")
+
+
 def pdf_text(content: Column) -> Column:
     """Literal metadata of an uncompressed PDF header: struct of title and author."""
     raw = F.decode(content, "ISO-8859-1")

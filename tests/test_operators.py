@@ -289,3 +289,29 @@ def test_vanished_files_are_forgotten(spark):
     now, left = watch.due(s, done)
     assert [r["path"] for r in now.collect()] == ["a"] and sorted(r["path"] for r in left.collect()) == ["b", "e"]
     assert sorted(r["path"] for r in watch.due(s, done, settle=False)[0].collect()) == ["a", "b", "d"]
+
+
+def test_recognised_and_rendered_pages(spark, tmp_path):
+    f = spark.createDataFrame([("/a.pdf", 3, "2024-01-01", b"aaa"), ("/b.pdf", 1, "2024-01-01", b"b"), ("/gone.pdf", None, None, None)], "path string, size long, modified string, content binary")
+    prose = "This page has plain words that read like prose, so its own text layer is kept as it is. " * 2
+    pages = spark.createDataFrame([("/a.pdf", 1, prose, True), ("/a.pdf", 2, "", False), ("/a.pdf", 3, "#" * 200, True), ("/b.pdf", 1, "#" * 200, False), ("/gone.pdf", 1, "", True)], "path string, page_no int, text string, has_image boolean")
+
+    def reader(content, n):
+        if n == 3:
+            raise RuntimeError("no ink")
+        return f"read {len(content)} {n}"
+
+    texts = lambda d: {(r["path"], r["page_no"]): (r["text"], r["ocr"]) for r in d.collect()}
+    got = texts(files.recognised(pages, f, reader))
+    assert got == {("/a.pdf", 1): (prose, False), ("/a.pdf", 2): ("read 3 2", True), ("/a.pdf", 3): ("#" * 200, False), ("/b.pdf", 1): ("#" * 200, False), ("/gone.pdf", 1): ("", False)}
+    assert {k for k, (_, ocr) in texts(files.recognised(pages, f, reader, force=True)).items() if ocr} == {("/a.pdf", 1), ("/a.pdf", 2), ("/b.pdf", 1)}
+    one = files.recognised(pages, f, reader, force=True, only=[1])
+    assert {k for k, (_, ocr) in texts(one).items() if ocr} == {("/a.pdf", 1), ("/b.pdf", 1)}
+    assert {r["path"]: (r["n_pages"], r["n_ocr"]) for r in files.ocr_pages(one).collect()} == {"/a.pdf": (3, 1), "/b.pdf": (1, 1), "/gone.pdf": (1, 0)}
+    cache, wanted = str(tmp_path / "covers"), pages.where("page_no = 1").select("path", "page_no")
+    draw = lambda content, n: b"png" + content
+    assert {r["path"]: bytes(r["image"]) for r in files.rendered(f, wanted, draw, cache).collect()} == {"/a.pdf": b"pngaaa", "/b.pdf": b"pngb"}
+    changed = f.withColumn("modified", F.when(F.col("path") == "/b.pdf", "2024-02-02").otherwise(F.col("modified")))
+    again = files.rendered(changed, wanted, lambda content, n: b"new" + content, cache)
+    assert {r["path"]: bytes(r["image"]) for r in again.collect()} == {"/a.pdf": b"pngaaa", "/b.pdf": b"newb"}
+    assert files.rendered(f, wanted, draw).count() == 2
