@@ -6,10 +6,14 @@ from . import backoff_lm, bpe, language_id, licence_scan, media, mixing, quality
 from .common import documents
 
 
+#: What names a row of a file.
+FILE_ROW = ("_metadata.file_path", "_metadata.row_index")
+
+
 def queries() -> dict:
     return {
         "op1_webp_media": lambda spark, sf_dir: media.op1(documents(spark, sf_dir)),
-        "op2_resharding": lambda spark, sf_dir: resharding.op2(documents(spark, sf_dir)),
+        "op2_resharding": lambda spark, sf_dir: resharding.op2(documents(spark, sf_dir).select("*", *FILE_ROW), ["file_path", "row_index"]),
         "op3_bpe": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir)),
         "op4_language_id": lambda spark, sf_dir: language_id.op4(documents(spark, sf_dir)),
         "op5_mixing": lambda spark, sf_dir: mixing.op5(documents(spark, sf_dir)),
