@@ -231,8 +231,9 @@ def links(prints: DataFrame) -> DataFrame:
 def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
     """``docs`` without its text, plus ``fingerprint`` (hex) and ``component_id``."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "fingerprint", "component_id")]
-    rows = checkpointed(docs.select(*keep, fingerprints(words)(F.col(text)).alias(PRINT)))
-    prints = rows.groupBy(F.col(PRINT).alias("fp")).agg(F.min(F.col(f"`{key}`")).alias("least"), F.count("*").alias("n"))
+    rows = docs.select(F.struct(*keep).alias("_doc"), F.col(f"`{key}`").alias("_key"), fingerprints(words)(F.col(f"`{text}`")).alias(PRINT))
+    rows = checkpointed(rows)
+    prints = rows.groupBy(F.col(PRINT).alias("fp")).agg(F.min("_key").alias("least"), F.count("*").alias("n"))
     found = components(links(prints))
     with_root = prints.join(found.withColumnRenamed("node", "fp"), "fp")
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -244,9 +245,7 @@ def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     known = F.broadcast(prints.where(is_hot).select(F.col("fp").alias(PRINT)))
     rest = rows.join(known, PRINT, "left_anti").join(classes.where(~is_hot).drop("n"), PRINT)
     out = rows.join(hot, PRINT).unionByName(rest)
-    return out.select(
-        *(F.col(f"`{c}`") for c in rows.columns if c != PRINT), F.lower(F.lpad(F.hex(PRINT), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return out.select("_doc.*", F.lower(F.lpad(F.hex(PRINT), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def sketches(words: int = NEAR_SHINGLE):
