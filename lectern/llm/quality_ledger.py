@@ -19,11 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import BLANK_RUN, unwrapped, words_of, wrapped
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims", "n_stutters")
 
 
@@ -55,8 +54,9 @@ POLICIES = {
 }
 
 
-def _count_of(chars: str, text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count_of(characters: str, text: Column) -> Column:
+    """Characters of a class: what lies between them goes in long strides, which is cheaper than looking each one up."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
 def _covered(starts: Column) -> Column:
@@ -74,21 +74,21 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     Repeats are found inside a row: windows are 64-bit hashes of word hashes; only where some hash
     occurs twice are they sorted with their places, so ordinary rows cost a hash set at most.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    d = docs.withColumns({"_words": words_of(F.col(text)), "_lines": lines})
+    d = wrapped(docs, text).withColumns({"_words": words_of(F.col("_text")), "_lines": lines})
     d = d.withColumns(
         {
             "_hash": F.transform("_words", lambda w: F.xxhash64(w)),
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": _count_of(SYMBOLS, t).cast("long"),
-            "n_upper": _count_of(UPPER, t).cast("long"),
-            "n_exclaims": _count_of("!", t).cast("long"),
+            "word_chars": F.length(F.regexp_replace(t, BLANK_RUN, "")).cast("long"),
+            "n_symbols": _count_of(SYMBOLS, t),
+            "n_upper": _count_of("A-Z", t),
+            "n_exclaims": (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
-    ).drop("_words", "_lines")
+    ).drop("_words", "_lines", "_text")
     windows = F.transform(
         F.sequence(F.lit(0), F.size("_hash") - WINDOW),
         lambda i: F.xxhash64(*(F.get(F.col("_hash"), i + j) for j in range(WINDOW))),
@@ -110,9 +110,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     d = d.withColumn("_starts", F.when(at.isNotNull(), F.sort_array(F.filter(twice, lambda i: i.isNotNull())))).drop("_win", "_at")
     starts = F.col("_starts")
-    return d.withColumn(
-        "n_repeat_words", F.when(starts.isNotNull(), _covered(starts)).otherwise(0).cast("long")
-    ).drop("_starts")
+    d = d.withColumn("n_repeat_words", F.when(starts.isNotNull(), _covered(starts)).otherwise(0).cast("long"))
+    return unwrapped(d, docs, MEASURES)
 
 
 def failed_bits() -> Column:
