@@ -29,8 +29,6 @@ PROSE = "holder|owner|notice|law|licen[sc]e|statement|treat|interest|claim|prote
 COPYRIGHT_LINE = (
     rf"(^|\n)[ \t*#/]*(copyright[ \t]*(:|©|\(c\)|[ \t](?!({PROSE})(d|s|y|ies|ed|able)?\b)[^\s])|\(c\)[ \t]*(copyright\b|[0-9]{{4}})|©|all rights reserved)[^\n]*"
 )
-#: What the SQL twin takes for one; it stays as it was, so it drops any line that begins so.
-SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 #: Equivalent spellings, between blanks.
 SPELLINGS = (
@@ -40,8 +38,6 @@ SPELLINGS = (
 )
 #: Every known notice has this word, which the canonical form keeps; texts and lines without it are not looked at.
 MARK = r"(^|[^\p{L}\p{N}])under($|[^\p{L}\p{N}])"
-#: The SQL twin's narrower choice of lines.
-SQL_MARK = r"licen[sc]e|cc by|cc0| under "
 
 
 def canonical(text: Column) -> Column:
@@ -52,17 +48,17 @@ def canonical(text: Column) -> Column:
     return F.btrim(t)
 
 
-def canonical_text(text: str, copyright_line: str = COPYRIGHT_LINE) -> str:
+def canonical_text(text: str) -> str:
     """The same in Python, for the known texts."""
-    t = re.sub(copyright_line, r"\1", text.lower())
+    t = re.sub(COPYRIGHT_LINE, r"\1", text.lower())
     t = " " + re.sub(r"[\W_]+", " ", t) + " "
     for a, b in SPELLINGS:
         t = re.sub(a, b, t)
     return t.strip(" ")
 
 
-def _digests(known, copyright_line: str = COPYRIGHT_LINE) -> list[tuple[str, str]]:
-    return sorted({(hashlib.sha256(canonical_text(t, copyright_line).encode()).hexdigest(), spdx) for spdx, t in known})
+def _digests(known) -> list[tuple[str, str]]:
+    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), spdx) for spdx, t in known})
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,7 +88,12 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def _canonical_sql(x: str) -> str:
-    t = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_COPYRIGHT_LINE}', '\\1', 'g')"
+    """``canonical`` for an engine without look-ahead: words after "copyright" that go on with a sentence are marked, and the mark goes again."""
+    prose = rf"(^|\n)([ \t*#/]*)copyright([ \t]+({PROSE})(d|s|y|ies|ed|able)?\b)"
+    line = COPYRIGHT_LINE.replace(rf"(?!({PROSE})(d|s|y|ies|ed|able)?\b)", "")
+    assert "(?!" not in line
+    t = f"regexp_replace(lower(coalesce({x}, '')), '{prose}', '\\1\\2copyright\ue000\\3', 'g')"
+    t = f"replace(regexp_replace({t}, '{line}', '\\1', 'g'), 'copyright\ue000', 'copyright')"
     t = f"(' ' || regexp_replace({t}, '{NOT_ALNUM}', ' ', 'g') || ' ')"
     for a, b in SPELLINGS:
         t = f"regexp_replace({t}, '{a}', '{b}', 'g')"
@@ -100,14 +101,14 @@ def _canonical_sql(x: str) -> str:
 
 
 def oracle() -> str:
-    values = lambda known: ", ".join(f"('{d}', '{s}')" for d, s in _digests(known, SQL_COPYRIGHT_LINE))
+    values = lambda known: ", ".join(f"('{d}', '{s}')" for d, s in known)
     return f"""
-WITH known(digest, licence) AS (VALUES {values(TEXTS)}),
-notice(digest, licence) AS (VALUES {values(NOTICES)}),
+WITH known(digest, licence) AS (VALUES {values(sorted({*_digests(TEXTS), *LONG_TEXTS}))}),
+notice(digest, licence) AS (VALUES {values(_digests(NOTICES))}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
 l AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
 n AS (SELECT rid, list_sort(list(DISTINCT notice.licence)) AS notices
-      FROM l JOIN notice ON notice.digest = sha256({_canonical_sql('line')}) WHERE regexp_matches(lower(line), '{SQL_MARK}') GROUP BY rid)
+      FROM l JOIN notice ON notice.digest = sha256({_canonical_sql('line')}) WHERE regexp_matches(lower(line), '{MARK}') GROUP BY rid)
 SELECT doc_id, d.digest, known.licence, coalesce(array_to_string(notices, ','), '') AS notices, coalesce(len(notices), 0)::BIGINT AS n_notices
 FROM d LEFT JOIN known ON known.digest = d.digest LEFT JOIN n USING (rid)
 """
