@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a uniform 36-bit hash of its key.  Sizes are summed by (source, top 12 bits);
+Every document has a uniform 36-bit hash of its key and text.  Sizes are summed by (source, top 12 bits);
 the running sum over the 4096 buckets of a source finds the one bucket in which its budget runs
 out; only that bucket is cut again by the next 12 bits, and its boundary once more by the last 12.
 The nested boundaries form one threshold per source, and taking documents is the row filter
@@ -14,8 +14,8 @@ decides about one more repeat.
 Main path: DataFrame expressions only.
 
 Defined results: null text has size 0; null sources are one source, ordered last; documents of size
-0 take 0 words; equal keys (also null keys) share a hash and so a decision; extra columns pass
-through ``mixed``; an empty table gives an empty result.
+0 take 0 words; only rows alike in key (also a null one) and text share a hash and so a decision; extra columns
+pass through ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ LEVELS, BITS = 3, 12
 BROADCAST_SOURCES = 10_000
 
 
-def key_hash(key: str) -> Column:
-    """36 uniform bits from the key's decimal text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+def key_hash(key: str, text: str) -> Column:
+    """36 uniform bits from the key's decimal text and the text, so that rows of one key are decided apart."""
+    both = F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
 
 def n_words(text: str) -> Column:
@@ -70,7 +71,7 @@ def targets(totals: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_REPEATS) -
 def plan(slim: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_REPEATS) -> tuple[DataFrame, bool]:
     """(source, source_size, target, epochs, threshold) for rows (source, h, size), and whether it is small."""
     goal = checkpointed(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    small = goal.count() <= BROADCAST_SOURCES
+    small = (sources := goal.count()) <= BROADCAST_SOURCES
     fit = F.broadcast if small else (lambda x: x)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     at = goal.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -86,33 +87,34 @@ def plan(slim: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_REPEATS) -> tup
         bars = bars.withColumn("upto", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0)))
         bars = bars.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
         edge = bars.select("s", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest"), F.col("bucket").alias("prefix"), "n")
-        edge = checkpointed(edge)
+        edge = checkpointed(edge, rows=sources)
     cut = edge.select("s", (F.col("prefix") + F.when(F.col("rest") * 2 >= F.col("n"), 1).otherwise(0)).alias("threshold"))
     out = at.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "source", "source_size", "target", "epochs", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold")
     )
-    return checkpointed(out), small
+    return checkpointed(out, rows=sources), small
 
 
 def repeats(rows: DataFrame, plan_: DataFrame, small: bool) -> DataFrame:
     """``rows`` (with source and h) plus source_size, target and ``times`` (0 to the most repeats)."""
-    p = plan_.withColumnRenamed("source", "_s")
+    p = plan_.select(F.struct(F.col("source").alias("s"), "source_size", "target", "epochs", "threshold").alias("_plan"))
     p = F.broadcast(p) if small else p
-    times = F.col("epochs") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return rows.join(p, F.col("source").eqNullSafe(F.col("_s"))).withColumn("times", times).drop("_s", "epochs", "threshold")
+    times = F.col("_plan.epochs") + F.when(F.col("h") < F.col("_plan.threshold"), 1).otherwise(0)
+    d = rows.join(p, F.col("source").eqNullSafe(F.col("_plan.s")))
+    return d.select(*(F.col(c) for c in rows.columns), "_plan.source_size", "_plan.target", times.alias("times"))
 
 
 def mixed(docs: DataFrame, key="doc_id", text="text", source="source", weights=WEIGHTS, share=SHARE, most=MAX_REPEATS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; the columns stay as they were."""
-    slim = docs.select(F.col(source).alias("source"), key_hash(key).alias("h"), n_words(text).alias("size"))
+    slim = docs.select(F.col(source).alias("source"), key_hash(key, text).alias("h"), n_words(text).alias("size"))
     plan_, small = plan(checkpointed(slim), weights, share, most)
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source).alias("source"), key_hash(key).alias("h"))
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source).alias("source"), key_hash(key, text).alias("h"))
     taken = repeats(kept, plan_, small).where(F.col("times") > 0)
     return taken.select("row", F.explode(F.array_repeat(F.lit(True), F.col("times").cast("int"))).alias("_")).select("row.*")
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    slim = checkpointed(docs.select("doc_id", "source", key_hash("doc_id").alias("h"), n_words("text").alias("size")))
+    slim = checkpointed(docs.select("doc_id", "source", key_hash("doc_id", "text").alias("h"), n_words("text").alias("size")))
     plan_, small = plan(slim)
     return repeats(slim, plan_, small).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"
@@ -121,7 +123,7 @@ def op5(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS h,
+  SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 9))::BIGINT AS h,
          len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
   FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
