@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unwrapped, wrapped
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 or more characters in all
 HEX = r"[0-9a-f]{24,}"
@@ -47,10 +49,10 @@ WORDS = (
     "language last layer length level library limit line link list load local location manager master match member memory "
     "message method model module name network node number object offset open option order output package page parent "
     "password path pattern "
-    "nicht werden einung heit lich schaft verein gesetz stellung ordnung zeit arbeit "
-    "être mentaire quelque nouvelle travail ensemble toujours entre "
-    "ciones siempre donde también mundo trabajo gobierno estado "
-    "nation thing ering ention ance ment able ingly there other which through"
+    "nicht werden freiheit freundlich wissenschaft verein gesetz stellung ordnung zeit arbeit meinung "
+    "commentaire quelque nouvelle travail ensemble toujours entre question "
+    "canciones siempre donde mundo trabajo gobierno estado quien "
+    "nation thing engineering attention balance movement capable accordingly there other which through"
 ).split()
 
 
@@ -137,8 +139,8 @@ def _spans(text: Column, kind: int, pattern: str, value: Column | None = None, g
 
 def scanned(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     """``docs`` plus ``base`` and ``spans``: sorted arrays of (s, k, e), k counting KINDS from 0."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumns(
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    d = wrapped(docs, text).withColumns(
         {
             "_a": _spans(t, 0, ASSIGN, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= MIN_SECRET),
             "_b": _spans(t, 1, ACCESS),
@@ -151,7 +153,7 @@ def scanned(docs: DataFrame, table: list[float], text: str = "text") -> DataFram
     )
     d = d.withColumn("base", F.sort_array(F.concat("_a", "_b", "_c")))
     fresh = F.filter("_r", lambda x: ~F.exists("base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return d.withColumn("spans", F.sort_array(F.concat("base", fresh))).drop("_a", "_b", "_c", "_r")
+    return unwrapped(d.withColumn("spans", F.sort_array(F.concat("base", fresh))), docs, ["base", "spans"])
 
 
 def _listed(spans: Column) -> Column:
