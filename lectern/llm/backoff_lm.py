@@ -1,8 +1,9 @@
 """Stupid-backoff language model scores, computed relationally over columnar blocks.
 
-Counts of words and word pairs over all documents are tables partitioned by hash.  A text's score is
-the sum over its words of ln S(w | u): c(uw) / c(u) if the pair was counted at least ``MIN_COUNT`` times,
-0.4 * c(w) / N otherwise (the first word: c(w) / N).
+Counts of the n-grams up to an order over all documents are tables partitioned by hash.  A text's score is the sum over
+its words of ln S(w | history): c(history w) / c(history) if that n-gram was counted at least ``MIN_COUNT`` times,
+0.4 * S(w | history without its first word) otherwise, and c(w) / N without any history.  A document's own
+n-grams are among those counted, so what was counted once is seen nowhere else and backs off.
 
 A row per word and pair would be 30 bytes each on its way through two shuffles, several times the
 input.  So rows are blocks: a task turns some millions of words into one row that holds the distinct word hashes and
@@ -34,11 +35,10 @@ from xxhash import xxh64_intdigest
 
 from .common import checkpointed
 
-BACKOFF, MIN_COUNT = 0.4, 2
+BACKOFF, MIN_COUNT, ORDER = 0.4, 2, 2
 #: Words in a block, and words of all documents for each bucket.
-BLOCK_WORDS, BUCKET_WORDS = 3_000_000, 1_500_000
+BLOCK_WORDS, BUCKET_WORDS = 2_000_000, 1_500_000
 PAIR = np.uint64(0x9E3779B97F4A7C15)
-WORD_TABLE, PAIR_TABLE = 0, 1
 BLOCK = "block long, docs array<long>, sizes array<int>, words binary, places binary"
 PIECE = "tab int, bucket long, block long, n int, keys binary, counts binary"
 ANSWER = "block long, tab int, bucket long, n int, counts binary"
@@ -90,23 +90,24 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Grams:
-    """Words, pairs and documents of a block row."""
+    """Words, n-grams and documents of a block row."""
 
     def __init__(self, row):
         self.sizes = np.asarray(row.sizes, dtype=np.int64)
         total = int(self.sizes.sum())
         self.words = np.frombuffer(bytes(row.words), dtype=np.uint64)
         self.places = _unpacked(row.places, total, np.uint32).astype(np.int64) if total else np.zeros(0, dtype=np.int64)
-        self.first = np.zeros(total, dtype=bool)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.first[starts[self.sizes > 0]] = True
+        self.nth = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
 
-    def pairs(self) -> np.ndarray:
-        """Key of the pair that ends at each word (meaningless at first words)."""
-        h = self.words[self.places]
-        x = np.roll(h, 1) * PAIR + h
-        x ^= x >> np.uint64(29)
-        return x * PAIR
+    def keys(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, where, keys): for n from 2, which words end an n-gram of their document, and the keys of those."""
+        x = h = self.words[self.places]
+        for n in range(2, order + 1):
+            x = np.roll(x, 1) * PAIR + h
+            x ^= x >> np.uint64(29)
+            x *= PAIR
+            whole = self.nth >= n - 1
+            yield n, whole, x[whole]
 
 
 def _cut(tab: int, block: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
@@ -117,15 +118,16 @@ def _cut(tab: int, block: int, keys: np.ndarray, counts: np.ndarray, bits: int)
         yield tab, int(bucket[a]), block, int(b - a), _packed(_steps(keys[a:b])), _packed(counts[a:b].astype(np.uint32))
 
 
-def _exploded(bits: int):
+def _exploded(bits: int, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
                 g = _Grams(row)
-                order = np.argsort(g.words)
+                by_hash = np.argsort(g.words)
                 counts = np.bincount(g.places, minlength=len(g.words))
-                out = list(_cut(WORD_TABLE, row.block, g.words[order], counts[order], bits))
-                out += _cut(PAIR_TABLE, row.block, *np.unique(g.pairs()[~g.first], return_counts=True), bits)
+                out = list(_cut(1, row.block, g.words[by_hash], counts[by_hash], bits))
+                for n, _, keys in g.keys(order):
+                    out += _cut(n, row.block, *np.unique(keys, return_counts=True), bits)
                 yield pd.DataFrame(out, columns=["tab", "bucket", "block", "n", "keys", "counts"])
 
     return run
@@ -142,7 +144,7 @@ def _totals(pieces: pd.DataFrame) -> pd.DataFrame:
     return pieces[["block", "tab", "bucket", "n"]].assign(counts=answers)
 
 
-def _scores(total: int):
+def _scores(total: int, order: int):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in block.itertuples():
@@ -154,15 +156,17 @@ def _scores(total: int):
             scores = np.zeros(len(g.sizes))
             if len(g.places):
                 word = np.empty(len(g.words))
-                word[np.argsort(g.words)] = known[WORD_TABLE]
-                c = word[g.places]
-                value = np.log(c / total)
-                if (~g.first).any():
-                    pair = np.zeros(len(c))
-                    pair[~g.first] = known[PAIR_TABLE][np.unique(g.pairs()[~g.first], return_inverse=True)[1]]
-                    met = pair >= MIN_COUNT
-                    value[~g.first] += math.log(BACKOFF)
-                    value[met] = np.log(pair[met] / np.roll(c, 1)[met])
+                word[np.argsort(g.words)] = known[1]
+                history = word[g.places]
+                value = np.log(history / total)
+                for n, whole, keys in g.keys(order):
+                    c = np.zeros(len(value))
+                    if len(keys):
+                        c[whole] = known[n][np.unique(keys, return_inverse=True)[1]]
+                    value[whole] += math.log(BACKOFF)
+                    met = c >= MIN_COUNT
+                    value[met] = np.log(c[met] / np.roll(history, 1)[met])
+                    history = c
                 some = g.sizes > 0
                 starts = (np.cumsum(g.sizes) - g.sizes)[some]
                 scores[some] = np.add.reduceat(value, starts)
@@ -172,17 +176,32 @@ def _scores(total: int):
     return run
 
 
-def scored(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_words, score, per_word): sum and mean of ln S over the words of each row."""
+def scored(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, n_words, score, per_word): sum and mean of ln S over the words of each row, with n-grams up to ``order``."""
     blocks = checkpointed(docs.select("doc_id", F.col(text).alias("t")).mapInPandas(_blocks, BLOCK))
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_WORDS))))
-    pieces = blocks.mapInPandas(_exploded(bits), PIECE)
+    pieces = blocks.mapInPandas(_exploded(bits, order), PIECE)
     answers = pieces.groupBy("tab", "bucket").applyInPandas(_totals, ANSWER)
-    d = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(total), "doc_id long, n_words long, s double")
+    d = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(total, order), "doc_id long, n_words long, s double")
     score = F.when(F.col("n_words") > 0, F.col("s"))
-    return d.select("doc_id", "n_words", F.round(score, 6).alias("score"), F.round(score / F.col("n_words"), 6).alias("per_word"))
+    return d.select("doc_id", "n_words", F.round(score, 4).alias("score"), F.round(score / F.col("n_words"), 6).alias("per_word"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
     return scored(docs.select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT rid, x, lag(x) OVER (PARTITION BY rid ORDER BY i) AS u FROM t),
+one AS (SELECT x, count(*)::DOUBLE AS n FROM t GROUP BY x),
+two AS (SELECT u, x, count(*)::DOUBLE AS n FROM g WHERE u IS NOT NULL GROUP BY u, x),
+n AS (SELECT count(*)::DOUBLE AS total FROM t),
+s AS (
+  SELECT rid, sum(CASE WHEN g.u IS NULL THEN ln(a.n / total) WHEN two.n >= 2 THEN ln(two.n / b.n) ELSE ln(0.4::DOUBLE * a.n / total) END) AS s
+  FROM g JOIN one a ON a.x = g.x CROSS JOIN n LEFT JOIN one b ON b.x = g.u LEFT JOIN two ON two.u = g.u AND two.x = g.x GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(s, 4) AS score, round(s / len(w), 6) AS per_word FROM d LEFT JOIN s USING (rid)
+"""

@@ -29,5 +29,6 @@ def oracles() -> dict:
     return {
         "op5_mixing": mixing.ORACLE,
         "op6_licence_scan": licence_scan.oracle(),
+        "op9_backoff_lm": backoff_lm.ORACLE,
         "op10_quality_ledger": quality_ledger.ORACLE,
     }

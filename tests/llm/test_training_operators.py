@@ -378,7 +378,7 @@ def test_mixing_odd_columns(odd):
 # ---------------------------------------------------------------- 6, 10
 
 
-@pytest.mark.parametrize("name", ["op5_mixing", "op6_licence_scan", "op10_quality_ledger"])
+@pytest.mark.parametrize("name", ["op5_mixing", "op6_licence_scan", "op9_backoff_lm", "op10_quality_ledger"])
 def test_sql(name, spark, sf_dir, duck, same):
     import __spark_entry__
 
