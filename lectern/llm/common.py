@@ -23,8 +23,23 @@ def hold(owner: str, release) -> None:
         _holder.append((owner, release))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows read or sent to Python at once where rows hold whole texts: (setting, Spark's default for short rows, rows).
+WIDE_ROWS = (
+    ("spark.sql.parquet.columnarReaderBatchSize", "4096", "256"),
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "3000"),
+)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds batches of whole texts unless the session has its own bounds."""
     ship(spark)
+    for name, default, rows in WIDE_ROWS:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, rows)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

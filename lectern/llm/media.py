@@ -7,7 +7,7 @@ of values is coded in lockstep, tile by tile, in bounded memory.
 
 Defined results: a null value is stored as empty; values are padded with zero bytes to a positive
 multiple of 64; equal values are stored as equal bytes; a null or broken image decodes to null fields;
-extra columns pass through; an empty table gives an empty result.
+extra columns pass through unless named like a result, which then replaces them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
+from .common import unwrapped, wrapped
 
 ROW, ROWS = 64, 64
 TILE = ROW * ROWS
+AUDIT = "n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string"
+AUDITED = [x.split(":")[0] for x in AUDIT.split(",")]
 #: Payload bytes coded at once by a task.
 BATCH = 3_000_000
 
@@ -55,9 +58,12 @@ def feature(payload: bytes) -> str:
 
 
 def _batches(values: list[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive values in as few parts of about one size as BATCH allows (one longer value goes alone)."""
+    total = sum(map(len, values))
+    most = total / max(1, -(-total // BATCH))
     now, n = [], 0
     for v in values:
-        if now and n + len(v) > BATCH:
+        if now and n + len(v) / 2 > most:
             yield now
             now, n = [], 0
         now.append(v)
@@ -113,9 +119,7 @@ def audited(docs: DataFrame, text: str = "text") -> DataFrame:
     ``store`` and ``restore`` as above; bytes stay in the worker, so only digests cross back to the JVM.
     """
 
-    @F.pandas_udf(
-        "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
-    )
+    @F.pandas_udf(f"struct<{AUDIT}>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = []
@@ -125,12 +129,10 @@ def audited(docs: DataFrame, text: str = "text") -> DataFrame:
                     rows.append(
                         (len(v), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), feature(p))
                     )
-            yield pd.DataFrame(
-                rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            )
+            yield pd.DataFrame(rows, columns=AUDITED)
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.select(*keep, f(F.col(text)).alias("_media")).select(*keep, "_media.*")
+    d = wrapped(docs, text).select("_doc", f("_text").alias("_media")).select("_doc", "_media.*")
+    return unwrapped(d, docs, AUDITED, [text])
 
 
 def op1(docs: DataFrame) -> DataFrame:
