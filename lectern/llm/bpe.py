@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import hold, unwrapped, wrapped
 
 END = "</w>"
-#: Entries of a worker's word table (about 200 bytes each); a full table starts anew.
-TABLE_SIZE = 600_000
+#: Entries of a worker's tables, of words and of their ids (about 200 bytes each); a full table starts anew.
+TABLE_SIZE = 400_000
 #: Longer words are encoded each time rather than kept.
 KEPT_LENGTH = 64
 #: Fragments of more symbols are merged with a heap.
@@ -105,6 +105,7 @@ class Codec:
         self.symbols = _byte_symbols()
         self.inside = {p for t in self.vocab for p in self._pairs(self._split(t))}
         self.words = _Table(self._encode_word)
+        self.spoken = _Table(lambda ids: " ".join(map(self.token.__getitem__, ids.split(" "))))
 
     @staticmethod
     def _split(token: str) -> list[str]:
@@ -171,24 +172,28 @@ class Codec:
             return self.word.findall(text)
         return [text[a:b] for a, b in (m.span() for m in self.word.finditer(self.later.sub(SYMBOL, text)))]
 
-    def encode(self, text: str | None) -> list[str]:
-        """Ids of a whole text, as decimal text."""
-        ids: list[str] = []
+    def parts(self, text: str | None) -> list[str]:
+        """Ids of a whole text, as decimal text with blanks between, one entry for each word or special token."""
+        out: list[str] = []
         for part in self.cut_special.split(text or "") if self.cut_special else [text or ""]:
             if part in self.special:
-                ids.append(str(self.special[part]))
+                out.append(str(self.special[part]))
             elif part:
                 # The library lower-cases character by character: a final sigma is not a special case.
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 if CAPITAL.search(low):
                     low = low.translate(CAPITALS)
-                if words := self.words_in(low):
-                    ids += " ".join(map(self.words.__getitem__, words)).split(" ")
-        return ids
+                out += map(self.words.__getitem__, self.words_in(low))
+        return out
+
+    def encode(self, text: str | None) -> list[str]:
+        """Ids of a whole text, as decimal text."""
+        parts = self.parts(text)
+        return " ".join(parts).split(" ") if parts else []
 
     def decode(self, ids: list[str]) -> str:
-        """The tokens of the ids, special ones included, joined by one space."""
-        return " ".join(map(self.token.__getitem__, ids))
+        """The tokens of the ids, special ones included, joined by one space; entries may hold several ids, as ``parts`` gives them."""
+        return " ".join(map(self.spoken.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -226,8 +231,9 @@ def digested(docs: DataFrame, text: str = "text", path: str | None = None) -> Da
         for s in batches:
             rows = []
             for t in s:
-                ids = c.encode(t)
-                rows.append((len(ids), sha(" ".join(ids)), sha(c.decode(ids))))
+                parts = c.parts(t)
+                ids = " ".join(parts)
+                rows.append((ids.count(" ") + 1 if parts else 0, sha(ids), sha(c.decode(parts))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = wrapped(docs, text).select("_doc", f("_text").alias("_bpe")).select("_doc", "_bpe.*")
