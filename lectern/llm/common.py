@@ -38,9 +38,13 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(name, rows)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -54,9 +58,10 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def wrapped(docs: DataFrame, text: str) -> DataFrame:
-    """Each row as one struct ``_doc`` beside ``_text``, so that no column of theirs meets one of ours."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+def wrapped(docs: DataFrame, text: str, keep: bool = True) -> DataFrame:
+    """Each row as one struct ``_doc`` beside ``_text``, so that no column of theirs meets one of ours; ``keep``: with the text in it."""
+    inside = [c for c in docs.columns if keep or c != text] or docs.columns
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in inside)).alias("_doc"), F.col(f"`{text}`").alias("_text"))
 
 
 def unwrapped(d: DataFrame, docs: DataFrame, results, without=()) -> DataFrame:

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from . import backoff_lm, bpe, language_id, licence_scan, media, mixing, quality_ledger, resharding, secret_scan, simhash
-from .common import documents
+from . import (
+    backoff_lm,
+    bpe,
+    language_id,
+    licence_scan,
+    media,
+    mixing,
+    periodic_runs,
+    quality_ledger,
+    resharding,
+    secret_scan,
+    simhash,
+    token_counts,
+    vector_codes,
+)
+from .common import documents, table
 
 
 #: What names a row of a file.
@@ -22,6 +36,9 @@ def queries() -> dict:
         "op8_secret_scan": lambda spark, sf_dir: secret_scan.op8(documents(spark, sf_dir)),
         "op9_backoff_lm": lambda spark, sf_dir: backoff_lm.op9(documents(spark, sf_dir)),
         "op10_quality_ledger": lambda spark, sf_dir: quality_ledger.op10(documents(spark, sf_dir)),
+        "op11_periodic_runs": lambda spark, sf_dir: periodic_runs.op11(documents(spark, sf_dir)),
+        "op12_vector_codes": lambda spark, sf_dir: vector_codes.op12(table(spark, sf_dir, "embeddings")),
+        "op13_token_counts": lambda spark, sf_dir: token_counts.op13(documents(spark, sf_dir)),
     }
 
 
@@ -31,4 +48,5 @@ def oracles() -> dict:
         "op6_licence_scan": licence_scan.oracle(),
         "op9_backoff_lm": backoff_lm.ORACLE,
         "op10_quality_ledger": quality_ledger.ORACLE,
+        "op12_vector_codes": vector_codes.oracle(),
     }
