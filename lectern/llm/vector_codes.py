@@ -95,7 +95,8 @@ def moved(state: DataFrame, bounds: list[int], sum_type: str) -> DataFrame:
     signs = F.array(F.struct(F.col("new").alias("entry"), F.lit(1).alias("n")), F.struct(F.col("old").alias("entry"), F.lit(-1).alias("n")))
     d = d.select("part", "x", F.explode(F.filter(signs, lambda s: s["entry"].isNotNull())).alias("s"))
     d = d.select("part", "s.entry", "s.n", F.posexplode("x").alias("place", "value"))
-    return d.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum((F.col("value") * F.col("n")).cast(sum_type)).alias("total"))
+    value = F.col("value").cast(sum_type)
+    return d.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 0, value).otherwise(-value)).alias("total"))
 
 
 def compressed(df: DataFrame, vector: str, key: str, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> tuple[DataFrame, Books]:
@@ -113,7 +114,7 @@ def compressed(df: DataFrame, vector: str, key: str, parts: int = PARTS, entries
     books: Books = [[list(r["v"][s:e]) for r in first] for s, e in zip(bounds, bounds[1:])]
 
     state = kept.select("_doc", "v", F.lit(None).cast("binary").alias("code"))
-    size, rows = state.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v") - 1)), F.count("*")).first()
+    size, rows = state.agg(F.max(F.greatest(F.array_max("v"), -(F.array_min("v") + 1))), F.count("*")).first()
     size = (size or 0) + 1
     exact_doubles = (2 * size) ** 2 * max(e - s for s, e in zip(bounds, bounds[1:])) * 4 <= 1 << 53
     sum_type = "long" if size * max(1, rows) < 1 << 62 else "decimal(38,0)"
