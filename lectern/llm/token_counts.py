@@ -2,7 +2,7 @@
 
 A byte-level BPE encodes each pre-token on its own, so the number of tokens of a text is the sum of the lengths of its
 pre-tokens.  The first tier is a table of frequent pre-tokens and their lengths, broadcast once: the entries of
-the vocabulary that are pre-tokens themselves, and the ``KEPT`` most frequent ones of ``SAMPLE_ROWS`` texts.  What
+the vocabulary that are pre-tokens themselves, and the ``KEPT`` most frequent ones of ``SAMPLE_ROWS`` texts of one partition.  What
 misses it is encoded and kept in the same hash table of the worker, bounded by ``MISSES``: a full one starts anew from the
 broadcast part.  No pre-token is shuffled, and the sample decides about speed only: every text is counted in full.
 
@@ -102,28 +102,29 @@ class Lengths(dict):
 
 
 def _sampled(path: str):
-    """Counts of pre-tokens in one task; rare ones are let go when there are many."""
+    """The most frequent pre-tokens of the first rows of a task; rare ones are let go when there are many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, seen = Lengths(path, {}), Counter()
+        table, seen, rows = Lengths(path, {}), Counter(), 0
         for b in batches:
-            for text in b["t"]:
+            for text in b["t"][: max(0, SAMPLE_ROWS - rows)]:
                 for p in table.pieces(text):
                     seen.update(p)
                     if len(seen) > 20 * KEPT:
                         seen = Counter(dict(seen.most_common(10 * KEPT)))
-        short = [w for w, _ in seen.most_common() if len(w) <= KEPT_LENGTH][:KEPT]
-        yield pd.DataFrame({"w": short})
+            rows += len(b)
+        if rows:
+            yield pd.DataFrame({"w": [[w for w, _ in seen.most_common() if len(w) <= KEPT_LENGTH][:KEPT]]})
 
     return run
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> dict[str, int]:
-    """The first tier.  ``limit`` leaves one partition of SAMPLE_ROWS rows, so one task counts them and returns KEPT rows."""
+    """The first tier.  ``first`` runs tasks until one has rows, so a single partition is looked into, and nothing is shuffled."""
     table = Lengths(path, {})
     whole = [w for e in table.entries if len(w := e.decode("utf-8", "ignore")) <= KEPT_LENGTH and w.encode() == e and pre_tokens(w) == [w]]
-    seen = docs.select(F.col(f"`{text}`").alias("t")).limit(SAMPLE_ROWS).mapInPandas(_sampled(path), "w string").collect()
-    return {w: table.length(w) for w in {*whole, *(r["w"] for r in seen)}}
+    seen = docs.select(F.col(f"`{text}`").alias("t")).mapInPandas(_sampled(path), "w array<string>").first()
+    return {w: table.length(w) for w in {*whole, *(seen["w"] if seen else ())}}
 
 
 _tables: dict[str, Lengths] = {}
