@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import queries_library, queries_more, queries_ops, queries_search, queries_text  # noqa: F401
+    from . import queries_library, queries_more, queries_ops, queries_search, queries_sources, queries_text  # noqa: F401
 
 
 _load()

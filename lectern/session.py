@@ -47,6 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut: a lost executor does not ask a backend again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor (once per context)."""
     sc = spark.sparkContext

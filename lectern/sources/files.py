@@ -91,10 +91,11 @@ def ocr_targets(pages: DataFrame, force: bool = False, only: list[int] | None =
     return p.where(thin | (implausible & image)).select("path", "page_no")
 
 
-def page_results(files: DataFrame, wanted: DataFrame, work, result: str, workers: int = 3) -> DataFrame:
+def page_results(files: DataFrame, wanted: DataFrame, work, result: str, workers: int | None = None) -> DataFrame:
     """(path, page_no, result, error) of a pluggable ``work(content, page_no)``, a file's pages in one go; a failure is a row.
 
-    ``workers`` bounds how many files are worked on at once, whatever the cluster could do.
+    The cluster's cores bound how many files are worked on at once; ``workers`` bounds it further, for a program that allows few
+    copies of itself.
     """
     kind = {"text": "string", "image": "binary"}[result]
 
@@ -110,11 +111,12 @@ def page_results(files: DataFrame, wanted: DataFrame, work, result: str, workers
             yield pd.DataFrame(out, columns=["path", "page_no", result, "error"])
 
     todo = wanted.groupBy("path").agg(F.array_sort(F.collect_set("page_no")).alias("numbers"))
-    todo = todo.join(files.where(F.col("content").isNotNull()).select("path", "content"), "path").repartition(workers)
+    todo = todo.join(files.where(F.col("content").isNotNull()).select("path", "content"), "path")
+    todo = todo.repartition(workers) if workers else todo
     return todo.mapInPandas(run, f"path string, page_no int, {result} {kind}, error string")
 
 
-def recognised(pages: DataFrame, files: DataFrame, reader, force: bool = False, only: list[int] | None = None, workers: int = 3) -> DataFrame:
+def recognised(pages: DataFrame, files: DataFrame, reader, force: bool = False, only: list[int] | None = None, workers: int | None = None) -> DataFrame:
     """``pages`` with recognised text where a page was wanted and read, and ``ocr``; other pages keep their text."""
     read = page_results(files, ocr_targets(pages, force, only), reader, "text", workers)
     read = read.where("text IS NOT NULL").select("path", "page_no", cleaned(F.col("text")).alias("_read"))
@@ -127,7 +129,7 @@ def ocr_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("path").agg(F.count("*").alias("n_pages"), F.count_if("ocr").alias("n_ocr"))
 
 
-def rendered(files: DataFrame, wanted: DataFrame, render, cache: str | None = None, workers: int = 3) -> DataFrame:
+def rendered(files: DataFrame, wanted: DataFrame, render, cache: str | None = None, workers: int | None = None) -> DataFrame:
     """(path, page_no, size, modified, image): pictures of pages by a pluggable ``render(content, page_no)``.
 
     ``cache``: a folder of pictures made before; a picture counts for the size and time that its file had, so a changed file is drawn anew.

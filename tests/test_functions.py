@@ -94,14 +94,55 @@ def test_page_geometry(spark):
     img = page()
     assert (I.read_pgm(I.write_pgm(img)) == img).all()
     assert I.axis(img) == "rows" and I.axis(I.rotated(img, 90)) == "columns"
-    both = np.concatenate([page(), page()], axis=1)
-    assert abs(I.spine(both) - 200) < 15 and [p.shape[0] for p in I.split(both)] == [300, 300]
-    assert I.spine(img) is None
+    assert I.spine(img) is None and len(I.split(img)) == 1
     assert I.arbitrated({0: 0.3, 180: 0.2}) is None and I.arbitrated({0: 0.5, 180: 0.5}) == 0
     rows = spark.createDataFrame([(I.write_pgm(img),), (b"x",), (None,)], "b binary").select(I.analysed()("b").alias("a")).select("a.*").collect()
     assert rows[0]["axis"] == "rows" and rows[1]["error"] and rows[2]["error"]
 
 
+def blocks(w, h, *areas, ink=0):
+    img = np.full((h, w), 255, dtype=np.uint8)
+    for x0, x1, y0, y1 in areas:
+        for y in range(y0, y1, 12):
+            img[y : y + 7, x0:x1] = ink
+    return img
+
+
+def test_spine():
+    both = blocks(1190, 800, (70, 560, 100, 700), (640, 1120, 100, 700))
+    assert 520 <= I.spine(both) <= 680
+    assert I.spine(np.kron(both, np.ones((3, 3), dtype=np.uint8))) == pytest.approx(3 * I.spine(both), abs=12)  # above a million pixels
+    assert I.spine(blocks(1190, 800, (70, 560, 100, 700), (640, 1120, 100, 700), ink=100)) and not I.spine(blocks(1190, 800, (70, 560, 100, 700), (640, 1120, 100, 700), ink=120))
+    assert I.spine(blocks(1000, 800, (80, 900, 100, 700))) is None and I.spine(blocks(1000, 800)) is None
+    solid = blocks(1000, 800)
+    solid[100:700, 100:900] = 0
+    assert I.spine(solid) is None
+    assert I.spine(blocks(1190, 800, (70, 560, 100, 700))) is None  # one side is empty
+    specks = both.copy()
+    specks[::40, 560:640] = 0  # ink in every fortieth row of the gap
+    assert I.spine(specks) is None
+
+
+def test_halves():
+    both = blocks(1190, 800, (70, 560, 100, 200), (640, 1120, 100, 200))
+    left, right = I.halves(both, 590)
+    assert left.shape[1] + right.shape[1] <= 1190 and min(left.shape[1], right.shape[1]) >= 1190 // 2 - 100
+    assert not (left[:, 560:] < 110).any() and (right < 110).any()
+
+
+def test_candidates():
+    assert I.candidates(np.full((300, 200), 255, dtype=np.uint8)) == [0]
+    page = blocks(600, 800, (60, 500, 100, 700))
+    assert set(I.candidates(page)) == {0, 180} and set(I.candidates(I.rotated(page, 90))) == {90, 270}
+
+
+@pytest.mark.parametrize("text", ["", "x", "plain text of a page, ÿ 漢 😀\n" * 60])
+def test_block_font(text):
+    from lectern.functions import block_font as B
+
+    assert B.read(B.drawn(text[: B.PAGE_CHARS])) == text[: B.PAGE_CHARS]
+
+
 def test_rhythm_and_mass():
     page = np.full((400, 300), 255, dtype=np.uint8)
     for top in range(60, 340, 20):  # lines whose lower part is heavier
