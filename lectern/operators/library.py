@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..session import table
 
 CHUNK_CHARS = 6000
+#: Chunk ids of a document: no text has more slices of at least 2048 characters (Spark's strings end at 2 GB).
+IDS_PER_DOCUMENT = 1 << 20
 #: Default controlled vocabulary: tag names.
 VOCABULARY = (
     "artificial-intelligence philosophy epistemology logic mathematics computer-science cryptography history biography "
@@ -52,7 +54,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK_CHARS) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(sliced(F.col("text"), size)).alias("seq", "text")).select(
-        (F.col("doc_id") * 1000 + F.col("seq")).alias("id"), "doc_id", "seq", "text"
+        (F.col("doc_id") * IDS_PER_DOCUMENT + F.col("seq")).alias("id"), "doc_id", "seq", "text"
     )
 
 
@@ -89,7 +91,7 @@ tags AS (
   UNION ALL SELECT doc_id, 'toxic', 'suggested' FROM labels WHERE toxic = 1
   UNION ALL SELECT doc_id, 'lang-' || lang, 'manual' FROM documents),
 chunks AS (
-  SELECT doc_id * 1000 + seq AS id, doc_id, seq::INT AS seq, substr(text, (seq * 6000 + 1)::INT, 6000) AS text
+  SELECT doc_id * 1048576 + seq AS id, doc_id, seq::INT AS seq, substr(text, (seq * 6000 + 1)::INT, 6000) AS text
   FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 6000.0)::BIGINT))) AS seq FROM documents)),
 collections AS (SELECT DISTINCT substr(source, 4)::BIGINT AS id, source AS name FROM documents),
 members AS (SELECT substr(source, 4)::BIGINT AS collection_id, doc_id FROM documents WHERE doc_id % 3 = 0 AND source <> 'src1'),

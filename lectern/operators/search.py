@@ -1,6 +1,6 @@
 """Keyword search (BM25 over postings) and vector search.
 
-The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index that is written once, in ranges of
+The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index, kept by ``keyword_index`` in ranges of
 (term, chunk_id): a word or a prefix is a range of files and row groups, and a word of half the corpus spans many files.
 A row carries its chunk's length, so a query reads the rows of its terms and one row of statistics, and no text.
 """
@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -40,19 +40,6 @@ def statistics(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean"))
 
 
-def write_index(chunks: DataFrame, path: str, parts: int | None = None) -> None:
-    """Postings sorted by (term, chunk_id) in ``parts`` ranges, and the statistics, as Parquet."""
-    n = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = postings(chunks).repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-    p.write.option("parquet.block.size", INDEX_ROW_GROUP).parquet(f"{path}/postings")
-    statistics(chunks).write.parquet(f"{path}/statistics")
-
-
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics) as written; conditions on ``term`` prune files and row groups."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics")
-
-
 # ---------------------------------------------------------------- query language
 
 
@@ -243,7 +230,7 @@ def with_snippet(hits: DataFrame, terms: list[str], size: int = SNIPPET_TOKENS)
 def keyword(chunks: DataFrame, docs: DataFrame, query: str, k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Chunk-level hits with their document and a snippet; texts are read for the hits only.
 
-    ``index``: (postings, statistics) as ``read_index`` gives them; without one the chunks are gone through.
+    ``index``: (postings, statistics) as ``KeywordIndex.read`` gives them; without one the chunks are gone through.
     """
     terms = sorted({w for t in terms_of(parse(query)) for w in t.words})
     top = ranked(*(index or (postings(chunks), statistics(chunks))), query, k)
@@ -310,7 +297,12 @@ def hashing_embedder(dims: int = 64):
 
 
 def embed_pending(chunks: DataFrame, embedder, identity: str, stored: str | None, prefix: str = "") -> DataFrame:
-    """Fills missing vectors; those of another vector space (``stored`` identity) are recomputed."""
+    """Fills missing vectors; those of another vector space (``stored`` identity) are recomputed.
+
+    Chunks that have a vector never reach the embedder.  ``embedding.Vectors`` does the same in committed rounds.
+    """
     old = F.col("embedding") if stored == identity else F.lit(None).cast("array<float>")
     text = F.concat(F.lit(prefix), F.when(F.trim("text") == "", " ").otherwise(F.col("text")))
-    return chunks.withColumn("embedding", old).withColumn("embedding", F.coalesce("embedding", embedder(text)))
+    d = chunks.withColumn("embedding", old)
+    made = d.where("embedding IS NULL").withColumn("embedding", embedder(text))
+    return d.where("embedding IS NOT NULL").unionByName(made)

@@ -74,11 +74,11 @@ def upsert_tags(spark, sf_dir):
     return M.upserted(L.tags(spark, sf_dir), new, ["doc_id", "tag"])
 
 
-@query("replace_chunks", Q + """, n AS (SELECT id * 1000 AS id, id AS doc_id, 0 AS seq, left(text, 10) AS text FROM docs WHERE id % 9 = 0)
+@query("replace_chunks", Q + """, n AS (SELECT id * 1048576 AS id, id AS doc_id, 0 AS seq, left(text, 10) AS text FROM docs WHERE id % 9 = 0)
 SELECT id, doc_id, seq, length(text) AS n FROM (SELECT * FROM chunks WHERE doc_id % 9 <> 0 UNION ALL SELECT * FROM n)""")
 def replace_chunks(spark, sf_dir):
     d = L.documents(spark, sf_dir).where("id % 9 = 0")
-    new = d.select((F.col("id") * 1000).alias("id"), F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.left("text", F.lit(10)).alias("text"))
+    new = d.select((F.col("id") * L.IDS_PER_DOCUMENT).alias("id"), F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.left("text", F.lit(10)).alias("text"))
     out = M.replaced_children(L.chunks(spark, sf_dir), new)
     return out.select("id", "doc_id", "seq", F.length("text").cast("long").alias("n"))
 

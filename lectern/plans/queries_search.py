@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 
 from ..operators import library as L
 from ..operators import search as S
+from ..operators.embedding import Vectors
+from ..operators.keyword_index import KeywordIndex
 from ..session import shared_folder, table
+from ..sources.versions import Files
 from .registry import query
 
 QUERY = "the nation ering leaux"
-_written: dict[tuple[str, str], str] = {}
+_roots: dict[tuple[str, str], str] = {}
 
 
 def stored_index(spark, sf_dir):
-    """(postings, statistics) of a library's chunks, written to the shared folder by the first query of a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        S.write_index(L.chunks(spark, sf_dir), path)
-        _written[key] = path
-    return S.read_index(spark, _written[key])
-
-
-def _bm25_sql(match: str, terms: str, k: int, extra: str = "") -> str:
-    """``terms``: SQL list of terms; ``match``: condition on chunk ids."""
-    return f"""{L.SQL},
-tok AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM chunks),
+    """(postings, statistics) of a library's chunks: an index in the shared folder, made by a session's first query and brought to the table by later ones."""
+    root = _roots.setdefault((spark.sparkContext.applicationId, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index, path = KeywordIndex(spark, root), f"{sf_dir}/documents.parquet"
+    index.refresh(L.chunks(spark, sf_dir), Files(spark, path).stamp(path))
+    return index.read()
+
+
+def _bm25_sql(match: str, terms: str, k: int, extra: str = "", more: str = "", source: str = "chunks") -> str:
+    """``terms``: SQL list of terms; ``match``: condition on chunk ids; ``more``: tables before, of which ``source`` is indexed."""
+    return f"""{L.SQL},{more}
+tok AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM {source}),
 e AS (SELECT id, unnest(w) AS term FROM tok),
 p AS (SELECT term, id, count(*) AS tf FROM e GROUP BY ALL),
 st AS (SELECT count(*) AS n_chunks, avg(len(w)) AS mean FROM tok),
@@ -111,6 +112,44 @@ def kw_scoped_tool(spark, sf_dir):
     return hits.orderBy(F.col("score").desc(), "chunk_id").limit(8).select("chunk_id", "score")
 
 
+_CHANGED = """
+changed AS (
+  SELECT id, CASE WHEN doc_id % 5 = 1 THEN text || ' revised ering edition' ELSE text END AS text FROM chunks WHERE doc_id % 7 <> 0
+  UNION ALL SELECT id + 1000000000000, 'a fresh start ' || text FROM chunks WHERE doc_id % 11 = 3),"""
+
+
+@query("kw_after_changes", _bm25_sql("true", "unnest(['the', 'revised', 'fresh', 'ering']) AS term", 40, more=_CHANGED, source="changed") + "SELECT id AS chunk_id, score FROM top")
+def kw_after_changes(spark, sf_dir):
+    """An index after inserts, edits, deletes and a merge ranks as one of the final table would."""
+    index, c = KeywordIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"), L.chunks(spark, sf_dir)
+    index.refresh(c)
+    index.apply(c.where("doc_id % 11 = 3").select((F.col("id") + 1_000_000_000_000).alias("id"), F.concat(F.lit("a fresh start "), "text").alias("text")))
+    index.apply(c.where("doc_id % 5 = 1").select("id", F.concat("text", F.lit(" revised ering edition")).alias("text")))
+    index.apply(deletes=c.where("doc_id % 7 = 0").select("id"))
+    index.merge(most=2)
+    index.vacuum(keep=1)
+    return S.ranked(*index.read(), "the OR revised OR fresh OR ering", 40)
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An embedder that SQL can follow."""
+    return [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts]
+
+
+@query("embed_resumed", f"""{L.SQL}, t AS (SELECT id, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN ' ' ELSE 'doc: ' || text END AS t FROM chunks)
+SELECT id, length(t)::BIGINT AS n, (length(t) - length(replace(t, 'e', '')))::BIGINT AS e, (length(t) - length(replace(t, ' ', '')))::BIGINT AS blanks FROM t""")
+def embed_resumed(spark, sf_dir):
+    """Vectors of all chunks, made in committed rounds by a run that was stopped and another one that went on."""
+    chunks = L.chunks(spark, sf_dir)
+    vectors = Vectors(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    asked = []
+    work = dict(embedder=letter_counts, space="letters", prefix="doc: ", max_tokens=10_000, round_rows=chunks.count() // 4 + 1)
+    vectors.embed(chunks, cancelled=lambda: asked.append(1) or len(asked) > 3, **work)
+    vectors.embed(chunks, **work)
+    part = lambda k: F.get("embedding", F.lit(k)).cast("long")
+    return vectors.read(chunks).select("id", part(0).alias("n"), part(1).alias("e"), part(2).alias("blanks"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("doc_id"), "embedding")
 
@@ -147,9 +186,9 @@ def sem_scoped(spark, sf_dir):
 
 
 @query("hit_highlight", f"""{L.SQL}
-SELECT id, regexp_replace(substr(text, 1, 240), '(?i)(the|ering)', '<mark>\\1</mark>', 'g') AS shown FROM docs WHERE regexp_matches(text, '(?i)ering')""")
+SELECT id, regexp_replace(text, '(?i)(the|ering)', '<mark>\\1</mark>', 'g') AS shown FROM docs WHERE regexp_matches(text, '(?i)ering')""")
 def hit_highlight(spark, sf_dir):
     from ..functions.text import highlighted
 
     d = L.documents(spark, sf_dir).where(F.col("text").rlike("(?i)ering"))
-    return d.select("id", highlighted(F.substring("text", 1, 240), ["the", "ering"]).alias("shown"))
+    return d.select("id", highlighted(F.col("text"), ["the", "ering"]).alias("shown"))

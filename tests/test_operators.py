@@ -8,6 +8,7 @@ from lectern.operators import chat as H
 from lectern.operators import curation as C
 from lectern.operators import enrich as E
 from lectern.operators import search as S
+from lectern.operators.keyword_index import KeywordIndex
 from lectern.sources import files, settings, store
 from lectern.streaming import watch
 
@@ -181,8 +182,9 @@ def test_watcher(spark, tmp_path):
 
 def test_index_on_disk(spark, tmp_path):
     c = spark.createDataFrame([(1, "the cat sat"), (2, "a cat and a dog"), (3, "the dog")], "id long, text string")
-    S.write_index(c, str(tmp_path / "ix"), 4)
-    index, scan = S.read_index(spark, str(tmp_path / "ix")), (S.postings(c), S.statistics(c))
+    stored = KeywordIndex(spark, str(tmp_path / "ix"))
+    stored.refresh(c)
+    index, scan = stored.read(), (S.postings(c), S.statistics(c))
     assert [r[0] for r in S.ranked(*index, "cat OR dog", 3).collect()] == [r[0] for r in S.ranked(*scan, "cat OR dog", 3).collect()]
     assert S.ranked(*index, " ?! ", 3).isEmpty()
     assert "PushedFilters: [IsNotNull(term), StringStartsWith(term,do)]" in S._rows(index[0], "do", True)._jdf.queryExecution().toString()
