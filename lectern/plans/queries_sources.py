@@ -1,11 +1,14 @@
-"""Queries of sources: scanned pages."""
+"""Queries of sources: scanned pages and watched folders."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import block_font
-from ..session import ship, table
+from ..session import shared_folder, ship, table
+from ..streaming import watch
 from .queries_text import _TRIM
 from .registry import query
 
@@ -44,3 +47,29 @@ def oriented_scans(spark, sf_dir):
     ship(spark)
     found = oriented(scan_images(table(spark, sf_dir, "documents")), block_font.read_image)
     return found.select(F.col("path").cast("long").alias("doc_id"), "page_no", "passes", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("watch_stream", """WITH e AS (SELECT user_id::VARCHAR AS path, datediff('day', DATE '2024-01-01', ts::DATE) + 1 AS scan, least(count(*), 2) AS size FROM events GROUP BY ALL),
+s AS (SELECT *, scan // 5 AS mtime, coalesce(lag(scan) OVER w = scan - 1, false) AS follows FROM e WINDOW w AS (PARTITION BY path ORDER BY scan)),
+t AS (SELECT *, follows AND lag(size) OVER w = size AND lag(mtime) OVER w = mtime AS ready, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER w AS stay
+      FROM s WINDOW w AS (PARTITION BY path ORDER BY scan)),
+r AS (SELECT *, lag(size) OVER v AS old_size, lag(mtime) OVER v AS old_mtime FROM t WHERE ready WINDOW v AS (PARTITION BY path, stay ORDER BY scan))
+SELECT path, size::BIGINT AS size, mtime::BIGINT AS mtime, scan::BIGINT AS scan FROM r WHERE old_size IS NULL OR old_size <> size OR old_mtime <> mtime""")
+def watch_stream(spark, sf_dir):
+    """Events as scans (a user is a file, a day a scan, the day's events its size): a stream that is stopped twice and goes on from its checkpoint."""
+    scan = F.datediff("ts", F.lit("2024-01-01")).cast("long") + 1
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("path"), scan.alias("scan")).agg(F.least(F.count("*"), F.lit(2)).alias("size"))
+    stamps = e.select("path", "size", F.floor(F.col("scan") / 5).cast("long").alias("mtime"), "scan", (F.col("scan") - 1).alias("before"))
+    base = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+    for first in (1, 11, 21):
+        last = 10**9 if first == 21 else first + 9
+        stamps.where(F.col("scan").between(first, last)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(stamps.schema).parquet(f"{base}/in")
+        with watch.state_store(spark):
+            q = watch.settled(stream, interval=86_400).writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+            q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("path", "size", "mtime", "scan")

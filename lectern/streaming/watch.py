@@ -1,21 +1,28 @@
 """The watcher as a stream: file stamps, the settle rule, and scans that ingest and then enrich.
 
-Stamps (path, size, mtime) come as rows, because a file source does not see a path again whose content
-changed.  A stamp has settled when two scans in a row saw it; state per path is kept by Spark and dropped when the
-path has not been seen for a while, so vanished files leave nothing behind.
+Stamps (path, size, mtime, scan, before) come as rows of ``stamps.scans``, because a file source does not see a path again whose content
+changed.  A stamp has settled when two scans in a row saw it, and is let through once; a file that one scan did not see has
+vanished and starts anew.  Spark keeps the state of each path, from scan to scan and over restarts, and a timer of some scan
+intervals drops what has not been seen since, so vanished files leave nothing behind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..session import ship
+from .stamps import scans
 
 SETTLED = "path string, size long, mtime long, scan long"
-STATE = "size long, mtime long, done boolean"
+STATE = "size long, mtime long, scan long, done_size long, done_mtime long"
+#: Scan intervals without a stamp after which a path is forgotten.
+FORGET = 3
 
 
 def files(spark: SparkSession, directory: str, per_batch: int = 100) -> DataFrame:
@@ -25,44 +32,97 @@ def files(spark: SparkSession, directory: str, per_batch: int = 100) -> DataFram
     return d.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
-#: Milliseconds without a stamp after which a file counts as vanished.
-FORGET_MS = 600_000
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    size, mtime, done = state.get if state.exists else (None, None, False)
-    out = []
-    for b in batches:
-        for r in b.sort_values("scan").itertuples():
-            if size is not None and (r.size, r.mtime) == (size, mtime):
-                if not done:
-                    out.append((key[0], r.size, r.mtime, r.scan))
-                    done = True
-            else:
-                size, mtime, done = int(r.size), int(r.mtime), False
-    state.update((int(size), int(mtime), bool(done)))
-    state.setTimeoutDuration(FORGET_MS)
-    yield pd.DataFrame(out, columns=["path", "size", "mtime", "scan"])
-
-
-def settled(stamps: DataFrame) -> DataFrame:
-    """(path, size, mtime, scan): each stamp once, at the scan that saw it the second time in a row."""
-    return stamps.groupBy("path").applyInPandasWithState(_step, SETTLED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+class Settle(StatefulProcessor):
+    """Lets each stamp of a path through once, at the second scan in a row that saw it (or at the first, without ``settle``)."""
+
+    def __init__(self, interval: int, settle: bool = True):
+        self.forget_ms, self.settle = FORGET * interval * 1000, settle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("stamp", STATE)
+
+    def _alive(self, timers) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.forget_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = scan = done = None
+        if self.state.exists():
+            size, mtime, scan, done_size, done_mtime = self.state.get()
+            seen = None if scan is None else (size, mtime)
+            done = None if done_size is None else (done_size, done_mtime)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("scan").itertuples():
+            stamp, before = (int(r.size), int(r.mtime)), int(r.before)
+            if scan is not None and scan < before:  # a scan in between did not see the file
+                seen = done = None
+            if (seen == stamp or not self.settle) and done != stamp:
+                out.append((key[0], *stamp, int(r.scan)))
+                done = stamp
+            seen, scan = stamp, int(r.scan)
+        self.state.update((*seen, scan, *(done or (None, None))))
+        self._alive(timerValues)
+        yield pd.DataFrame(out, columns=["path", "size", "mtime", "scan"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["path", "size", "mtime", "scan"])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.state.update((None, None, None, int(r["size"]), int(r["mtime"])))
+        self._alive(timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+#: Settings of a query: state in RocksDB, which the operator needs, and no batches without stamps, of which timers would ask for one after another.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside have SETTINGS; the session's own come back."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def settled(stamps: DataFrame, interval: int = 5, settle: bool = True, done: DataFrame | None = None) -> DataFrame:
+    """(path, size, mtime, scan): each stamp once, at the scan that saw it the second time in a row.
+
+    ``interval``: seconds between scans, from which the time to forget follows.  ``done``: (path, size, mtime), one row a path, of what a
+    library holds already; a query that starts without a checkpoint takes it as its first state.
+    """
+    ship(stamps.sparkSession)
+    first = None if done is None else done.select("path", "size", "mtime").groupBy("path")
+    return stamps.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=Settle(interval, settle), outputStructType=SETTLED, outputMode="Append", timeMode="ProcessingTime", initialState=first
+    )
 
 
-def settled_batch(stamps: DataFrame) -> DataFrame:
+def settled_batch(stamps: DataFrame, settle: bool = True) -> DataFrame:
     """The same for a finished set of stamps."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path").orderBy("scan")
-    same = lambda c: F.lag(c).over(w) == F.col(c)
-    twice = F.coalesce(same("size") & same("mtime"), F.lit(False))
-    run = F.sum(F.when(twice, 0).otherwise(1)).over(w)
-    d = stamps.withColumns({"twice": twice, "run": run}).where("twice")
-    return d.groupBy("path", "run").agg(F.min_by(F.struct("size", "mtime", "scan"), "scan").alias("s")).select("path", "s.*")
+    follows = F.coalesce(F.lag("scan").over(w) >= F.col("before"), F.lit(False))
+    d = stamps.withColumns({"follows": follows, "stay": F.sum(F.when(follows, 0).otherwise(1)).over(w)})
+    stamp = lambda c: F.struct(*(F.col(x) if c is None else F.lag(x).over(c) for x in ("size", "mtime")))
+    if settle:
+        d = d.withColumn("ready", F.col("follows") & stamp(w).eqNullSafe(stamp(None))).where("ready")
+    done = Window.partitionBy("path", "stay").orderBy("scan")
+    first: Column = F.lag("scan").over(done).isNull() | ~stamp(done).eqNullSafe(stamp(None))
+    return d.withColumn("first", first).where("first").select("path", "size", "mtime", "scan")
 
 
 def due(stamps: DataFrame, done: DataFrame, settle: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -96,19 +156,25 @@ def scan(
     return run
 
 
-def watch(spark: SparkSession, directory: str, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: int = 5):
-    """Starts the watcher; arrivals within an interval are one scan."""
+def watch(
+    spark: SparkSession, directories: list[str], sink: Callable[[DataFrame, int], None], checkpoint: str, interval: int = 5, settle: bool = True, done: DataFrame | None = None, **trigger
+):
+    """Starts the watcher: a scan each ``interval`` seconds hands the settled files that the library reads to ``sink``.
+
+    A burst of changes within an interval is one scan.  ``trigger``: another trigger than the interval, such as ``availableNow=True`` for one scan.
+    """
     from ..functions.text import clamped_interval
+    from ..sources.files import supported
 
     seconds = spark.range(1).select(clamped_interval(F.lit(interval))).first()[0]
-    w = files(spark, directory).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return w.trigger(processingTime=f"{seconds} seconds").start()
+    d = settled(scans(spark, directories).where(supported(F.col("path"))), seconds, settle, done)
+    with state_store(spark):
+        w = d.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        return w.trigger(**(trigger or {"processingTime": f"{seconds} seconds"})).start()
 
 
 def transitions(jobs: DataFrame) -> DataFrame:
     """(job, at) where a job's status changed to done or failed."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("job").orderBy("at")
     return jobs.withColumn("before", F.lag("status").over(w)).where(
         F.col("status").isin("done", "failed") & ~F.col("status").eqNullSafe(F.col("before"))

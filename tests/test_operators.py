@@ -159,27 +159,6 @@ def test_settings(spark, tmp_path):
     assert list(map(tuple, v.collect())) == [("art", ""), ("logic", "proofs")]
 
 
-def test_watcher(spark, tmp_path):
-    stamps = [("a", 1, 1, 1), ("a", 1, 1, 2), ("a", 1, 1, 3), ("b", 1, 1, 1), ("b", 2, 2, 2), ("b", 2, 2, 3)]
-    schema = "path string, size long, mtime long, scan long"
-    want = sorted(map(tuple, watch.settled_batch(spark.createDataFrame(stamps, schema)).collect()))
-    assert want == [("a", 1, 1, 2), ("b", 2, 2, 3)]
-    src = str(tmp_path / "in")
-    for k in (1, 2, 3):
-        spark.createDataFrame([s for s in stamps if s[3] == k], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = watch.settled(stream).writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("settled").collect())) == want
-    seen = []
-    (tmp_path / "inbox").mkdir()
-    (tmp_path / "inbox" / "a.md").write_text("x")
-    sink = watch.scan(lambda b: seen.append(b.count()), lambda: spark.range(20), lambda d: seen.append(d.count()))
-    q = watch.files(spark, str(tmp_path / "inbox")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert seen == [1, 8]
-
-
 def test_index_on_disk(spark, tmp_path):
     c = spark.createDataFrame([(1, "the cat sat"), (2, "a cat and a dog"), (3, "the dog")], "id long, text string")
     stored = KeywordIndex(spark, str(tmp_path / "ix"))
