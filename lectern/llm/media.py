@@ -80,18 +80,28 @@ def stored(df: DataFrame, value: str, into: str = "media") -> DataFrame:
         for s in batches:
             yield pd.Series([m for b in _batches([padded(x or b"") for x in s]) for m in store(b)], dtype=object)
 
-    return df.withColumn(into, f(F.col(value).cast("binary")))
+    return df.withColumn(into, f(F.col(f"`{value}`").cast("binary")))
+
+
+def _restored_or_none(media: list[bytes]) -> list[bytes | None]:
+    """A batch in lockstep; where one of it is broken, each on its own."""
+    try:
+        return restore(media)
+    except webp.Corrupt:
+        return [None] if len(media) == 1 else [p for m in media for p in _restored_or_none([m])]
 
 
 def restored(df: DataFrame, media: str = "media", into: str = "payload") -> DataFrame:
-    """``df`` plus the payload that a stored column holds."""
+    """``df`` plus the payload that a stored column holds; null for a null or broken value."""
 
     @F.pandas_udf("binary")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([p for b in _batches(list(s)) for p in restore(b)], dtype=object)
+            there = [m for m in s if m is not None]
+            found = iter([p for b in _batches(there) for p in _restored_or_none(b)])
+            yield pd.Series([None if m is None else next(found) for m in s], dtype=object)
 
-    return df.withColumn(into, f(F.col(media)))
+    return df.withColumn(into, f(F.col(f"`{media}`")))
 
 
 def decoded(df: DataFrame, image: str, into: str = "pixels") -> DataFrame:
@@ -110,7 +120,7 @@ def decoded(df: DataFrame, image: str, into: str = "pixels") -> DataFrame:
             out = pd.DataFrame([one(x) for x in s], columns=["width", "height", "samples"])
             yield out.astype({"width": "Int32", "height": "Int32"})
 
-    return df.withColumn(into, f(F.col(image)))
+    return df.withColumn(into, f(F.col(f"`{image}`")))
 
 
 def audited(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -146,6 +146,14 @@ def test_media(docs, odd):
     assert px["width"] == 16 and len(px["samples"]) == 16 * px["height"] * 4
 
 
+def test_broken_media_are_null(spark):
+    df = spark.createDataFrame([(1, b"x" * 5000), (2, None), (3, b"")], "k int, v binary")
+    whole = media.stored(df, "v")
+    rows = [(r["k"], bytes(r["media"])) for r in whole.collect()] + [(4, None), (5, b"no image"), (6, bytes(whole.first()["media"])[:40])]
+    got = {r["k"]: r["payload"] for r in media.restored(spark.createDataFrame(rows, "k int, media binary").coalesce(1)).collect()}
+    assert bytes(got[1]) == media.padded(b"x" * 5000) and bytes(got[2]) == bytes(got[3]) == bytes(64) and got[4] is got[5] is got[6] is None
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -419,6 +427,64 @@ def test_licences_however_wrapped(spark):
     assert all(",".join(r["notices"]) == r["want"] for r in got)
 
 
+BSD3 = """{head}{c}Redistribution and use in source and binary forms, with or without
+{c}modification, are permitted provided that the following conditions are met:
+{c}
+{c}{a} Redistributions of source code must retain the above copyright notice, this
+{c}   list of conditions and the following disclaimer.
+{c}
+{c}{b} Redistributions in binary form must reproduce the above copyright notice,
+{c}   this list of conditions and the following disclaimer in the documentation
+{c}   and/or other materials provided with the distribution.
+{c}
+{c}{d} Neither the name of the copyright holder nor the names of its
+{c}   contributors may be used to endorse or promote products derived from
+{c}   this software without specific prior written permission.
+{c}
+{c}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+{c}AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+{c}IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+{c}DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+{c}FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+{c}DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+{c}SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+{c}CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+{c}OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+{c}OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def licence_files():
+    """(licence, text) as files have them: marks of lists and comments, headings, holders, line ends."""
+    from lectern.llm.licence_texts import TEXTS
+
+    out = []
+    for marks in (("1.", "2.", "3."), ("*", "*", "*"), ("(1)", "(2)", "(3)"), ("a)", "b)", "c)"), ("", "", ""), ("-", "-", "-"), ("i.", "ii.", "iii.")):
+        for c in ("", "# ", " * ", "; ", "> ", "dnl ", "-- ", "// "):
+            head = "".join(f"{c}{line}\n" for line in ("BSD 3-Clause License", "", "Copyright (c) 2020, Some Body <a@b.c>", "All rights reserved.", "", "Copyright notice:", ""))
+            out.append(("BSD-3-Clause", BSD3.format(head=head, c=c, a=marks[0], b=marks[1], d=marks[2])))
+    for spdx, text in TEXTS:
+        for head in ("", "Copyright 2020 Jane Doe\n\n", "- Copyright (c) 2020 Jane\n", "The MIT License (MIT)\r\n\r\n", "ISC License:\n\n"):
+            out += [(spdx, head + text), (spdx, head.replace("\r", "") + text.upper())]
+        out += [(None, text + "\nAnd you must also pay."), (None, "MIT License"), (None, "Not so: " + text)]
+    return out
+
+
+def test_licence_files_of_others(spark):
+    """The operator and its SQL over a table in which licences do occur."""
+    import duckdb
+
+    rows = [(i, text) for i, (_, text) in enumerate(licence_files())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licence_scan.op6(df).collect()}
+    wrong = [(want, got[i]) for i, (want, _) in enumerate(licence_files()) if got[i] != want]
+    assert len(got) > 100 and not wrong
+    table = df.toPandas()  # noqa: F841
+    sql = duckdb.connect()
+    sql.register("documents", table)
+    assert {r[0]: r[2] for r in sql.execute("SELECT doc_id, digest, licence FROM (" + licence_scan.oracle() + ")").fetchall()} == got
+
+
 def test_ledger(docs, odd):
     for df in (docs, odd):
         want = Counter()
