@@ -136,7 +136,7 @@ def letter_counts(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts]
 
 
-@query("embed_resumed", f"""{L.SQL}, t AS (SELECT id, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN ' ' ELSE 'doc: ' || text END AS t FROM chunks)
+@query("embed_resumed", f"""{L.SQL}, t AS (SELECT id, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN ' ' ELSE 'doc: ' || text END AS t FROM chunks)
 SELECT id, length(t)::BIGINT AS n, (length(t) - length(replace(t, 'e', '')))::BIGINT AS e, (length(t) - length(replace(t, ' ', '')))::BIGINT AS blanks FROM t""")
 def embed_resumed(spark, sf_dir):
     """Vectors of all chunks, made in committed rounds by a run that was stopped and another one that went on."""

@@ -53,8 +53,9 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.html_to_text(F.col("html")), 256).alias("sha"))
 
 
-@query("web_fetch", f"""SELECT page_id, CASE WHEN length({_HTML}) > 300 THEN left({_HTML}, 300) || '…' ELSE {_HTML} END AS text FROM pages
-WHERE regexp_matches(url, '^https?://') AND NOT regexp_matches(url, '^https?://(169\\.254\\.169\\.254|metadata\\.google\\.internal)(/|:|$)')""")
+@query("web_fetch", f"""WITH t AS (SELECT page_id, CASE WHEN regexp_matches(lower(left(html, 512)), '<html|<!doctype html') THEN {_HTML} ELSE {_TRIM.format('html')} END AS t FROM pages
+WHERE regexp_matches(url, '^https?://') AND NOT regexp_matches(url, '^https?://(169\\.254\\.169\\.254|metadata\\.google\\.internal)(/|:|$)'))
+SELECT page_id, CASE WHEN length(t) > 300 THEN left(t, 300) || chr(10) || '…[truncated]' ELSE t END AS text FROM t""")
 def web_fetch(spark, sf_dir):
     from ..sources.web import fetched
 

@@ -9,7 +9,7 @@ from lectern.operators import curation as C
 from lectern.operators import enrich as E
 from lectern.operators import search as S
 from lectern.operators.keyword_index import KeywordIndex
-from lectern.sources import files, settings, store
+from lectern.sources import files, settings, store, web
 from lectern.streaming import watch
 
 
@@ -127,14 +127,68 @@ def test_files(spark, tmp_path):
 
 def test_store(spark, lib, tmp_path):
     s = store.Store(spark, str(tmp_path / "lib"))
-    assert s.version() == 0 and s.commit(lib) == 1
+    assert s.version() == 0 and s.read() == {} and s.commit(lib) == 1
     s.export(str(tmp_path / "out"))
     with pytest.raises(M.Conflict):
         s.export(str(tmp_path / "out"))
     assert s.validate(str(tmp_path / "out")) == 3
-    assert s.load(str(tmp_path / "out")) == 2 and ids(s.read()["documents"]) == [1, 2, 3]
+    assert s.commit({"documents": lib["documents"].where("id < 3")}, after=1) == 2
+    assert ids(s.read()["documents"]) == [1, 2] and ids(s.read(1)["documents"]) == [1, 2, 3] and ids(s.read()["collections"]) == [1]
+    assert s.load(str(tmp_path / "out")) == 3 and ids(s.read()["documents"]) == [1, 2, 3]
+    assert s.restore(2) == 4 and ids(s.read()["documents"]) == [1, 2]
     with pytest.raises(ValueError):
         s.validate(str(tmp_path))
+    assert s.vacuum(keep=1) and ids(s.read()["documents"]) == [1, 2]
+
+
+def test_store_conflicts_and_failed_checks(spark, lib, tmp_path):
+    """Of two writers one wins; what fails leaves version and files as they were."""
+    s, other = (store.Store(spark, str(tmp_path / "lib")) for _ in range(2))
+    s.commit(lib)
+    before = sorted(p.name for p in (tmp_path / "lib" / "tables").iterdir())
+    other.commit({"members": lib["members"].limit(0)}, after=1)
+    with pytest.raises(M.Conflict):
+        s.commit({"documents": lib["documents"].limit(0)}, after=1)
+    with pytest.raises(ValueError):
+        s.commit({"documents": lib["tags"]}, check=store.checked)
+    (tmp_path / "broken" / "documents").mkdir(parents=True)
+    lib["tags"].write.mode("overwrite").parquet(str(tmp_path / "broken" / "documents"))
+    with pytest.raises(ValueError):
+        s.load(str(tmp_path / "broken"))
+    assert s.version() == 2 and len(list((tmp_path / "lib" / "tables").iterdir())) == len(before) + 1 and ids(s.read()["documents"]) == [1, 2, 3]
+
+
+def test_replayed_epochs_change_nothing(spark, lib, tmp_path):
+    s = store.Store(spark, str(tmp_path / "lib"))
+    s.commit(lib)
+    add = s.sink("watch", lambda now, batch: {"documents": now["documents"].unionByName(batch)})
+    batch = spark.createDataFrame([(9, "/lib/d.pdf", "h9", "New", "cs")], lib["documents"].schema)
+    add(batch, 0)
+    add(batch, 0)
+    assert ids(s.read()["documents"]) == [1, 2, 3, 9] and s.version() == 2
+    assert s.commit({"documents": batch}, sink="watch", epoch=0) == 2
+    add(batch.withColumn("id", F.lit(10).cast("long")), 1)
+    assert ids(s.read()["documents"]) == [1, 2, 3, 9, 10]
+
+
+def test_import_takes_the_entry_of_the_path(spark):
+    """Two collections hold one file name over two documents, and so does a document outside the bundle."""
+    docs = spark.createDataFrame([(1, "/in/a/x.md", "old"), (2, "/in/b/x.md", "old"), (3, "/lib/x.md", "old"), (4, "/in/a/y.md", "old")], "id long, path string, title string")
+    docs = docs.withColumns({"kind": F.lit(""), "category": F.lit("")})
+    rows = [("a", 11, "x.md", "A x", "cs", "book"), ("b", 12, "x.md", "B x", "art", ""), ("b", 13, "z.md", "gone", "art", "")]
+    entries = store.extracted(spark.createDataFrame(rows, "name string, doc_id long, file string, title string, category string, kind string"), "/in/")
+    got = {r["id"]: (r["title"], r["kind"], r["category"], r["kind_user"], r["category_user"]) for r in store.imported(docs, entries).collect()}
+    assert got == {1: ("A x", "book", "cs", True, True), 2: ("B x", "", "art", False, True), 3: ("old", "", "", False, False), 4: ("old", "", "", False, False)}
+    assert sorted(map(tuple, store.imported_members(docs, entries.union(entries)).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_fetched_pages(spark):
+    rows = [("http://a/1", "if a < b and c > d then", None), ("http://a/2", "<html><b>x</b> &amp; y", None), ("http://a/3", "<p>x</p>", "text/HTML; charset=x"),
+            ("http://a/4", " ", None), ("ftp://a/5", "x", None), ("http://a/6", None, None), ("https://a/7", "z" * 20, None)]
+    got = {r["url"][-1]: (r["text"], r["error"]) for r in web.fetched(spark.createDataFrame(rows, "url string, html string, content_type string"), most=23).collect()}
+    assert got["1"] == ("if a < b and c > d then", None) and got["2"][0] == "x & y" and got["3"][0] == "x"
+    assert got["4"] == ("", "no readable text at http://a/4") and got["6"][1] and "5" not in got
+    assert web.fetched(spark.createDataFrame(rows, "url string, html string, content_type string"), most=5).where("url like '%7'").first()["text"] == "zzzzz\n…[truncated]"
 
 
 def test_bundle(spark, lib, tmp_path):
