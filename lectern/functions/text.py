@@ -99,7 +99,9 @@ def page_list(c: Column, most: int = 9999) -> Column:
 
 
 def page_csv(pages: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(pages)), ",")
+    """Distinct page numbers (as numbers or digits) in numeric order."""
+    shown = F.transform(F.array_distinct(pages.cast("array<string>")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
+    return F.array_join(F.transform(F.array_sort(shown), lambda x: x["p"]), ",")
 
 
 def html_to_text(c: Column) -> Column:

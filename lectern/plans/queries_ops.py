@@ -103,11 +103,14 @@ def notes_lifecycle(spark, sf_dir):
     return M.notes_removed(M.note_edited(M.note_added(n, 7, "added", now), 2, "edited", now), [3, 4])
 
 
-@query("setting_values", "SELECT 'b' AS set_twice, '' AS never")
+@query("setting_values", """SELECT key, value FROM (SELECT source AS key, count(*)::VARCHAR AS value FROM documents WHERE source <> 'src1' GROUP BY 1)
+UNION ALL VALUES ('src1', 'b'), ('new', 'x'), ('asked: absent', ''), ('asked: src1', 'b')""")
 def setting_values(spark, sf_dir):
-    meta = M.meta_set(M.meta_set(spark.createDataFrame([("x", "y")], "key string, value string"), "k", "a"), "k", "b")
-    never = M.meta_value(meta, "none").withColumnRenamed("value", "never")
-    return M.meta_value(meta, "k").withColumnRenamed("value", "set_twice").join(F.broadcast(never))
+    """A count for each source as a setting; one is set twice, one is new, and one that is absent reads as empty."""
+    meta = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    meta = M.meta_set(M.meta_set(M.meta_set(meta, "src1", "a"), "src1", "b"), "new", "x")
+    asked = [M.meta_value(meta, k).select(F.lit(f"asked: {k}").alias("key"), "value") for k in ("absent", "src1")]
+    return meta.unionByName(asked[0]).unionByName(asked[1])
 
 
 @query("bundle_entries", Q + """SELECT name, m.doc_id, d.id || '.txt' AS file, title, category, kind, (SELECT count(*) FROM tags t WHERE t.doc_id = m.doc_id) AS n_tags

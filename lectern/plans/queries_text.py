@@ -22,14 +22,16 @@ def _values(rows) -> str:
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
-NOTES = [(1, "\n# A heading\nbody"), (2, "   \n"), (3, "- " + "long words " * 12), (4, "plain"), (5, "> * quoted"), (6, "---\n## real"), (7, "-- #")]
+_BODY = r"""CASE conv_id % 6 WHEN 0 THEN chr(10) || '# ' || text WHEN 1 THEN '   ' || chr(10) WHEN 2 THEN '- ' || text || text WHEN 3 THEN '> * ' || text WHEN 4 THEN '---' || chr(10) || '## ' || text ELSE '-- #' END"""
 
 
-@query("note_titles", rf"""WITH n(id, body) AS {_values(NOTES)},
+@query("note_titles", rf"""WITH n AS (SELECT conv_id * 1000 + turn AS id, {_BODY} AS body FROM conversations),
 t AS (SELECT id, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_TRIM.format(r"regexp_replace(x, '^[#*\-> ]+', '')")}), lambda x: x <> '')[1] AS t FROM n)
-SELECT id::BIGINT AS id, CASE WHEN t IS NULL OR t = '' THEN 'Note #' || id WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS title FROM t""")
+SELECT id, CASE WHEN t IS NULL OR t = '' THEN 'Note #' || id WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS title FROM t""")
 def note_titles(spark, sf_dir):
-    return spark.createDataFrame(NOTES, "id long, body string").select("id", T.note_title(F.col("body"), F.col("id")).alias("title"))
+    """Every message as a note, with marks in front, blank, or nothing but marks."""
+    n = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.expr(_BODY).alias("body"))
+    return n.select("id", T.note_title(F.col("body"), F.col("id")).alias("title"))
 
 
 @query("slugify", Q + "SELECT id, coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'collection') AS slug FROM docs")
@@ -85,22 +87,26 @@ def ocr_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Y.ocr_quality(F.col("text")).alias("quality"))
 
 
-_PROSE = "This section describes the methods in more detail and gives the results of the measurements. " * 6
-FIXTURES = [
-    (1, "A study\nAbstract\n" + _PROSE + "\nKeywords: a\nIntroduction\nSee [1] [2] [3] [4] arXiv:1 doi:10\nReferences\n[5]", 0, 8),
-    (2, "Contents\nOne thing .... 3\nAnother thing ..... 9\nPreface\n" + _PROSE + "\nChapter One\nChapter Two\nISBN 9781234567890\nForeword\nAll rights reserved", 0, 140),
-    (3, "figure 1\nfigure 2\nfigure 3\nfigure 4\nfigure 5\nfigure 6", 10, 10),
-    (4, "Syllabus: lecture 1, lecture 2, homework 1. Due: Monday. Office hours at noon.", 0, 6),
-    (5, "Handbook and dictionary, manual\nAppendix\nBibliography", 0, 3),
-    (6, "Nothing in particular is said here.", 0, 2),
-    (7, "Foreword\n" + _PROSE + "\n1 The start", 9, 12),
-    (8, "Abstract—" + _PROSE + "\nBackground\nMore", 0, 4),
+#: What stands before and after a document's text (by its id), so that headings, lists and marks occur; pages by recognition, and all pages.
+TEMPLATES = [
+    (0, "A study\nAbstract\n", "\nKeywords: a\nIntroduction\nSee [1] [2] [3] [4] arXiv:1 doi:10\nReferences\n[5]", 0, 8),
+    (1, "Contents\nOne thing .... 3\nAnother thing ..... 9\nPreface\n", "\nChapter One\nChapter Two\nISBN 9781234567890\nForeword\nAll rights reserved", 0, 140),
+    (2, "figure 1\nfigure 2\nfigure 3\nfigure 4\nfigure 5\nfigure 6\n", "", 10, 10),
+    (3, "Syllabus: lecture 1, lecture 2, homework 1. Due: Monday. Office hours at noon.\n", "", 0, 6),
+    (4, "Handbook and dictionary, manual\n", "\nAppendix\nBibliography", 0, 3),
+    (5, "", "", 0, 2),
+    (6, "Foreword\n", "\n1 The start", 9, 12),
+    (7, "Abstract—", "\nBackground\nMore", 0, 4),
 ]
-_FX = f"WITH fx(id, text, ocr, pages) AS {_values(FIXTURES)}"
+_FX = f"""WITH template(k, before, after, ocr, pages) AS {_values(TEMPLATES)},
+fx AS (SELECT doc_id AS id, before || text || after AS text, ocr, pages FROM documents JOIN template ON k = doc_id % 8)"""
 
 
-def _fixtures(spark):
-    return spark.createDataFrame(FIXTURES, "id long, text string, ocr long, pages long")
+def _fixtures(spark, sf_dir):
+    """All documents between headings."""
+    t = spark.createDataFrame(TEMPLATES, "k long, before string, after string, ocr long, pages long")
+    d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 8).join(F.broadcast(t), "k")
+    return d.select(F.col("doc_id").alias("id"), F.concat("before", "text", "after").alias("text"), "ocr", "pages")
 
 
 def _sql(p: str) -> str:
@@ -132,7 +138,7 @@ def _best(a: str = "") -> str:
 
 @query("kind_scores", _FX + _kind_scores("fx") + f"SELECT id::BIGINT AS id, paper, book, gallery, course, reference, {_best()} AS kind FROM s")
 def kind_scores(spark, sf_dir):
-    d = _fixtures(spark).select("id", K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
+    d = _fixtures(spark, sf_dir).select("id", K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
     return d.select("id", "score.*", K.best_kind(F.col("score")).alias("kind"))
 
 
@@ -164,9 +170,10 @@ def kind_scores_long(spark, sf_dir):
 
 PINS = [(101, "course", "methods results measurements detail"), (102, "course", "section describes methods results"), (103, "reference", "lecture homework monday syllabus office hours noon")]
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda t: strlen(t) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in K.KIND_STOPWORDS) + "], t)))"
+_TOK_SHELF = _TOK.replace(", ".join(f"'{w}'" for w in K.KIND_STOPWORDS), ", ".join(f"'{w}'" for w in K.STOPWORDS))
 _OVER = f""", pins(example, kind, text) AS {_values(PINS)},
 o AS (SELECT fx.id, example, kind, len(list_intersect({_TOK.format('fx.text')}, {_TOK.format('pins.text')})) AS shared FROM fx CROSS JOIN pins)"""
-_OVER_SHELF = _OVER.replace(", ".join(f"'{w}'" for w in K.KIND_STOPWORDS), ", ".join(f"'{w}'" for w in K.STOPWORDS))
+_NEWEST = 300
 
 
 _PINNED = _kind_scores("fx") + _OVER + """, w AS (SELECT id, kind, CASE WHEN shared < 2 THEN 0 ELSE least(4, 3 + 0.25::DOUBLE * (shared - 2)) END AS w FROM o),
@@ -175,19 +182,26 @@ x AS (SELECT s.id, """ + ", ".join(f"round({k} + coalesce((SELECT sum(w) FROM w
 
 @query("kind_with_pins", _FX + _PINNED)
 def kind_with_pins(spark, sf_dir):
-    d = _fixtures(spark).select("id", K.tokens(F.col("text")).alias("tokens"), K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
+    d = _fixtures(spark, sf_dir).select("id", K.tokens(F.col("text")).alias("tokens"), K.scores(F.col("text"), F.col("ocr"), F.col("pages")).alias("score"))
     pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", "kind", K.tokens(F.col("text")).alias("tokens"))
     return K.with_examples(d, pins)
 
 
-@query("best_examples", _FX + _OVER_SHELF + ", r AS (SELECT id, example, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, example) AS n FROM o WHERE shared >= 2) SELECT id::BIGINT AS id, example::BIGINT AS example, shared::BIGINT AS shared FROM r WHERE n <= 3")
+@query("best_examples", _FX + f""", pins AS (SELECT doc_id AS example, left(split_part(text, chr(10), 1), 200) AS title FROM documents JOIN labels USING (doc_id) WHERE quality = 1 ORDER BY doc_id DESC LIMIT {_NEWEST}),
+a AS (SELECT id, unnest({_TOK_SHELF.format('text')}) AS t FROM fx), b AS (SELECT example, title, unnest({_TOK_SHELF.format('title')}) AS t FROM pins),
+o AS (SELECT id, example, title, count(*) AS shared FROM a JOIN b USING (t) WHERE id <> example GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, title, example) AS n FROM o WHERE shared >= 2) SELECT id, example, shared FROM r WHERE n <= 3""")
 def best_examples(spark, sf_dir):
+    """The three examples, of the newest pins, whose titles share most words with a document; not a document itself."""
     from pyspark.sql import Window
 
-    d = _fixtures(spark).select("id", K.tokens(F.col("text"), K.STOPWORDS).alias("tokens"))
-    pins = spark.createDataFrame(PINS, "example long, kind string, text string").select("example", K.tokens(F.col("text"), K.STOPWORDS).alias("tokens"))
-    w = Window.partitionBy("id").orderBy(F.col("shared").desc(), "example")
-    o = K.overlap(d, pins).where("shared >= 2").withColumn("n", F.row_number().over(w))
+    d = _fixtures(spark, sf_dir).select("id", K.tokens(F.col("text"), K.STOPWORDS).alias("tokens"))
+    pins = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(200))
+    pins = pins.select(F.col("doc_id").alias("example"), title.alias("title")).orderBy(F.col("example").desc()).limit(_NEWEST)
+    shared = K.overlap(d, pins.select("example", K.tokens(F.col("title"), K.STOPWORDS).alias("tokens"))).where("shared >= 2 AND id <> example")
+    w = Window.partitionBy("id").orderBy(F.col("shared").desc(), "title", "example")
+    o = shared.join(F.broadcast(pins), "example").withColumn("n", F.row_number().over(w))
     return o.where("n <= 3").select("id", "example", "shared")
 
 
@@ -213,7 +227,7 @@ c AS (SELECT id, regexp_replace({_TRIM.format('c')}, '^[—\\-– \\n\\t]+', '')
 
 @query("abstract", _FX + _ABSTRACT)
 def abstract(spark, sf_dir):
-    return _fixtures(spark).select("id", K.abstract(F.col("text")).alias("abstract"))
+    return _fixtures(spark, sf_dir).select("id", K.abstract(F.col("text")).alias("abstract"))
 
 
 _FM = ", ".join(f"{_TRIM.format('left(' + _before('r' + str(i), K.CHAPTER_START) + ', 7000)')} AS f{i}" for i in range(3))
@@ -225,7 +239,7 @@ SELECT id::BIGINT AS id, CASE WHEN strlen(f0) >= 400 THEN f0 WHEN strlen(f1) >=
 
 @query("front_matter", _FX + _FRONT_MATTER)
 def front_matter(spark, sf_dir):
-    return _fixtures(spark).select("id", K.front_matter(F.col("text")).alias("front"))
+    return _fixtures(spark, sf_dir).select("id", K.front_matter(F.col("text")).alias("front"))
 
 
 _TOC = f""", a AS (SELECT id, {_after('text', K.CONTENTS)} AS r FROM fx), b AS (SELECT id, {_before('r', K.PREFACE)} AS r FROM a),
@@ -236,18 +250,21 @@ SELECT id::BIGINT AS id, coalesce(array_to_string(list_filter(list_transform(str
 
 @query("toc", _FX + _TOC)
 def toc(spark, sf_dir):
-    return _fixtures(spark).select("id", K.contents(F.col("text")).alias("toc"))
+    return _fixtures(spark, sf_dir).select("id", K.contents(F.col("text")).alias("toc"))
 
 
-META = [(1, " Unknown ", "2020"), (2, "A title", "2020-2021"), (3, "N/A", "c. 1999"), (4, None, None), (5, "\tNot specified", "20201")]
 _JUNK = ", ".join(f"'{j}'" for j in T.JUNK_INGEST)
+_META = """CASE doc_id % 5 WHEN 0 THEN ' Unknown ' WHEN 1 THEN ' ' || left(text, 30) || ' ' WHEN 2 THEN 'N/A' WHEN 4 THEN chr(9) || 'Not specified' END AS title,
+  CASE doc_id % 6 WHEN 0 THEN '2020' WHEN 1 THEN '2020-2021' WHEN 2 THEN 'c. 1999' WHEN 3 THEN '20201' WHEN 4 THEN '' END AS year"""
 
 
-@query("clean_meta", f"""WITH m(id, title, year) AS {_values(META)}
-SELECT id::BIGINT AS id, CASE WHEN lower({_TRIM.format("coalesce(title, '')")}) IN ({_JUNK}) THEN '' ELSE {_TRIM.format("coalesce(title, '')")} END AS title,
+@query("clean_meta", f"""WITH m AS (SELECT doc_id AS id, {_META} FROM documents)
+SELECT id, CASE WHEN lower({_TRIM.format("coalesce(title, '')")}) IN ({_JUNK}) THEN '' ELSE {_TRIM.format("coalesce(title, '')")} END AS title,
   CASE WHEN regexp_matches(coalesce(year, ''), '^\\d{{4}}(-\\d{{4}})?$') THEN year ELSE '' END AS year FROM m""")
 def clean_meta(spark, sf_dir):
-    m = spark.createDataFrame(META, "id long, title string, year string")
+    """Titles and years as a backend may give them, for all documents."""
+    title, year = _META.split(",\n  ")
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(title), F.expr(year))
     return m.select("id", T.clean_meta(F.col("title")).alias("title"), T.valid_year(F.col("year")).alias("year"))
 
 
@@ -268,15 +285,18 @@ def token_budget_trim(spark, sf_dir):
     return s.select("session_id", F.sha2(T.within_budget(F.col("t"), 600, 200), 256).alias("sha"))
 
 
-ANSWERS = [(1, '<think>a { b</think> {"title": "T", "tags": ["x"]} end'), (2, "no object"), (3, '```{"title": "U"}```'), (4, "<think>open {\"title\": \"V\"}")]
+_ANSWER = """CASE turn % 4 WHEN 0 THEN '<think>a { b</think> {"title": "' || regexp_replace(text, '[^A-Za-z0-9 ]+', ''{g}) || '", "tags": ["x"]} end' WHEN 1 THEN text
+  WHEN 2 THEN '```{"title": "' || regexp_replace(text, '[^A-Za-z0-9 ]+', ''{g}) || '"}```' ELSE '<think>open {"title": "' || role || '"}' END"""
 
 
-@query("llm_json_hygiene", rf"""WITH a(id, s) AS {_values(ANSWERS)},
-o AS (SELECT id, regexp_extract(regexp_replace(s, '(?s)^(.*?)<think>.*?</think>', '\1'), '(?s)(\{{.*\}})', 1) AS o FROM a)
-SELECT id::BIGINT AS id, o AS object, CASE WHEN o <> '' THEN json_extract_string(o, '$.title') END AS title FROM o""")
+@query("llm_json_hygiene", rf"""WITH a AS (SELECT conv_id, turn, {_ANSWER.replace('{g}', ", 'g'")} AS s FROM conversations),
+o AS (SELECT conv_id, turn, regexp_extract(regexp_replace(s, '(?s)^(.*?)<think>.*?</think>', '\1'), '(?s)(\{{.*\}})', 1) AS o FROM a)
+SELECT conv_id, turn, o AS object, CASE WHEN turn % 4 <> 1 THEN json_extract_string(o, '$.title') END AS title FROM o""")
 def llm_json_hygiene(spark, sf_dir):
-    a = spark.createDataFrame(ANSWERS, "id long, s string").select("id", T.json_object(T.without_think(F.col("s"))).alias("object"))
-    return a.withColumn("title", F.get_json_object("object", "$.title"))
+    """Every message inside an answer with a think block, a fence, an open think block, or as it is."""
+    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ANSWER.replace("{g}", "")).alias("s"))
+    a = a.select("conv_id", "turn", T.json_object(T.without_think(F.col("s"))).alias("object"))
+    return a.withColumn("title", F.when(F.col("turn") % 4 != 1, F.get_json_object("object", "$.title")))
 
 
 @query("doc_refs", r"""WITH m AS (SELECT conv_id, turn, text || ' see #' || conv_id || ' and #' || (turn + 5) || '.' AS t FROM conversations)
@@ -286,10 +306,12 @@ def doc_refs(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.doc_refs(t)).alias("ref"))
 
 
-@query("page_lists", "SELECT * FROM (VALUES (1::BIGINT, '3,7,8,9'), (2, '1,2'), (3, ''), (4, '5')) AS t(id, pages)")
+@query("page_lists", """SELECT doc_id, array_to_string(list_sort(list_distinct([doc_id % 30 + 5, doc_id % 30 + 6, doc_id % 30 + 7, doc_id % 9 + 1])), ',') AS pages FROM documents""")
 def page_lists(spark, sf_dir):
-    d = spark.createDataFrame([(1, "7-9, 3,8"), (2, "2,1,x,9-4"), (3, None), (4, "5-5")], "id long, s string")
-    return d.select("id", T.page_csv(T.page_list(F.col("s")).cast("array<string>")).alias("pages"))
+    """Lists with a range, a page twice, and parts that are none."""
+    a = F.col("doc_id") % 30
+    s = F.concat_ws("", a + 5, F.lit("-"), a + 7, F.lit(", "), F.col("doc_id") % 9 + 1, F.lit(",x,9-4, "), a + 6)
+    return table(spark, sf_dir, "documents").select("doc_id", T.page_csv(T.page_list(s).cast("array<string>")).alias("pages"))
 
 
 @query("clean_text", rf"SELECT doc_id, sha256({_TRIM.format(chr(114) + 'egexp_replace(text, ' + chr(39) + '[ ' + chr(92) + 't]+' + chr(92) + 'n|' + chr(92) + 'n{3,}' + chr(39) + ', chr(10) || chr(10), ' + chr(39) + 'g' + chr(39) + ')')}) AS sha FROM documents")
