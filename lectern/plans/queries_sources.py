@@ -1,4 +1,4 @@
-"""Queries of sources: scanned pages and watched folders."""
+"""Queries of sources: scanned pages, watched folders and bundles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import block_font
+from ..operators import library as L
 from ..session import shared_folder, ship, table
+from ..sources import bundles
 from ..streaming import watch
 from .queries_text import _TRIM
 from .registry import query
@@ -73,3 +75,24 @@ def watch_stream(spark, sf_dir):
             q = watch.settled(stream, interval=86_400).writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
             q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("path", "size", "mtime", "scan")
+
+
+@query("bundle_round_trip", f"""{L.SQL}, p AS (SELECT id, kind, category, text, (id % 50) || '.txt' AS base FROM docs),
+f AS (SELECT base, min(id) AS first FROM p GROUP BY base),
+c AS (SELECT doc_id, source AS name FROM documents UNION ALL SELECT doc_id, 'lang ' || lang FROM documents)
+SELECT p.id, CASE WHEN p.id = first THEN base ELSE p.id || '-' || base END AS entry, kind, category, sha256(text) AS sha, string_agg(c.name, ',' ORDER BY c.name) AS collections
+FROM p JOIN f USING (base) JOIN c ON c.doc_id = p.id GROUP BY ALL""")
+def bundle_round_trip(spark, sf_dir):
+    """All documents, each in two collections and many with one file name, written as a bundle of zips and read again."""
+    path = F.concat(F.lit("/lib/"), "category", F.lit("/"), (F.col("id") % 50).cast("string"), F.lit(".txt"))
+    docs = L.documents(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.col("id").cast("string"), path))
+    raw = table(spark, sf_dir, "documents")
+    names = raw.select(F.col("source").alias("name")).union(raw.select(F.concat(F.lit("lang "), "lang"))).distinct().select(F.xxhash64("name").alias("id"), "name")
+    members = raw.select(F.xxhash64("source").alias("collection_id"), "doc_id").union(raw.select(F.xxhash64(F.concat(F.lit("lang "), "lang")), "doc_id"))
+    files = docs.select("path", F.col("text").cast("binary").alias("content"))
+    at = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    bundles.write(bundles.bundled(names, members, docs, L.tags(spark, sf_dir), files), at)
+    back = bundles.read(spark, at)
+    held = bundles.memberships_of(back).groupBy("entry").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("collections"))
+    d = bundles.documents_of(back).join(back.select("entry", F.sha2("content", 256).alias("sha")), "entry").join(held, "entry")
+    return d.select("id", "entry", "kind", "category", "sha", "collections")
