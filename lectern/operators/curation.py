@@ -41,8 +41,8 @@ def tag_cloud(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "tag", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("v", F.lit(False)).alias("in_vocab"),
         (F.coalesce("s", F.lit(False)) & F.col("v").isNull()).alias("suggested"),
     )
-    top = F.max("docs").over(Window.partitionBy())
-    return d.withColumn("weight", F.round(0.85 + 1.5 * F.sqrt(F.col("docs") / F.greatest(F.lit(1), top)), 2))
+    d = d.join(F.broadcast(d.agg(F.max("docs").alias("top"))))  # one row
+    return d.withColumn("weight", F.round(0.85 + 1.5 * F.sqrt(F.col("docs") / F.greatest(F.lit(1), "top")), 2)).drop("top")
 
 
 def suggestions(tags: DataFrame, docs: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def category_tree(docs: DataFrame) -> DataFrame:
 
 
 def bar_percent(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("pct", F.round(100 * F.col("n") / F.max("n").over(Window.partitionBy()), 1))
+    top = counts.agg(F.max("n").alias("_top"))  # one row
+    return counts.join(F.broadcast(top)).withColumn("pct", F.round(100 * F.col("n") / F.col("_top"), 1)).drop("_top")
 
 
 def collection_counts(collections: DataFrame, members: DataFrame) -> DataFrame:

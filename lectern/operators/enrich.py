@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions.text import trimmed
+from ..session import checkpointed
 from .changes import constrained_tags
 from .curation import packed
 
@@ -83,14 +84,9 @@ def summarized(docs: DataFrame, summarize: Summarizer, chunk_chars: int = 6000,
     most = max(budget_chars(context_tokens), 2)
     parts = docs.select("id", F.posexplode_outer(packed(F.col("text"), chunk_chars)).alias("seq", "text"))
     level = mapped(parts, summarize).select("id", "seq", F.col("summary").alias("text"), "error")
-    before = None
     while True:
-        level = level.cache()  # a backend is asked once for each part
-        done = level.groupBy("id").count().where("count > 1").limit(1).count() == 0
-        if before is not None:
-            before.unpersist()
-        before = level
-        if done:
+        level = checkpointed(level)  # a backend is asked once for each part, also when an executor is lost
+        if level.groupBy("id").count().where("count > 1").isEmpty():
             return level.select("id", F.col("text").alias("summary"), "error")
         rows = F.array_sort(F.collect_list(F.struct("seq", "text")))
         g = level.groupBy("id").agg(F.transform(rows, lambda x: x["text"]).alias("parts"), F.max("error").alias("error"))
