@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SNIPPET_TOKENS = 12
+#: Fixed value: the distance of a NEAR group that names none.
+NEAR_DISTANCE = 10
 #: Bytes of a row group: small ones, so that a term's range is cut close.
 INDEX_ROW_GROUP = 4 << 20
 
@@ -49,6 +52,14 @@ class Term:
     prefix: bool = False
 
 
+@dataclass(frozen=True)
+class Near:
+    """Words and phrases of which one each lies so close that at most ``distance`` tokens are between the first one's end and the last one's start."""
+
+    terms: tuple[Term, ...]
+    distance: int = NEAR_DISTANCE
+
+
 @dataclass(frozen=True)
 class Op:
     kind: str  # and, or, not
@@ -57,8 +68,8 @@ class Op:
 
 
 def parse(query: str):
-    """Implicit AND, OR, NOT, "phrases", prefix* and brackets; an ill-formed query is one phrase."""
-    marks = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
+    """Implicit AND, OR, NOT, "phrases", prefix*, NEAR(a "b c", n) and brackets; an ill-formed query is one phrase."""
+    marks = re.findall(r'"[^"]*"|\(|\)|,|[^\s(),"]+', query)
     at = 0
 
     def words(s: str) -> tuple[str, ...]:
@@ -73,17 +84,37 @@ def parse(query: str):
         if m is None or m in (")", "AND", "OR", "NOT"):
             raise ValueError(query)
         at += 1
+        if m == "NEAR" and peek() == "(":
+            return near()
         if m == "(":
             out = either()
             if peek() != ")":
                 raise ValueError(query)
             at += 1
             return out
+        return term(m)
+
+    def term(m):
         w = words(m)
         if not w or (not m.startswith('"') and re.search(r"[^\w*'-]", m)):
             raise ValueError(query)
         return Term(w, m.endswith("*"))
 
+    def near():
+        nonlocal at
+        at, inside, distance = at + 1, [], NEAR_DISTANCE
+        while (m := peek()) not in (None, ")", ",", "("):
+            inside.append(term(m))
+            at += 1
+        if peek() == ",":
+            if not re.fullmatch(r"[0-9]{1,6}", (marks[at + 1 : at + 2] or [""])[0]):
+                raise ValueError(query)
+            distance, at = int(marks[at + 1]), at + 2
+        if peek() != ")" or not inside:
+            raise ValueError(query)
+        at += 1
+        return Near(tuple(inside), distance) if len(inside) > 1 else inside[0]
+
     def negated():
         nonlocal at
         out = primary()
@@ -121,17 +152,24 @@ def terms_of(node) -> list[Term]:
     """Terms that add to the score (those under NOT's right side do not)."""
     if isinstance(node, Term):
         return [node]
+    if isinstance(node, Near):
+        return list(node.terms)
     return terms_of(node.left) + (terms_of(node.right) if node.kind != "not" else [])
 
 
+def _scoring(node) -> list:
+    """Leaves that add to the score."""
+    if isinstance(node, (Term, Near)):
+        return [node]
+    return _scoring(node.left) + (_scoring(node.right) if node.kind != "not" else [])
+
+
 def _rows(index: DataFrame, word: str, prefix: bool) -> DataFrame:
     return index.where(F.col("term").startswith(word) if prefix else F.col("term") == word)
 
 
-def _hits(index: DataFrame, term: Term) -> DataFrame:
-    """(chunk_id, tf, n_tokens) of a word, a prefix or a phrase."""
-    if len(term.words) == 1:
-        return _rows(index, term.words[0], term.prefix).groupBy("chunk_id").agg(F.sum("tf").alias("tf"), F.max("n_tokens").alias("n_tokens"))
+def _places(index: DataFrame, term: Term) -> DataFrame:
+    """(chunk_id, at, n_tokens): where a word, a prefix or a phrase begins."""
     out = None
     for k, w in enumerate(term.words):
         rows = _rows(index, w, term.prefix and k == len(term.words) - 1).groupBy("chunk_id")
@@ -140,21 +178,51 @@ def _hits(index: DataFrame, term: Term) -> DataFrame:
             out = rows.agg(at, F.max("n_tokens").alias("n_tokens")).withColumnRenamed("p0", "at")
         else:
             out = out.join(rows.agg(at), "chunk_id").select("chunk_id", "n_tokens", F.array_intersect("at", f"p{k}").alias("at"))
-    return out.where(F.size("at") > 0).select("chunk_id", F.size("at").cast("long").alias("tf"), "n_tokens")
+    return out.where(F.size("at") > 0).select("chunk_id", "at", "n_tokens")
+
+
+def _hits(index: DataFrame, term: Term) -> DataFrame:
+    """(chunk_id, tf, n_tokens) of a word, a prefix or a phrase."""
+    if len(term.words) == 1:
+        return _rows(index, term.words[0], term.prefix).groupBy("chunk_id").agg(F.sum("tf").alias("tf"), F.max("n_tokens").alias("n_tokens"))
+    return _places(index, term).select("chunk_id", F.size("at").cast("long").alias("tf"), "n_tokens")
+
+
+def _near_hits(index: DataFrame, near: Near) -> DataFrame:
+    """(chunk_id, tfs): chunks in which the terms lie close together, and how often each term takes part in that.
+
+    The places of all terms are merged in order.  A place begins a group if every term has a place from there on to ``distance`` tokens
+    behind its end; all places within that reach take part.
+    """
+    d = None
+    for k, t in enumerate(near.terms):
+        p = _places(index, t).select("chunk_id", F.col("at").alias(f"at{k}"))
+        d = p if d is None else d.join(p, "chunk_id")
+    terms = range(len(near.terms))
+    tagged = [F.transform(f"at{k}", lambda p: F.struct(p.alias("p"), F.lit(k).alias("k"), (p + len(near.terms[k].words) + near.distance).alias("end"))) for k in terms]  # noqa: B023
+    d = d.select("chunk_id", F.array_sort(F.concat(*tagged)).alias("m"))
+    reach = lambda f: F.filter("m", lambda x: (x["p"] >= f["p"]) & (x["p"] <= f["end"]))
+    begins = F.filter("m", lambda f: F.size(F.array_distinct(F.transform(reach(f), lambda x: x["k"]))) == len(near.terms))
+    d = d.select("chunk_id", "m", begins.alias("b")).where(F.size("b") > 0)
+    part = F.filter("m", lambda x: F.exists("b", lambda f: (x["p"] >= f["p"]) & (x["p"] <= f["end"])))
+    counts = F.array(*(F.size(F.filter("part", lambda x: x["k"] == k)).cast("long") for k in terms))  # noqa: B023
+    return d.select("chunk_id", part.alias("part")).select("chunk_id", counts.alias("tfs"))
 
 
 def matching(index: DataFrame, node) -> DataFrame:
     """(chunk_id) of the chunks that satisfy a query."""
     if isinstance(node, Term):
         return _hits(index, node).select("chunk_id")
+    if isinstance(node, Near):
+        return _near_hits(index, node).select("chunk_id")
     a, b = matching(index, node.left), matching(index, node.right)
     if node.kind == "or":
         return a.union(b).distinct()
     return a.join(b, "chunk_id", "left_semi" if node.kind == "and" else "left_anti")
 
 
-def _leaves(node) -> list[Term]:
-    return [node] if isinstance(node, Term) else _leaves(node.left) + _leaves(node.right)
+def _leaves(node) -> list:
+    return [node] if isinstance(node, (Term, Near)) else _leaves(node.left) + _leaves(node.right)
 
 
 def _holds(node, leaves: list[Term]) -> Column:
@@ -179,20 +247,27 @@ def _word_hits(index: DataFrame, leaves: list[Term]) -> DataFrame:
 def _candidates(index: DataFrame, node) -> DataFrame:
     """(chunk_id, q, tf, n_tokens) of the scoring leaves, and whether the chunk matches."""
     leaves = list(dict.fromkeys(_leaves(node)))
-    if not all(t.words for t in leaves):  # a query without a word finds nothing
+    if not all(w.words for t in leaves for w in (t.terms if isinstance(t, Near) else [t])):  # a query without a word finds nothing
         return index.where(F.lit(False)).select("chunk_id", F.lit(0).alias("q"), "tf", "n_tokens", F.lit(False).alias("match"))
-    scoring = sorted({leaves.index(t) for t in terms_of(node)})
-    if all(len(t.words) == 1 for t in leaves):
+    scoring = [leaves.index(t) for t in dict.fromkeys(_scoring(node))]
+    if all(isinstance(t, Term) and len(t.words) == 1 for t in leaves):
         hits = _word_hits(index, leaves)
         found = hits.groupBy("chunk_id").agg(
             F.collect_set("q").alias("seen"), F.collect_list(F.struct("q", "tf")).alias("hits"), F.max("n_tokens").alias("n_tokens")
         )
         found = found.select("chunk_id", "n_tokens", _holds(node, leaves).alias("match"), F.explode("hits").alias("h"))
         return found.select("chunk_id", "n_tokens", "match", "h.q", "h.tf").where(F.col("q").isin(scoring))
-    hits = None
+    parts = []
     for i in scoring:
-        rows = _hits(index, leaves[i]).withColumn("q", F.lit(i))
-        hits = rows if hits is None else hits.unionByName(rows)
+        leaf = leaves[i]
+        if isinstance(leaf, Term):
+            parts.append(_hits(index, leaf))
+            continue
+        near = _near_hits(index, leaf)  # a term counts wherever it occurs, and scores where it takes part
+        for k, t in enumerate(leaf.terms):
+            own = _hits(index, t).drop("tf").join(near.select("chunk_id", F.get("tfs", F.lit(k)).alias("tf")), "chunk_id", "left")
+            parts.append(own.select("chunk_id", F.coalesce("tf", F.lit(0)).alias("tf"), "n_tokens"))
+    hits = reduce(DataFrame.unionByName, (p.withColumn("q", F.lit(q)) for q, p in enumerate(parts)))
     wanted = matching(index, node).withColumn("match", F.lit(True))
     return hits.join(wanted, "chunk_id", "left").withColumn("match", F.coalesce("match", F.lit(False)))
 

@@ -91,6 +91,22 @@ def kw_phrase(spark, sf_dir):
     return _top(spark, sf_dir, '"of the"', 15)
 
 
+@query("kw_near", f"""{L.SQL},
+tok AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM chunks),
+st AS (SELECT count(*) AS n_chunks, avg(len(w)) AS mean FROM tok),
+e AS (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS p FROM tok),
+f AS (SELECT id, p, term, p + 1 + 3 AS reach FROM e WHERE term IN ('of', 'the')),
+b AS (SELECT f.id, f.p, f.reach FROM f JOIN f x ON x.id = f.id AND x.p BETWEEN f.p AND f.reach GROUP BY ALL HAVING count(DISTINCT x.term) = 2),
+part AS (SELECT DISTINCT x.id, x.p, x.term FROM f x JOIN b ON b.id = x.id AND x.p BETWEEN b.p AND b.reach),
+tf AS (SELECT id, term, count(*) AS tf FROM part GROUP BY ALL),
+df AS (SELECT term, count(DISTINCT id) AS n FROM f GROUP BY term)
+SELECT id AS chunk_id, round(sum((CASE WHEN ln((n_chunks - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_chunks - n + 0.5) / (n + 0.5)) END)
+       * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))), 6) AS score
+FROM tf JOIN df USING (term) JOIN tok USING (id) CROSS JOIN st GROUP BY id ORDER BY score DESC, id LIMIT 50""")
+def kw_near(spark, sf_dir):
+    return _top(spark, sf_dir, "NEAR(of the, 3)", 50)
+
+
 @query("kw_postfilter", _OR + "SELECT top.id AS chunk_id, score FROM top JOIN chunks USING (id) JOIN docs ON docs.id = chunks.doc_id WHERE status = 'done'")
 def kw_postfilter(spark, sf_dir):
     """Filters after the top k, so fewer may be left."""

@@ -152,3 +152,32 @@ def test_embed_pending_asks_for_missing_vectors_only(spark, tmp_path):
     d = spark.createDataFrame([(1, "have", [2.0]), (2, "want", None)], "id long, text string, embedding array<float>")
     got = {r["id"]: r["embedding"] for r in S.embed_pending(d, embed, "m", "m").collect()}
     assert got == {1: [2.0], 2: [1.0]} and set(open(log).read().split()) == {"want"}
+
+
+def plain_near(tokens, terms, distance):
+    """How often each word or phrase takes part in a group: every place within the reach of one that sees all terms."""
+    at = [[i for i in range(len(tokens)) if tokens[i : i + len(t)] == list(t)] for t in terms]
+    reach = [(p, p + len(terms[k]) + distance) for k, places in enumerate(at) for p in places]
+    groups = [(p, e) for p, e in reach if all(any(p <= x <= e for x in places) for places in at)]
+    return [sum(any(p <= x <= e for p, e in groups) for x in places) for places in at]
+
+
+def test_near_groups(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 30)))) for i in range(60)]
+    c = spark.createDataFrame(rows, "id long, text string")
+    index, stats = S.postings(c).cache(), S.statistics(c)
+    for query, terms, distance in (("NEAR(a b, 2)", [("a",), ("b",)], 2), ('NEAR(a "b c" d)', [("a",), ("b", "c"), ("d",)], 10), ("NEAR(e f, 0)", [("e",), ("f",)], 0)):
+        node = S.parse(query)
+        assert node == S.Near(tuple(S.Term(t) for t in terms), distance)
+        want = {i: tfs for i, t in rows if all(tfs := plain_near(t.split(), terms, distance))}
+        got = {r["chunk_id"]: list(r["tfs"]) for r in S._near_hits(index, node).collect()}
+        assert got == want and 0 < len(want) < 60
+        assert sorted(r["chunk_id"] for r in S.ranked(index, stats, query, None).collect()) == sorted(want)
+    both = {r["chunk_id"] for r in S.ranked(index, stats, "NEAR(a b, 2) NOT c", None).collect()}
+    assert both == {i for i, t in rows if all(plain_near(t.split(), [("a",), ("b",)], 2)) and "c" not in t.split()}
+    assert S.parse("NEAR(a)") == S.Term(("a",)) and S.parse("NEAR a") == S.parse("near AND a")
+    for broken in ("NEAR(a b", "NEAR(a b, x)", "NEAR()", "NEAR(a (b))"):
+        assert isinstance(S.parse(broken), S.Term)
