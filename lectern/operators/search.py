@@ -192,21 +192,19 @@ def _near_hits(index: DataFrame, near: Near) -> DataFrame:
     """(chunk_id, tfs): chunks in which the terms lie close together, and how often each term takes part in that.
 
     The places of all terms are merged in order.  A place begins a group if every term has a place from there on to ``distance`` tokens
-    behind its end; all places within that reach take part.
+    behind its end: the next place of each term is a minimum over what follows.  All places within that reach take part: the furthest
+    reach so far is a maximum over what came before.  Both are windows over the places of one chunk.
     """
-    d = None
-    for k, t in enumerate(near.terms):
-        p = _places(index, t).select("chunk_id", F.col("at").alias(f"at{k}"))
-        d = p if d is None else d.join(p, "chunk_id")
     terms = range(len(near.terms))
-    tagged = [F.transform(f"at{k}", lambda p: F.struct(p.alias("p"), F.lit(k).alias("k"), (p + len(near.terms[k].words) + near.distance).alias("end"))) for k in terms]  # noqa: B023
-    d = d.select("chunk_id", F.array_sort(F.concat(*tagged)).alias("m"))
-    reach = lambda f: F.filter("m", lambda x: (x["p"] >= f["p"]) & (x["p"] <= f["end"]))
-    begins = F.filter("m", lambda f: F.size(F.array_distinct(F.transform(reach(f), lambda x: x["k"]))) == len(near.terms))
-    d = d.select("chunk_id", "m", begins.alias("b")).where(F.size("b") > 0)
-    part = F.filter("m", lambda x: F.exists("b", lambda f: (x["p"] >= f["p"]) & (x["p"] <= f["end"])))
-    counts = F.array(*(F.size(F.filter("part", lambda x: x["k"] == k)).cast("long") for k in terms))  # noqa: B023
-    return d.select("chunk_id", part.alias("part")).select("chunk_id", counts.alias("tfs"))
+    length = F.get(F.array(*(F.lit(len(t.words)) for t in near.terms)), F.col("k"))
+    places = reduce(DataFrame.unionByName, (_places(index, t).select("chunk_id", F.lit(k).alias("k"), F.explode("at").alias("p")) for k, t in enumerate(near.terms)))
+    chunk = Window.partitionBy("chunk_id").orderBy("p")
+    ahead, so_far = chunk.rangeBetween(0, Window.unboundedFollowing), chunk.rangeBetween(Window.unboundedPreceding, 0)
+    d = places.withColumn("reach", F.col("p") + length + near.distance)
+    furthest = F.greatest(*(F.coalesce(F.min(F.when(F.col("k") == k, F.col("p"))).over(ahead), F.lit(1 << 30)) for k in terms))
+    d = d.withColumn("next", furthest)
+    d = d.withColumn("covered", F.max(F.when(F.col("next") <= F.col("reach"), F.col("reach"))).over(so_far) >= F.col("p")).where("covered")
+    return d.groupBy("chunk_id").agg(F.array(*(F.count_if(F.col("k") == k) for k in terms)).alias("tfs"))
 
 
 def matching(index: DataFrame, node) -> DataFrame:
