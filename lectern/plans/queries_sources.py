@@ -1,4 +1,4 @@
-"""Queries of sources: scanned pages, watched folders and bundles."""
+"""Queries of sources: scanned pages, watched folders, bundles and books."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..operators import library as L
 from ..session import shared_folder, ship, table
 from ..sources import bundles
 from ..streaming import watch
-from .queries_text import _TRIM
+from .queries_text import _HTML, _TRIM
 from .registry import query
 
 
@@ -96,3 +96,36 @@ def bundle_round_trip(spark, sf_dir):
     held = bundles.memberships_of(back).groupBy("entry").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("collections"))
     d = bundles.documents_of(back).join(back.select("entry", F.sha2("content", 256).alias("sha")), "entry").join(held, "entry")
     return d.select("id", "entry", "kind", "category", "sha", "collections")
+
+
+def _epub_files(pages):
+    """(path, content): ten pages a file, the last one first in the spine."""
+
+    def made(rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        rows, out = rows.sort_values("page_id", ascending=False), io.BytesIO()
+        names = [f"text/page {i}.xhtml" for i in rows["page_id"]]
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
+            items = "".join(f'<item id="p{k}" href="{n.replace(" ", "%20")}"/>' for k, n in sorted(enumerate(names), key=lambda x: x[1]))
+            spine = "".join(f'<itemref idref="p{k}"/>' for k in range(len(names)))
+            z.writestr("OEBPS/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{spine}</spine></package>')
+            for name, html in zip(names, rows["html"]):
+                z.writestr(f"OEBPS/{name}", html)
+        return pd.DataFrame({"path": [f"/books/{rows['page_id'].iloc[0] // 10}.epub"], "content": [out.getvalue()]})
+
+    return pages.select("page_id", "html").groupBy(F.floor(F.col("page_id") / 10)).applyInPandas(made, "path string, content binary")
+
+
+@query("epub_pages", f"""SELECT '/books/' || (page_id // 10) || '.epub' AS path, (row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id DESC) - 1)::INT AS seq,
+  sha256({_cleaned(_HTML)}) AS text_sha FROM pages""")
+def epub_pages(spark, sf_dir):
+    """All pages bound as books and read again, in the order of their spines."""
+    from ..sources.epub import epub_pages
+
+    ship(spark)
+    return epub_pages(_epub_files(table(spark, sf_dir, "pages"))).select("path", "seq", F.sha2("text", 256).alias("text_sha"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quality import sane
-from ..functions.text import basename, cleaned, extension, trimmed
+from ..functions.text import basename, clean_meta, cleaned, extension, trimmed
 from ..operators.library import CHUNK_CHARS, sliced
 
 TEXT_EXTENSIONS = (".txt", ".md", ".markdown", ".rst")
@@ -152,9 +152,9 @@ def rendered(files: DataFrame, wanted: DataFrame, render, cache: str | None = No
 
 
 def pdf_text(content: Column) -> Column:
-    """Literal metadata of an uncompressed PDF header: struct of title and author."""
-    raw = F.decode(content, "ISO-8859-1")
-    one = lambda k: F.regexp_extract(raw, rf"/{k}\s*\(((?:[^()\\]|\\.)*)\)", 1)
+    """Literal metadata of an uncompressed PDF header, without junk: struct of title and author."""
+    raw = F.decode(F.col(content) if isinstance(content, str) else content, "ISO-8859-1")
+    one = lambda k: clean_meta(F.regexp_extract(raw, rf"/{k}\s*\(((?:[^()\\]|\\.)*)\)", 1))
     return F.struct(one("Title").alias("title"), one("Author").alias("author"))
 
 
@@ -178,6 +178,28 @@ def extract(files: DataFrame, extractor) -> DataFrame:
     return files.where(kind_of(F.col("path")) == "pdf").select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
+def pages(files: DataFrame, extractor, size: int = CHUNK_CHARS) -> DataFrame:
+    """(path, seq, page_no, text, error) of scanned files, each kind its way: slices of text files, the spine of EPUBs, and what ``extractor`` reads of the others.
+
+    What could not be scanned, is of no kind the library reads, or fails, is one row with an error.
+    """
+    from .epub import epub_pages
+
+    there = files.where("error IS NULL AND content IS NOT NULL")
+    columns = ["path", "seq", "page_no", "text", "error"]
+    none = F.lit(None).cast("string").alias("error")
+    is_epub = extension(F.col("path")) == ".epub"
+    read = extract(there.where(~is_epub), extractor)
+    failed = files.where("error IS NOT NULL OR content IS NULL").select("path", F.coalesce("error", F.lit("no content")).alias("error"))
+    failed = failed.unionByName(there.where(~supported(F.col("path"))).select("path", F.lit("unsupported file type").alias("error")))
+    failed = failed.unionByName(read.where("error IS NOT NULL").select("path", "error"))
+    failed = failed.select("path", F.lit(0).alias("seq"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("string").alias("text"), "error")
+    out = text_chunks(there, size).select("path", "seq", "page_no", "text", none)
+    out = out.unionByName(epub_pages(there.where(is_epub)).select(*columns))
+    out = out.unionByName(page_chunks(read.where("error IS NULL").select("path", "text")).select("path", "seq", "page_no", "text", none))
+    return out.unionByName(failed)
+
+
 def listing(spark: SparkSession, directory: str) -> DataFrame:
     """One directory: name, dir, supported, size; hidden entries left out, directories first."""
     if not os.path.isabs(directory):
