@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import changes as M
 from ..operators import curation as C
 from ..operators import jobs as J
 from ..operators import library as L
 from ..operators import search as S
 from ..session import table
+from ..streaming import watch
 from .registry import query
 
 Q = L.SQL
@@ -153,3 +155,42 @@ def scope_context(spark, sf_dir):
     lib = L.library(spark, sf_dir)
     d = C.tag_lists(lib["documents"], lib["tags"]).withColumn("summary", F.col("text"))
     return H.context(d, H.scope(lib, "category", "de"))
+
+
+@query("scan_intervals", """WITH v AS (SELECT event_id, (floor(value * value) - 20)::INT AS v FROM events)
+SELECT event_id, CASE WHEN v <= 0 THEN 5 WHEN v < 2 THEN 2 WHEN v > 86400 THEN 86400 ELSE v END::INT AS seconds FROM v""")
+def scan_intervals(spark, sf_dir):
+    """Every event's value as an interval that a user asks for."""
+    asked = (F.floor(F.col("value") * F.col("value")) - 20).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", T.clamped_interval(asked).alias("seconds"))
+
+
+@query("vocabulary_keys", """SELECT DISTINCT lower(regexp_replace(chr(9) || ' ' || upper(lang) || '-' || source || chr(10), '^\\s+|\\s+$', '', 'g')) AS key FROM documents""")
+def vocabulary_keys(spark, sf_dir):
+    raw = F.concat(F.lit("\t "), F.upper("lang"), F.lit("-"), "source", F.lit("\n"))
+    return table(spark, sf_dir, "documents").select(T.vocabulary_key(raw).alias("key")).distinct()
+
+
+@query("page_labels", Q + "SELECT id, CASE WHEN doc_id % 7 <> 0 AND seq + doc_id % 3 > 0 THEN 'p.' || (seq + doc_id % 3) ELSE 'chunk' END AS label FROM chunks")
+def page_labels(spark, sf_dir):
+    """Chunks of paged documents, of which some pages have no number, and of others."""
+    page = F.when(F.col("doc_id") % 7 != 0, F.col("seq") + F.col("doc_id") % 3)
+    return L.chunks(spark, sf_dir).select("id", T.page_label(page).alias("label"))
+
+
+@query("missing_languages", """SELECT doc_id, array_to_string(list_filter([lang, 'fi', source, 'en'], lambda x: NOT list_contains(['en', 'de', 'src3'], x)), '+') AS missing FROM documents""")
+def missing_languages(spark, sf_dir):
+    asked = F.concat_ws("+", "lang", F.lit("fi"), "source", F.lit("en"))
+    have = F.array(F.lit("en"), F.lit("de"), F.lit("src3"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.missing_languages(asked, have), "+").alias("missing"))
+
+
+_STATUS = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END"
+
+
+@query("job_transitions", f"""WITH j AS (SELECT user_id AS job, event_id AS \"at\", {_STATUS} AS status FROM events),
+b AS (SELECT *, lag(status) OVER (PARTITION BY job ORDER BY \"at\") AS before FROM j) SELECT job, \"at\", status FROM b WHERE status IN ('done', 'failed') AND status IS DISTINCT FROM before""")
+def job_transitions(spark, sf_dir):
+    """Events as reports of a user's job: when it changed to done or failed."""
+    jobs = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), F.expr(_STATUS).alias("status"))
+    return watch.transitions(jobs)
