@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,23 @@ STOPWORDS = (
 KIND_STOPWORDS = [*STOPWORDS, *"figure table page pages volume journal".split()]
 
 
-def scores(text: Column, ocr_pages: Column, n_pages: Column) -> Column:
+@dataclass(frozen=True)
+class Cuts:
+    """What is looked at: texts of more than ``long`` bytes by ``head`` and ``tail`` characters for most signals, and up to ``full`` characters
+    for chapters, contents, front sections and ISBN.  The defaults are fixed values; None looks at whole texts."""
+
+    long: int | None = 60_000
+    head: int = 40_000
+    tail: int = 20_000
+    full: int | None = 2_000_000
+
+
+def scores(text: Column, ocr_pages: Column, n_pages: Column, cuts: Cuts = Cuts()) -> Column:
     """Struct of five scores."""
     size = F.octet_length(text)
-    t = F.when(size > 60000, F.concat(F.left(text, F.lit(40000)), F.lit("\n"), F.right(text, F.lit(20000)))).otherwise(F.left(text, F.lit(40000)))
-    full = F.left(text, F.lit(2_000_000))
+    head, tail = F.left(text, F.lit(cuts.head)), F.right(text, F.lit(cuts.tail))
+    t = text if cuts.long is None else F.when(size > cuts.long, F.concat(head, F.lit("\n"), tail)).otherwise(head)
+    full = text if cuts.full is None else F.left(text, F.lit(cuts.full))
     n = lambda c, p: F.regexp_count(c, F.lit(p))
     w = lambda cond, v: F.when(cond, F.lit(float(v))).otherwise(0.0)
     upto = lambda most, x: F.least(F.lit(float(most)), x)
@@ -122,30 +136,30 @@ def _before(text: Column, pattern: str) -> Column:
     return F.get(F.split(text, pattern, 2), F.lit(0))
 
 
-def abstract(text: Column) -> Column:
-    """The section under the first abstract heading, up to the next heading (or 3000 characters)."""
+def abstract(text: Column, most: int = 3000, least: int = 150) -> Column:
+    """The section under the first abstract heading, up to the next heading (or ``most`` characters); empty below ``least`` bytes."""
     rest = _after(text, ABSTRACT)
-    cut = F.when(rest.rlike(ABSTRACT_ENDS), _before(rest, ABSTRACT_ENDS)).otherwise(F.left(rest, F.lit(3000)))
+    cut = F.when(rest.rlike(ABSTRACT_ENDS), _before(rest, ABSTRACT_ENDS)).otherwise(F.left(rest, F.lit(most)))
     out = F.regexp_replace(trimmed(cut), r"^[—\-– \n\t]+", "")
-    return F.when(F.octet_length(out) >= 150, out).otherwise("")
+    return F.when(F.octet_length(out) >= least, out).otherwise("")
 
 
-def front_matter(text: Column) -> Column:
-    """Preface, else foreword, else introduction, up to the first chapter (7000 characters at most)."""
+def front_matter(text: Column, most: int = 7000, least: int = 400) -> Column:
+    """Preface, else foreword, else introduction, up to the first chapter (``most`` characters); one below ``least`` bytes is passed over."""
     each = []
     for p in (PREFACE, FOREWORD, INTRO):
-        out = trimmed(F.left(_before(_after(text, p), CHAPTER_START), F.lit(7000)))
-        each.append(F.when(F.octet_length(out) >= 400, out))
+        out = trimmed(F.left(_before(_after(text, p), CHAPTER_START), F.lit(most)))
+        each.append(F.when(F.octet_length(out) >= least, out))
     return F.coalesce(*each, F.lit(""))
 
 
-def contents(text: Column) -> Column:
-    """Titles of the contents listing, one a line, without leaders and page numbers."""
+def contents(text: Column, most: int = 4000, lines_most: int = 60) -> Column:
+    """Titles of the contents listing (``most`` characters of it), one a line, without leaders and page numbers."""
     rest = _after(text, CONTENTS)
     for p in (PREFACE, FOREWORD, INTRO):
         rest = _before(rest, p)
     lines = F.transform(
-        F.split(F.left(rest, F.lit(4000)), "\n"),
+        F.split(F.left(rest, F.lit(most)), "\n"),
         lambda x: trimmed(F.regexp_replace(F.regexp_replace(x, r"[.·—-]{2,}\s*\d+\s*$", ""), r"\s+\d+$", "")),
     )
-    return F.coalesce(F.array_join(F.slice(F.filter(lines, lambda x: F.octet_length(x) >= 3), 1, 60), "\n"), F.lit(""))
+    return F.coalesce(F.array_join(F.slice(F.filter(lines, lambda x: F.octet_length(x) >= 3), 1, lines_most), "\n"), F.lit(""))

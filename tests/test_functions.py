@@ -56,6 +56,14 @@ def test_sections(spark):
     assert one(spark, K.contents(F.lit("Contents\nFirst part .... 3\nSecond 14\nPreface\nx"))) == "First part\nSecond"
 
 
+def test_cuts_are_parameters(spark):
+    late = F.lit("x " * 40_000 + "\nReferences\n" + "x " * 20_000)
+    got = [one(spark, K.scores(late, F.lit(0), F.lit(0), c))["paper"] for c in (K.Cuts(), K.Cuts(long=None))]
+    assert got == [0.0, 2.0]
+    text = F.lit("Abstract\n" + "word " * 100)
+    assert len(one(spark, K.abstract(text))) > 400 and len(one(spark, K.abstract(text, most=200))) <= 200 and one(spark, K.abstract(text, least=900)) == ""
+
+
 def test_tokens(spark):
     assert one(spark, K.tokens(F.lit("The, Metatheory! of Session-Types (2026)"))) == ["metatheory", "session", "types", "2026"]
 
