@@ -5,6 +5,8 @@ White space is matched by explicit classes, and ``(?d)`` keeps line ends to ``\\
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def cleaned(c: Column) -> Column:
     return trimmed(F.regexp_replace(c, r"[ \t]+\n|\n{3,}", "\n\n"))
 
 
+def cleaned_text(s: str) -> str:
+    """``cleaned`` for a Python string."""
+    return re.sub(r"[ \t]+\n|\n{3,}", "\n\n", s).strip(" \t\n\x0b\f\r")
+
+
 def collapsed(c: Column) -> Column:
     """Words joined by single blanks."""
     return F.regexp_replace(trimmed(c), r"\s+", " ")

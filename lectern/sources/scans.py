@@ -1,13 +1,14 @@
 """Recognition of scanned pages that may lie on their side, upside down, or two on one image.
 
-Work is a table of parts (a page, or one half of a double page) that goes through rounds.  A part has a few rotations to try, likeliest
-first; a round reads every undecided part at its next rotation.  A text that reads well enough decides its part at once, else the best
-text of all rotations does.  Pages that turn out to be double once they are upright are split then, and their halves take the same
-rounds.  Each round is one map over the undecided rows, written to the shared folder, so no reader is asked twice for what is done.
+An image is a page, or the two parts of a double page.  A part has a few rotations to try, likeliest first: a text that reads well
+enough decides it at once, else the best text of all rotations does.  Pages that turn out to be double once they are upright are split
+then, and their halves are read in the same way.  All of it is one map over the images, so an image never leaves its task; the texts are
+written to the shared folder, so no reader is asked twice for what is done.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,16 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scan_image as I
-from ..functions.quality import ocr_quality
-from ..functions.text import cleaned
-from ..session import checkpointed, ship
+from ..functions.quality import quality_of
+from ..functions.text import cleaned_text
+from ..session import shared_folder, ship
 
 #: Fixed value: a text of this quality is taken without trying other rotations.
 ACCEPT = 0.40
 #: No part has more rotations to try.
 MOST_CANDIDATES = 2
-PART = "path string, page_no int, part int, image binary, candidates array<int>, error string"
-STATE = ["path", "page_no", "part", "image", "candidates", "error", "text", "score", "degrees"]
+PARTS = "path string, page_no int, part int, text string, degrees int, error string"
 
 #: Reads the text of an upright graymap.
 Reader = Callable[[bytes], str]
@@ -32,109 +32,64 @@ Reader = Callable[[bytes], str]
 Osd = Callable[[bytes], "int | None"]
 
 
-def _row(key: tuple, part: int, img, osd: Osd | None) -> tuple:
-    data = I.write_pgm(img)
-    sure = osd(data) if osd else None
-    return (*key, part, data, [int(sure)] if sure is not None else I.candidates(img), None)
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    d = pd.DataFrame(rows, columns=["path", "page_no", "part", "image", "candidates", "error"])
-    return d.astype({"page_no": "Int32", "part": "Int32"})
-
-
-def _parts(osd: Osd | None):
-    """Part 0 of a single page, or parts 1 and 2 of a double one; a broken image is a row with an error."""
-
+def arbitrated(img, reader: Reader, osd: Osd | None = None, accept: float = ACCEPT) -> tuple[str, int, str | None]:
+    """(text, degrees, first error) of a part's best rotation; ties go to the one tried first."""
+    sure = osd(I.write_pgm(img)) if osd else None
+    best, degrees, most, error = "", 0, -2.0, None
+    for turn in (I.candidates(img) if sure is None else [int(sure)])[:MOST_CANDIDATES]:
+        try:
+            text = cleaned_text(reader(I.write_pgm(I.rotated(img, turn))) or "")
+        except Exception as e:  # the other rotations and parts go on
+            error = error or f"{type(e).__name__}: {e}"
+            continue
+        if text and (score := quality_of(text)) > most:
+            best, degrees, most = text, turn, score
+        if most >= accept:
+            break
+    return best, degrees, error
+
+
+def _parts(image: bytes, reader: Reader, osd: Osd | None, accept: float) -> Iterator[tuple]:
+    """(part, text, degrees, error): part 0 of a single page, or parts 1 and 2 of a double one; all three where a page shows a spine after it was turned."""
+    img = I.read_pgm(bytes(image))
+    pages = I.split(img)
+    for k, p in enumerate(pages):
+        text, degrees, error = arbitrated(p, reader, osd, accept)
+        yield k + (len(pages) > 1), text, degrees, error
+    if len(pages) == 1 and degrees and text:
+        halves = I.split(I.rotated(img, degrees))
+        if len(halves) == 2:
+            for k, p in enumerate(halves):
+                yield k + 1, *arbitrated(p, reader, osd, accept)
+
+
+def _recognised(reader: Reader, osd: Osd | None, accept: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, number, image in zip(b["path"], b["page_no"], b["image"]):
-                key = path, number
-                try:
-                    img = I.read_pgm(bytes(image))
-                    pages = I.split(img)
-                    out += [_row(key, k + (len(pages) > 1), p, osd) for k, p in enumerate(pages)]
-                except Exception as e:  # the other pages go on
-                    out.append((*key, 0, None, [], f"{type(e).__name__}: {e}"))
-            yield _frame(out)
-
-    return run
-
-
-def _split_again(osd: Osd | None):
-    """Parts 1 and 2 of pages that show a spine after they were turned."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, number, image, degrees in zip(b["path"], b["page_no"], b["image"], b["degrees"]):
-                pages = I.split(I.rotated(I.read_pgm(bytes(image)), int(degrees)))
-                if len(pages) == 2:
-                    out += [_row((path, number), k + 1, p, osd) for k, p in enumerate(pages)]
-            yield _frame(out)
-
-    return run
-
-
-def _read(reader: Reader, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts, errors = [], []
-            for image, turns in zip(b["image"], b["candidates"]):
                 try:
-                    data = bytes(image) if not turns[k] else I.write_pgm(I.rotated(I.read_pgm(bytes(image)), int(turns[k])))
-                    texts.append(reader(data))
-                    errors.append(None)
-                except Exception as e:  # the other rotations and parts go on
-                    texts.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            b = b.copy()
-            b["_text"], b["_error"] = texts, errors
-            yield b.astype({"page_no": "Int32", "part": "Int32", "degrees": "Int32"})
+                    for part in _parts(image, reader, osd, accept):
+                        out.append((path, number, *part))
+                except Exception as e:  # a broken image is a row with an error, and the other pages go on
+                    out.append((path, number, 0, "", 0, f"{type(e).__name__}: {e}"))
+            d = pd.DataFrame(out, columns=["path", "page_no", "part", "text", "degrees", "error"])
+            yield d.astype({"page_no": "Int32", "part": "Int32", "degrees": "Int32"})
 
     return run
 
 
-def _fresh(parts: DataFrame) -> DataFrame:
-    return parts.select(*STATE[:6], F.lit("").alias("text"), F.lit(-1.0).alias("score"), F.lit(0).alias("degrees"))
-
-
-def arbitrated(parts: DataFrame, reader: Reader, accept: float = ACCEPT) -> DataFrame:
-    """Every part with the text of its best rotation; ties go to the one tried first."""
-    state = parts
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
-    for k in range(MOST_CANDIDATES):
-        undecided = (F.size("candidates") > k) & (F.col("score") < accept)
-        d = state.where(undecided).mapInPandas(_read(reader, k), f"{fields}, _text string, _error string")
-        d = d.withColumn("_text", cleaned(F.coalesce("_text", F.lit("")))).withColumn("_score", ocr_quality(F.col("_text")))
-        better = (F.col("_text") != "") & (F.col("_score") > F.col("score"))
-        d = d.withColumns(
-            {
-                "text": F.when(better, F.col("_text")).otherwise(F.col("text")),
-                "degrees": F.when(better, F.get("candidates", F.lit(k))).otherwise(F.col("degrees")),
-                "score": F.when(better, F.col("_score")).otherwise(F.col("score")),
-                "error": F.coalesce("error", "_error"),
-            }
-        ).select(*STATE)
-        done = state.where(~undecided).withColumn("image", F.when(F.col("part") == 0, F.col("image")))  # halves need no image any more
-        state = checkpointed(d.unionByName(done))
-    return state
-
-
 def oriented(images: DataFrame, reader: Reader, osd: Osd | None = None, accept: float = ACCEPT) -> DataFrame:
     """(path, page_no, text, passes, error): the text of each page image, halves of a double page in order with a blank line between.
 
     ``images``: (path, page_no, image) as portable graymaps; rows of one page number of a file are one page.  ``passes`` counts the parts that
     gave a text.  Where both halves stood upside down, so did the double page, and its halves change places.  Halves that show only after turning replace the text of the whole page, unless neither gives any.
     """
-    ship(images.sparkSession)
-    parts = images.select("path", F.col("page_no").cast("int").alias("page_no"), "image").mapInPandas(_parts(osd), PART)
-    state = arbitrated(checkpointed(_fresh(parts)), reader, accept)
-    turned = state.where("part = 0 and image is not null and degrees != 0 and text != ''")
-    again = arbitrated(checkpointed(_fresh(turned.select(*STATE).mapInPandas(_split_again(osd), PART))), reader, accept)
-    columns = ["path", "page_no", "part", "text", "degrees", "error"]
-    every = state.select(*columns).unionByName(again.select(*columns))
+    spark = images.sparkSession
+    ship(spark)
+    at = f"{shared_folder(spark)}/recognised-{uuid.uuid4().hex}"
+    images.select("path", F.col("page_no").cast("int").alias("page_no"), "image").mapInPandas(_recognised(reader, osd, accept), PARTS).write.parquet(at)
+    every = spark.read.schema(PARTS).parquet(at)
     found = F.array_sort(F.collect_list(F.struct("part", "text", "degrees")))
     d = every.groupBy("path", "page_no").agg(found.alias("p"), F.min("error").alias("error"))  # three parts at most
     good = F.filter("p", lambda x: x["text"] != "")

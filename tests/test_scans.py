@@ -1,10 +1,17 @@
 """Recognition rounds over pages in any direction."""
 
+import random
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.functions import block_font as B
+from lectern.functions import quality as Y
 from lectern.functions import scan_image as I
+from lectern.functions import text as T
+from lectern.session import shared_folder
 from lectern.sources import scans
 
 TEXT = "the cat and the dog were in the house when it was not so late and there they had some of the milk with us. " * 40
@@ -27,6 +34,22 @@ def test_turned_and_double_pages(spark):
     assert all(got["two", t]["text"] == f"{a.strip()}\n\n{b.strip()}" and got["two", t]["passes"] == 2 for t in (0, 90, 180, 270))
 
 
+def test_quality_in_python_is_that_of_spark(spark):
+    rng = random.Random(5)
+    texts = ["", " \n", "the end.", "— it’s “so” ñandú åäö", *("".join(rng.choice("theaioun  \n\t.,'-’éàZ9\ufffd\x00") for _ in range(rng.randrange(60))) for _ in range(300))]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", Y.ocr_quality(F.col("t")).alias("q"), T.cleaned(F.col("t")).alias("c"))
+    assert all((Y.quality_of(r["t"]), T.cleaned_text(r["t"])) == (r["q"], r["c"]) for r in d.collect())
+
+
+def test_images_stay_in_their_tasks(spark):
+    """What lies in the shared folder afterwards is text: less than one of the four images."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    assert len(read_all(spark, [("p", n, image(TEXT[:1500], turn=90 * n)) for n in range(4)])) == 4
+    assert 0 < size() - before < len(image(TEXT[:1500]))
+
+
 def test_blank_and_broken_pages(spark):
     got = read_all(spark, [("a", 1, image("")), ("a", 2, b"no image"), ("a", 3, None), ("b", 1, image(TEXT[:1500])), ("b", 1, image(TEXT[:1500]))])
     assert (got["a", 1]["text"], got["a", 1]["passes"], got["a", 1]["error"]) == ("", 0, None)
