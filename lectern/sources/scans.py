@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scan_image as I
-from ..functions.quality import quality_of
+from ..functions.quality import odd_share, quality_of
 from ..functions.text import cleaned_text
 from ..session import shared_folder, ship
 
@@ -33,7 +33,10 @@ Osd = Callable[[bytes], "int | None"]
 
 
 def arbitrated(img, reader: Reader, osd: Osd | None = None, accept: float = ACCEPT) -> tuple[str, int, str | None]:
-    """(text, degrees, first error) of a part's best rotation; ties go to the one tried first."""
+    """(text, degrees, first error) of a part's best rotation; ties go to the one tried first.
+
+    Characters that no text has count against a reading: prose in words nobody knows is still better than what a turned page reads like.
+    """
     sure = osd(I.write_pgm(img)) if osd else None
     best, degrees, most, error = "", 0, -2.0, None
     for turn in (I.candidates(img) if sure is None else [int(sure)])[:MOST_CANDIDATES]:
@@ -42,7 +45,7 @@ def arbitrated(img, reader: Reader, osd: Osd | None = None, accept: float = ACCE
         except Exception as e:  # the other rotations and parts go on
             error = error or f"{type(e).__name__}: {e}"
             continue
-        if text and (score := quality_of(text)) > most:
+        if text and (score := quality_of(text) - odd_share(text)) > most:
             best, degrees, most = text, turn, score
         if most >= accept:
             break

@@ -34,11 +34,19 @@ def test_turned_and_double_pages(spark):
     assert all(got["two", t]["text"] == f"{a.strip()}\n\n{b.strip()}" and got["two", t]["passes"] == 2 for t in (0, 90, 180, 270))
 
 
+def test_words_nobody_knows_still_win_over_a_turned_reading(spark):
+    """Readings of a quality of 0 either way."""
+    a, b = ("nréê éen" * 200)[:1500], ("u oueuxou oueuxou" * 100)[:1500]
+    got = read_all(spark, [("two", t, image(a, b, turn=t)) for t in (0, 90, 180, 270)])
+    assert {r["text"] for r in got.values()} == {f"{a}\n\n{b}".strip()} and {r["passes"] for r in got.values()} == {2}
+
+
 def test_quality_in_python_is_that_of_spark(spark):
     rng = random.Random(5)
     texts = ["", " \n", "the end.", "— it’s “so” ñandú åäö", *("".join(rng.choice("theaioun  \n\t.,'-’éàZ9\ufffd\x00") for _ in range(rng.randrange(60))) for _ in range(300))]
     d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", Y.ocr_quality(F.col("t")).alias("q"), T.cleaned(F.col("t")).alias("c"))
     assert all((Y.quality_of(r["t"]), T.cleaned_text(r["t"])) == (r["q"], r["c"]) for r in d.collect())
+    assert Y.odd_share("") == Y.odd_share("né 漢\n") == 0 and Y.odd_share("a\ufffd\x00b") == 0.5
 
 
 def test_images_stay_in_their_tasks(spark):
