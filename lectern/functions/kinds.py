@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,15 @@ DUE = r"(?i)\bdue[:\s]"
 HANDBOOK = r"(?i)\b(handbook|encyclopedia|dictionary|manual|companion)\b"
 APPENDIX = LINE + r"appendix\b"
 
+#: Substrings of the lower-case text without which a pattern has no match, looked for first: a pattern that ignores case tries all its
+#: branches at each place.  Patterns that begin with a line are quick enough.
+NEEDS = {
+    ARXIV: ("arxiv",), DOI: ("doi:", "doi.org"), DUE: ("due",), ISBN: ("isbn",), FIGURE: ("figure",), CITATION: ("[",), TOC_LINE: ("..", "·"),
+    PUBLISHER: ("all rights reserved", "published by", "isbn", "library of congress", "printed in ", "copyright ", "©"),
+    COURSE: ("lecture", "syllabus", "homework", "problem set", "instructor", "office hours", "semester", "midterm", "final exam"),
+    HANDBOOK: ("handbook", "encyclopedia", "dictionary", "manual", "companion"),
+}
+
 ABSTRACT_ENDS = (
     LINE + r"(introduction|1[\s.]+introduction|i\.?\s+introduction|keywords?|index terms|acm reference format|ccs concepts|"
     r"references|related work|background|1[\s.]+(related|preliminaries)|acknowledge?ments?|resumen|résumé)\b"
@@ -65,25 +76,28 @@ def scores(text: Column, ocr_pages: Column, n_pages: Column, cuts: Cuts = Cuts()
     head, tail = F.left(text, F.lit(cuts.head)), F.right(text, F.lit(cuts.tail))
     t = text if cuts.long is None else F.when(size > cuts.long, F.concat(head, F.lit("\n"), tail)).otherwise(head)
     full = text if cuts.full is None else F.left(text, F.lit(cuts.full))
-    n = lambda c, p: F.regexp_count(c, F.lit(p))
+    low = {id(c): F.lower(c) for c in (t, full)}
+    may = lambda c, p: reduce(or_, (low[id(c)].contains(x) for x in NEEDS[p])) if p in NEEDS else c.isNotNull()
+    n = lambda c, p: F.when(may(c, p), F.regexp_count(c, F.lit(p))).otherwise(F.when(c.isNotNull(), 0))
+    has = lambda c, p: may(c, p) & c.rlike(p)
     w = lambda cond, v: F.when(cond, F.lit(float(v))).otherwise(0.0)
     upto = lambda most, x: F.least(F.lit(float(most)), x)
     per_page = F.when(n_pages > 0, size / n_pages)
     scanned = F.when(n_pages > 0, ocr_pages / n_pages).otherwise(0.0) > 0.6
     cites, chapters, figures, course, handbook = n(t, CITATION), n(full, CHAPTERS), n(t, FIGURE), n(t, COURSE), n(t, HANDBOOK)
     paper = (
-        w(t.rlike(ABSTRACT), 4) + w(t.rlike(ARXIV), 3) + w(t.rlike(REFERENCES), 2) + F.when(cites >= 4, upto(3, cites / 4)).otherwise(0.0)
-        + w(t.rlike(DOI), 1.5) + w(t.rlike(KEYWORDS), 1)
+        w(has(t, ABSTRACT), 4) + w(has(t, ARXIV), 3) + w(has(t, REFERENCES), 2) + F.when(cites >= 4, upto(3, cites / 4)).otherwise(0.0)
+        + w(has(t, DOI), 1.5) + w(has(t, KEYWORDS), 1)
     )
     book = (
-        F.when(chapters >= 2, upto(4, 1.5 + chapters / 3)).when(t.rlike(CHAPTER), 3.0).otherwise(0.0)
-        + w(n(full, TOC_LINE) >= 6, 2) + w(n(full, FRONT) >= 2, 1.5) + w(full.rlike(ISBN), 2) + w(t.rlike(PUBLISHER), 2)
-        + w(t.rlike(CONTENTS), 1) + F.when(n_pages >= 120, 3.0).when(n_pages >= 60, 1.5).otherwise(0.0)
-        + w(scanned & (per_page >= 600), 1) + w(t.rlike(APPENDIX), 0.5)
+        F.when(chapters >= 2, upto(4, 1.5 + chapters / 3)).when(has(t, CHAPTER), 3.0).otherwise(0.0)
+        + w(n(full, TOC_LINE) >= 6, 2) + w(n(full, FRONT) >= 2, 1.5) + w(has(full, ISBN), 2) + w(has(t, PUBLISHER), 2)
+        + w(has(t, CONTENTS), 1) + F.when(n_pages >= 120, 3.0).when(n_pages >= 60, 1.5).otherwise(0.0)
+        + w(scanned & (per_page >= 600), 1) + w(has(t, APPENDIX), 0.5)
     )
     gallery = w(scanned & (per_page < 600), 5) + F.when((figures >= 6) & (per_page < 1200), upto(3, figures / 6)).otherwise(0.0)
-    courses = F.when(course >= 3, upto(4, course.cast("double"))).otherwise(0.0) + w(t.rlike(DUE), 1) + w(t.rlike(CONTENTS), 0.2)
-    reference = F.when(handbook >= 1, upto(3, handbook.cast("double"))).otherwise(0.0) + w(t.rlike(APPENDIX), 1) + w(t.rlike(REFERENCES), 0.5)
+    courses = F.when(course >= 3, upto(4, course.cast("double"))).otherwise(0.0) + w(has(t, DUE), 1) + w(has(t, CONTENTS), 0.2)
+    reference = F.when(handbook >= 1, upto(3, handbook.cast("double"))).otherwise(0.0) + w(has(t, APPENDIX), 1) + w(has(t, REFERENCES), 0.5)
     return F.struct(*(F.round(x, 6).alias(k) for k, x in zip(KINDS, (paper, book, gallery, courses, reference))))
 
 

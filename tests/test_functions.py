@@ -1,3 +1,7 @@
+import random
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +165,16 @@ def test_rhythm_and_mass():
     assert I.rhythm(rows) == pytest.approx(I.rhythm(rows[55:345]))  # white margins do not count
     assert I.asymmetry(page) > 0 > I.asymmetry(I.rotated(page, 180)) and I.asymmetry(np.full((50, 50), 255, dtype=np.uint8)) == 0
     assert I.candidates(page) == [0, 180] and I.candidates(I.rotated(page, 180)) == [180, 0]
+
+
+def test_what_patterns_need_is_in_all_their_matches(spark):
+    """Every pattern with a substring looked for first finds what it found, in any case and with odd letters."""
+    bits = ["arXiv:", "DOI:", "https://doi.org/1", "Due:", "due ", "ISBN 9781234567890", "isbn: 978", "FIGURE 3", "[12]", "[x]", "A thing .... 3\n", "Ab·· 4\n", "Lecture", "Final Exam",
+            "problem set", "HandBook", "companions", "All Rights Reserved", "Printed in x", "copyright ", "Copyright ©", "© 2010", "library of congress", "published by", "K\u212a", "\u0130", "\n", " "]
+    rng = random.Random(7)
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(6))),) for _ in range(400)]
+    d = spark.createDataFrame(rows, "t string").withColumn("low", F.lower("t"))
+    assert set(K.NEEDS) >= {K.PUBLISHER, K.COURSE, K.HANDBOOK}  # the slow ones
+    for p, needs in K.NEEDS.items():
+        got = d.select(F.col("t").rlike(p).alias("hit"), reduce(or_, (F.col("low").contains(x) for x in needs)).alias("may")).where("hit").collect()
+        assert got and all(r["may"] for r in got), p
