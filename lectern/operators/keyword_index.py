@@ -1,8 +1,9 @@
 """A keyword index that follows its table: immutable segments, tombstones and a versioned manifest.
 
 A segment holds the postings of some chunks, in ranges of (term, chunk_id), and a row for each chunk (digest of its text, tokens).
-Texts are tokenised once, when their segment is made; its parts are made from the kept tokens.  A chunk that is edited or deleted gets a
-tombstone in its segment, and its new text goes to a new segment.  The manifest lists segments with their counts, so
+Tokens are not kept: a chunk's postings are made in its own row, so that a segment takes one shuffle, and texts are tokenised for the
+chunks, for the bounds of the ranges and for the postings.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
+text goes to a new segment.  The manifest lists segments with their counts, so
 statistics of all living chunks need no scan, and every change is one commit: readers stay on the version they
 opened, and of two writers one is refused.  Merging rewrites postings, without texts, when segments are many or half dead.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.versions import VersionLog
-from .search import INDEX_ROW_GROUP, tokens
+from .search import INDEX_ROW_GROUP, grouped, tokens
 
 #: More segments than this are merged, the smallest first; so is a segment with a larger share of dead chunks than DEAD.
 MOST_SEGMENTS, DEAD = 8, 0.3
@@ -76,18 +77,9 @@ class KeywordIndex:
         return {"name": name, "n_chunks": n, "n_tokens": total, "dead_chunks": 0, "dead_tokens": 0, "tombstones": []}
 
     def _new_segment(self, chunks: DataFrame) -> dict | None:
-        name = uuid.uuid4().hex
-        kept = f"{self.root}/tokens-{name}"
         t = chunks.select(F.col("id").cast("long").alias("chunk_id"), F.xxhash64("text").alias("digest"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
-        t.write.parquet(kept)
-        t = self.spark.read.parquet(kept).withColumn("n_tokens", F.size("t"))
-        e = t.select("chunk_id", "n_tokens", F.posexplode("t").alias("pos", "term"))
-        postings = e.groupBy("term", "chunk_id").agg(
-            F.count("*").alias("tf"), F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list("pos")).alias("positions")
-        )
-        out = self._write(name, t, postings)
-        self.log.files.delete(kept)
-        return out
+        t = t.withColumn("n_tokens", F.size("t"))
+        return self._write(uuid.uuid4().hex, t, grouped(t))
 
     def _bury(self, segments: list[dict], ids: DataFrame) -> list[dict]:
         """The segments with tombstones for the living chunks among ``ids``."""

@@ -29,13 +29,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
+def grouped(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, n_tokens, positions) from (chunk_id, t, n_tokens), ``t`` being a chunk's tokens.
+
+    All tokens of a chunk are in its row, so they are sorted and cut where the term changes there: nothing is shuffled.
+    """
+    d = chunks.where(F.size("t") > 0).withColumn("s", F.sort_array(F.transform("t", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))))
+    first = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
+    d = d.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("s") - 1), first))
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("s"))
+    own = F.transform("starts", lambda at, k: F.struct(F.get("s", at)["term"].alias("term"), F.slice("s", at + 1, end(k) - at)["pos"].alias("positions")))
+    d = d.select("chunk_id", "n_tokens", F.explode(own).alias("g"))
+    return d.select("g.term", "chunk_id", F.size("g.positions").cast("long").alias("tf"), "n_tokens", "g.positions")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, n_tokens, positions) from (id, text)."""
     t = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("text")).alias("t"))
-    t = t.select("chunk_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "term"))
-    return t.groupBy("term", "chunk_id").agg(
-        F.count("*").alias("tf"), F.max("n").alias("n_tokens"), F.sort_array(F.collect_list("pos")).alias("positions")
-    )
+    return grouped(t.withColumn("n_tokens", F.size("t")))
 
 
 def statistics(chunks: DataFrame) -> DataFrame:

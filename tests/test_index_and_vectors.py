@@ -51,6 +51,15 @@ def test_index_follows_its_table(spark, tmp_path):
     assert index.merge(most=1) == index.manifest()[0]  # nothing to merge
 
 
+def test_postings_take_no_shuffle(spark):
+    """A chunk's postings come from its own row: terms in order, their places in order, once each; texts without a token give none."""
+    rows = [(1, "b a B c a b"), (2, ""), (3, None), (4, " . "), (5, "x")]
+    d = S.postings(table(spark, rows))
+    got = [(r["chunk_id"], r["term"], r["tf"], r["n_tokens"], r["positions"]) for r in d.collect()]
+    assert sorted(got) == [(1, "a", 2, 6, [1, 4]), (1, "b", 3, 6, [0, 2, 5]), (1, "c", 1, 6, [3]), (5, "x", 1, 1, [0])]
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stamp_and_emptied_index(spark, tmp_path):
     index = KeywordIndex(spark, str(tmp_path))
     assert index.refresh(table(spark, ROWS), [["a", 1, 2]]) == 1
