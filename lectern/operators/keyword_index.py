@@ -1,8 +1,8 @@
 """A keyword index that follows its table: immutable segments, tombstones and a versioned manifest.
 
-A segment holds the postings of some chunks, in ranges of (term, chunk_id), and a row for each chunk (digest of its text, tokens).
-Tokens are not kept: a chunk's postings are made in its own row, so that a segment takes one shuffle, and texts are tokenised for the
-chunks, for the bounds of the ranges and for the postings.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
+A segment holds the postings of some chunks and a row for each chunk (digest of its text, number of tokens).
+Nothing is shuffled for it: each task makes the postings of its own chunks and writes them in order of (term, chunk_id), so every file is
+an index of some chunks, and a word is a few row groups of each.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
 text goes to a new segment.  The manifest lists segments with their counts, so
 statistics of all living chunks need no scan, and every change is one commit: readers stay on the version they
 opened, and of two writers one is refused.  Merging rewrites postings, without texts, when segments are many or half dead.
@@ -21,6 +21,8 @@ from .search import INDEX_ROW_GROUP, grouped, tokens
 
 #: More segments than this are merged, the smallest first; so is a segment with a larger share of dead chunks than DEAD.
 MOST_SEGMENTS, DEAD = 8, 0.3
+#: Up to so many dead chunks of a segment are sent to all tasks (about 40 bytes each), so that its postings stay where they are; more are joined by a shuffle.
+DEAD_SENT = 2_000_000
 CHUNKS = "chunk_id long, digest long, n_tokens int"
 POSTINGS = "term string, chunk_id long, tf long, n_tokens int, positions array<int>"
 TOMBSTONES = "segment string, chunk_id long"
@@ -43,13 +45,14 @@ class KeywordIndex:
 
     def _living(self, segments: list[dict], part: str) -> DataFrame:
         """Rows of the segments that no tombstone names; conditions on ``term`` reach the files."""
-        clean = [self._segment(s["name"], part) for s in segments if not s["tombstones"]]
-        hurt = [s for s in segments if s["tombstones"]]
-        if hurt:
-            rows = reduce(DataFrame.unionByName, [self._segment(s["name"], part) for s in hurt])
-            paths = sorted({t for s in hurt for t in s["tombstones"]})
-            dead = self.spark.read.schema(TOMBSTONES).parquet(*(f"{self.root}/tombstones/{t}" for t in paths))
-            clean.append(rows.join(dead, ["segment", "chunk_id"], "left_anti").select(*rows.columns))
+        clean = []
+        for s in segments:
+            rows = self._segment(s["name"], part)
+            if s["tombstones"]:
+                dead = self.spark.read.schema(TOMBSTONES).parquet(*(f"{self.root}/tombstones/{t}" for t in s["tombstones"]))
+                dead = dead.where(F.col("segment") == s["name"]).select("chunk_id")
+                rows = rows.join(F.broadcast(dead) if s["dead_chunks"] <= DEAD_SENT else dead, "chunk_id", "left_anti").select(*rows.columns)
+            clean.append(rows)
         if not clean:
             return self.spark.createDataFrame([], f"{CHUNKS if part == 'chunks' else POSTINGS}, segment string")
         return reduce(DataFrame.unionByName, clean)
@@ -71,9 +74,8 @@ class KeywordIndex:
         if not n:
             self.log.files.delete(at)
             return None
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = postings.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-        ordered.select("term", "chunk_id", "tf", "n_tokens", "positions").write.option("parquet.block.size", INDEX_ROW_GROUP).parquet(f"{at}/postings")
+        ordered = postings.select("term", "chunk_id", "tf", "n_tokens", "positions").sortWithinPartitions("term", "chunk_id")
+        ordered.write.option("parquet.block.size", INDEX_ROW_GROUP).option("compression", "zstd").parquet(f"{at}/postings")
         return {"name": name, "n_chunks": n, "n_tokens": total, "dead_chunks": 0, "dead_tokens": 0, "tombstones": []}
 
     def _new_segment(self, chunks: DataFrame) -> dict | None:

@@ -1,7 +1,7 @@
 """Keyword search (BM25 over postings) and vector search.
 
-The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index, kept by ``keyword_index`` in ranges of
-(term, chunk_id): a word or a prefix is a range of files and row groups, and a word of half the corpus spans many files.
+The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index, kept by ``keyword_index`` in files of some chunks each,
+in order of (term, chunk_id): a word or a prefix is a few row groups of each file, and a word of half the corpus is no single task.
 A row carries its chunk's length, so a query reads the rows of its terms and one row of statistics, and no text.
 """
 
@@ -23,6 +23,8 @@ SNIPPET_TOKENS = 12
 NEAR_DISTANCE = 10
 #: Bytes of a row group: small ones, so that a term's range is cut close.
 INDEX_ROW_GROUP = 4 << 20
+#: Chunks whose tokens are sorted at once in a Python worker.
+GROUPED_CHUNKS = 512
 
 
 def tokens(text: Column) -> Column:
@@ -32,15 +34,31 @@ def tokens(text: Column) -> Column:
 def grouped(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, n_tokens, positions) from (chunk_id, t, n_tokens), ``t`` being a chunk's tokens.
 
-    All tokens of a chunk are in its row, so they are sorted and cut where the term changes there: nothing is shuffled.
+    All tokens of a chunk are in its row, so they are sorted by chunk and term and cut where either changes, in Arrow batches: nothing is shuffled.
     """
-    d = chunks.where(F.size("t") > 0).withColumn("s", F.sort_array(F.transform("t", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))))
-    first = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
-    d = d.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("s") - 1), first))
-    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("s"))
-    own = F.transform("starts", lambda at, k: F.struct(F.get("s", at)["term"].alias("term"), F.slice("s", at + 1, end(k) - at)["pos"].alias("positions")))
-    d = d.select("chunk_id", "n_tokens", F.explode(own).alias("g"))
-    return d.select("g.term", "chunk_id", F.size("g.positions").cast("long").alias("tf"), "n_tokens", "g.positions")
+    size = GROUPED_CHUNKS
+
+    def batches(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in (r.slice(k, size) for r in rows for k in range(0, r.num_rows, size)):
+            t = b.column("t")
+            lengths = t.value_lengths().to_numpy()
+            words = t.flatten().dictionary_encode()
+            chunk, code = np.repeat(np.arange(len(t)), lengths), words.indices.to_numpy()
+            place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key = chunk * len(words.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.diff(key[order], prepend=-1))
+            first, ends = order[at], np.append(at, len(order))
+            own = [b.column(c).take(pa.array(chunk[first])) for c in ("chunk_id", "n_tokens")]
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+            columns = [words.dictionary.take(pa.array(code[first])), own[0], pa.array(np.diff(ends), pa.int64()), own[1], positions]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "n_tokens", "positions"])
+
+    d = chunks.where(F.size("t") > 0).select(F.col("chunk_id").cast("long"), F.col("n_tokens").cast("int"), "t")
+    return d.mapInArrow(batches, "term string, chunk_id long, tf long, n_tokens int, positions array<int>")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -60,6 +60,40 @@ def test_postings_take_no_shuffle(spark):
     assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+def test_segments_stay_with_their_chunks(spark, tmp_path, monkeypatch):
+    """No posting moves to another task when a segment is written or merged: a file has all of a chunk's postings, in order."""
+
+    def files():
+        at = f"{tmp_path}/i/segments/{index.manifest()[1]['segments'][0]['name']}/postings"
+        d = spark.read.parquet(at).withColumn("file", F.input_file_name()).withColumn("n", F.monotonically_increasing_id()).orderBy("file", "n")
+        out = {}
+        for r in d.collect():
+            out.setdefault(r["file"], []).append((r["term"], r["chunk_id"]))
+        return list(out.values())
+
+    index = KeywordIndex(spark, str(tmp_path / "i"))
+    index.refresh(table(spark, ROWS).repartition(3))
+    assert len(files()) == 3 and all(f == sorted(f) for f in files())
+    assert sum(len({c for _, c in f}) for f in files()) == len(ROWS) - 2  # two chunks have no token
+    gone = [1, 2, 3]
+    index.apply(deletes=spark.createDataFrame([(i,) for i in gone], "id long"))
+    want = rebuilt(spark, [r for r in ROWS if r[0] not in gone])
+    assert ranking(*index.read()) == want
+    monkeypatch.setattr("lectern.operators.keyword_index.DEAD_SENT", 0)  # too many to be sent: joined instead
+    assert ranking(*index.read()) == want
+    monkeypatch.undo()
+    index.merge(most=1, dead=0)
+    assert ranking(*index.read()) == want and all(f == sorted(f) for f in files())
+    assert sum(len({c for _, c in f}) for f in files()) == len(ROWS) - 2 - len(gone)
+
+
+def test_many_chunks_are_grouped_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUPED_CHUNKS", 3)
+    rows = [(i, f"w{i % 4} x w{i % 4} ü") for i in range(40)]
+    got = sorted((r["chunk_id"], r["term"], r["tf"], r["n_tokens"], r["positions"]) for r in S.postings(table(spark, rows).coalesce(1)).collect())
+    assert got == sorted(g for i, _ in rows for g in ((i, f"w{i % 4}", 2, 4, [0, 2]), (i, "x", 1, 4, [1]), (i, "ü", 1, 4, [3])))
+
+
 def test_stamp_and_emptied_index(spark, tmp_path):
     index = KeywordIndex(spark, str(tmp_path))
     assert index.refresh(table(spark, ROWS), [["a", 1, 2]]) == 1
