@@ -2,8 +2,9 @@
 
 A merge can only join two symbols that stand side by side inside some vocabulary token.  So a pair of
 neighbouring bytes that occurs inside no token is a certain cut: the fragments on its two sides can be
-encoded on their own and their ids concatenated: merging costs by the fragment, however long the word,
-and each Python worker keeps a bounded table of the words it has put together.
+encoded on their own and their ids concatenated: merging costs by the fragment, however long the word.
+No word, composition or lower-casing reaches over white space either, so a text is split there first, and each
+Python worker keeps bounded tables of the runs between blanks and of the words it has put together.
 
 The vocabulary is a tokenizer file whose path is a parameter: byte-level BPE with word ends, NFC and
 lower case, special tokens matched in the raw text, and no decoder (tokens are joined by one space).
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import hold, unwrapped, wrapped
 
 END = "</w>"
-#: Entries of a worker's tables, of words and of their ids (about 200 bytes each); a full table starts anew.
-TABLE_SIZE = 400_000
+#: Entries of a worker's tables, of runs between blanks and of words (about 200 bytes each), in two halves.
+TABLE_SIZE = 600_000
 #: Longer words are encoded each time rather than kept.
 KEPT_LENGTH = 64
 #: Fragments of more symbols are merged with a heap.
@@ -54,6 +55,8 @@ SYMBOL = "!"
 #: Capitals that the library lower-cases and this Python (Unicode 15.1) does not know.
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: What Python's ``split`` takes for white space and the library does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
 
 
@@ -71,16 +74,22 @@ def _byte_symbols() -> list[str]:
 
 
 class _Table(dict):
-    """A bounded cache: missing keys are computed and, if short, kept."""
+    """A bounded cache: missing keys are computed and, if short, kept.
+
+    When it is half full, its entries become the older half and those that were the older half go, unless they are used again.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= KEPT_LENGTH:
-            if len(self) >= TABLE_SIZE:
+            if len(self) >= TABLE_SIZE // 2:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -101,11 +110,11 @@ class Codec:
         self.token = {str(i): t for t, i in (self.vocab | self.special).items()}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.blanks = regex.compile(r"\s+")
         self.later = re.compile(f"[{LATER}]")
         self.symbols = _byte_symbols()
         self.inside = {p for t in self.vocab for p in self._pairs(self._split(t))}
-        self.words = _Table(self._encode_word)
-        self.spoken = _Table(lambda ids: " ".join(map(self.token.__getitem__, ids.split(" "))))
+        self.words, self.runs = _Table(self._encode_word), _Table(self._encode_run)
 
     @staticmethod
     def _split(token: str) -> list[str]:
@@ -172,18 +181,31 @@ class Codec:
             return self.word.findall(text)
         return [text[a:b] for a, b in (m.span() for m in self.word.finditer(self.later.sub(SYMBOL, text)))]
 
+    def _encode_run(self, run: str) -> str:
+        # The library lower-cases character by character: a final sigma is not a special case.
+        low = run.lower() if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
+        if max(low) < LATER[0]:
+            if low.isalpha():
+                return self.words[low]
+        elif CAPITAL.search(low):
+            low = low.translate(CAPITALS)
+        return " ".join(map(self.words.__getitem__, self.words_in(low)))
+
+    def runs_in(self, text: str) -> list[str]:
+        """The stretches of a text between white space."""
+        return [r for r in self.blanks.split(text) if r] if SEPARATORS.search(text) else text.split()
+
     def parts(self, text: str | None) -> list[str]:
-        """Ids of a whole text, as decimal text with blanks between, one entry for each word or special token."""
+        """Ids of a whole text, as decimal text with blanks between, one entry for each run between blanks or special token."""
+        text = text or ""
+        if not any(s in text for s in self.special):
+            return list(map(self.runs.__getitem__, self.runs_in(text)))
         out: list[str] = []
-        for part in self.cut_special.split(text or "") if self.cut_special else [text or ""]:
+        for part in self.cut_special.split(text):
             if part in self.special:
                 out.append(str(self.special[part]))
-            elif part:
-                # The library lower-cases character by character: a final sigma is not a special case.
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                if CAPITAL.search(low):
-                    low = low.translate(CAPITALS)
-                out += map(self.words.__getitem__, self.words_in(low))
+            else:
+                out += map(self.runs.__getitem__, self.runs_in(part))
         return out
 
     def encode(self, text: str | None) -> list[str]:
@@ -193,7 +215,7 @@ class Codec:
 
     def decode(self, ids: list[str]) -> str:
         """The tokens of the ids, special ones included, joined by one space; entries may hold several ids, as ``parts`` gives them."""
-        return " ".join(map(self.spoken.__getitem__, ids))
+        return " ".join(map(self.token.__getitem__, " ".join(ids).split(" "))) if ids else ""
 
 
 @lru_cache(maxsize=4)

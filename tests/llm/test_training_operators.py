@@ -275,6 +275,23 @@ def test_cuts_are_certain():
         assert whole == [i for a, b in zip(at, at[1:]) for i in c._encode_fragment(s[a:b])]
 
 
+def test_texts_are_split_into_runs_that_a_bounded_table_keeps(monkeypatch):
+    """White space as the library has it, words looked up by run, and no more entries than the bound: what is used again stays."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    c = bpe.Codec(bpe.default_vocabulary())
+    for s in ("It's the\x1cone\u2003two\x85É́\u3000ΑΣ", "a<|endoftext|> b\x1f<|startoftext|>", " \n", "the the. the"):
+        assert list(map(int, c.encode(s))) == t.encode(s, add_special_tokens=False).ids and len(c.parts("the the. the")) == 3
+        assert c.decode(c.parts(s)) == t.decode(t.encode(s, add_special_tokens=False).ids, skip_special_tokens=False)
+    monkeypatch.setattr(bpe, "TABLE_SIZE", 8)
+    made = []
+    table = bpe._Table(lambda k: made.append(k) or k.upper())
+    for i in range(50):
+        assert table["often"] == "OFTEN" and table[f"w{i}"] == f"W{i}" and len(table) + len(table.older) <= 8
+    assert made.count("often") == 1
+
+
 # ---------------------------------------------------------------- 4
 
 
