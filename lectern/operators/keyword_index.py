@@ -1,8 +1,9 @@
 """A keyword index that follows its table: immutable segments, tombstones and a versioned manifest.
 
 A segment holds the postings of some chunks and a row for each chunk (digest of its text, number of tokens).
-Nothing is shuffled for it: each task makes the postings of its own chunks and writes them in order of (term, chunk_id), so every file is
-an index of some chunks, and a word is a few row groups of each.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
+Nothing is shuffled for it: each task makes the postings of its own chunks and writes them in runs in order of (term, chunk_id), so every file is
+an index of some chunks, and a word is a few pages of each run.  A run is sorted in a Python worker's memory and a file holds as many as its task
+needs, so building spills nothing, whatever a task's size.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
 text goes to a new segment.  The manifest lists segments with their counts, so
 statistics of all living chunks need no scan, and every change is one commit: readers stay on the version they
 opened, and of two writers one is refused.  Merging rewrites postings, without texts, when segments are many or half dead.
@@ -17,14 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.versions import VersionLog
-from .search import INDEX_ROW_GROUP, grouped, tokens
+from .search import INDEX_ROW_GROUP, POSTINGS, grouped, tokens
 
 #: More segments than this are merged, the smallest first; so is a segment with a larger share of dead chunks than DEAD.
 MOST_SEGMENTS, DEAD = 8, 0.3
 #: Up to so many dead chunks of a segment are sent to all tasks (about 40 bytes each), so that its postings stay where they are; more are joined by a shuffle.
 DEAD_SENT = 2_000_000
 CHUNKS = "chunk_id long, digest long, n_tokens int"
-POSTINGS = "term string, chunk_id long, tf long, n_tokens int, positions array<int>"
 TOMBSTONES = "segment string, chunk_id long"
 
 
@@ -68,14 +68,14 @@ class KeywordIndex:
     # ------------------------------------------------------------ writing
 
     def _write(self, name: str, chunks: DataFrame, postings: DataFrame) -> dict | None:
+        """``postings``: in runs in order."""
         at = f"{self.root}/segments/{name}"
         chunks.select("chunk_id", "digest", "n_tokens").write.parquet(f"{at}/chunks")
         n, total = self._segment(name, "chunks").agg(F.count("*"), F.sum("n_tokens")).first()
         if not n:
             self.log.files.delete(at)
             return None
-        ordered = postings.select("term", "chunk_id", "tf", "n_tokens", "positions").sortWithinPartitions("term", "chunk_id")
-        ordered.write.option("parquet.block.size", INDEX_ROW_GROUP).option("compression", "zstd").parquet(f"{at}/postings")
+        postings.write.option("parquet.block.size", INDEX_ROW_GROUP).option("compression", "zstd").parquet(f"{at}/postings")
         return {"name": name, "n_chunks": n, "n_tokens": total, "dead_chunks": 0, "dead_tokens": 0, "tombstones": []}
 
     def _new_segment(self, chunks: DataFrame) -> dict | None:
@@ -140,7 +140,7 @@ class KeywordIndex:
         old += [s for s in by_size if s not in old and s["dead_chunks"] > dead * s["n_chunks"]]
         if not old:
             return version
-        new = self._write(uuid.uuid4().hex, self._living(old, "chunks"), self._living(old, "postings"))
+        new = self._write(uuid.uuid4().hex, self._living(old, "chunks"), self._living(old, "postings").drop("segment").sortWithinPartitions("term", "chunk_id"))
         return self.log.commit(version, m | {"segments": [s for s in m["segments"] if s not in old] + ([new] if new else [])})
 
     def vacuum(self, keep: int = 2) -> list[str]:

@@ -1,7 +1,7 @@
 """Keyword search (BM25 over postings) and vector search.
 
-The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index, kept by ``keyword_index`` in files of some chunks each,
-in order of (term, chunk_id): a word or a prefix is a few row groups of each file, and a word of half the corpus is no single task.
+The postings table (term, chunk_id, tf, n_tokens, positions) is an inverted index, kept by ``keyword_index`` in files of some chunks each, in
+runs in order of (term, chunk_id): a word or a prefix is a few pages of each run, and a word of half the corpus is no single task.
 A row carries its chunk's length, so a query reads the rows of its terms and one row of statistics, and no text.
 """
 
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SNIPPET_TOKENS = 12
@@ -23,42 +25,74 @@ SNIPPET_TOKENS = 12
 NEAR_DISTANCE = 10
 #: Bytes of a row group: small ones, so that a term's range is cut close.
 INDEX_ROW_GROUP = 4 << 20
-#: Chunks whose tokens are sorted at once in a Python worker.
-GROUPED_CHUNKS = 512
+#: Chunks that are taken up at once in a Python worker, and postings that it hands back at once.
+GROUPED_CHUNKS, SENT_POSTINGS = 512, 50_000
+#: Postings are put in order in runs of about so many tokens, in a Python worker's memory: a task's size decides how many runs a file has, and nothing spills.
+RUN_TOKENS = 1 << 21
+POSTINGS = "term string, chunk_id long, tf long, n_tokens int, positions array<int>"
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
+def _gathered(batches, places: str, most: int):
+    """Arrow batches put together until they have ``most`` elements in the arrays of column ``places``."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b.column(places).flatten())
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _ranks(words):
+    """Each entry's place in the order of a dictionary-encoded array's dictionary."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    out = np.empty(len(words.dictionary), np.int64)
+    out[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(out))
+    return out
+
+
 def grouped(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, n_tokens, positions) from (chunk_id, t, n_tokens), ``t`` being a chunk's tokens.
 
-    All tokens of a chunk are in its row, so they are sorted by chunk and term and cut where either changes, in Arrow batches: nothing is shuffled.
+    All tokens of a chunk are in its row, so they are sorted by term and chunk and cut where either changes, in Arrow batches: nothing is shuffled.
+    Rows come in runs in order of (term, chunk_id).
     """
-    size = GROUPED_CHUNKS
+    ship(chunks.sparkSession)
+    size, most, sent = GROUPED_CHUNKS, RUN_TOKENS, SENT_POSTINGS
 
     def batches(rows):
         import numpy as np
         import pyarrow as pa
 
-        for b in (r.slice(k, size) for r in rows for k in range(0, r.num_rows, size)):
+        for b in _gathered((r.slice(k, size) for r in rows for k in range(0, r.num_rows, size)), "t", most):
             t = b.column("t")
             lengths = t.value_lengths().to_numpy()
             words = t.flatten().dictionary_encode()
-            chunk, code = np.repeat(np.arange(len(t)), lengths), words.indices.to_numpy()
-            place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            key = chunk * len(words.dictionary) + code
+            chunk, code = np.repeat(np.arange(len(t), dtype=np.int32), lengths), words.indices.to_numpy()
+            place = (np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            by_id = np.argsort(np.argsort(b.column("chunk_id").to_numpy(), kind="stable"))
+            key = _ranks(words)[code] * len(t) + by_id[chunk]
             order = np.argsort(key, kind="stable")
             at = np.flatnonzero(np.diff(key[order], prepend=-1))
             first, ends = order[at], np.append(at, len(order))
             own = [b.column(c).take(pa.array(chunk[first])) for c in ("chunk_id", "n_tokens")]
-            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order]))
             columns = [words.dictionary.take(pa.array(code[first])), own[0], pa.array(np.diff(ends), pa.int64()), own[1], positions]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "n_tokens", "positions"])
+            run = pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "n_tokens", "positions"])
+            yield from (run.slice(k, sent) for k in range(0, run.num_rows, sent))
 
     d = chunks.where(F.size("t") > 0).select(F.col("chunk_id").cast("long"), F.col("n_tokens").cast("int"), "t")
-    return d.mapInArrow(batches, "term string, chunk_id long, tf long, n_tokens int, positions array<int>")
+    return d.mapInArrow(batches, POSTINGS)
 
 
 def postings(chunks: DataFrame) -> DataFrame:

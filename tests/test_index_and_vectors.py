@@ -87,6 +87,48 @@ def test_segments_stay_with_their_chunks(spark, tmp_path, monkeypatch):
     assert sum(len({c for _, c in f}) for f in files()) == len(ROWS) - 2 - len(gone)
 
 
+@pytest.fixture
+def spilled(spark):
+    """Bytes that tasks have spilled so far, in a session where a sort spills after 500 rows."""
+    conf, sc = spark.sparkContext._jsc.sc().conf(), spark.sparkContext
+    name = "spark.shuffle.spill.numElementsForceSpillThreshold"
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, *none)
+        return sum(stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
+
+    conf.set(name, "500")
+    yield total
+    conf.remove(name)
+
+
+LONG = [(i, f"w{i % 7} x w{i % 7} y{i} z common end") for i in range(400)]
+
+
+def runs(spark, index, tmp_path):
+    """By file, the lengths of the stretches in which postings are in order."""
+    out = []
+    for s in index.manifest()[1]["segments"]:
+        for f in (tmp_path / "segments" / s["name"] / "postings").glob("*.parquet"):
+            rows = [(r["term"], r["chunk_id"]) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+            cuts = [0, *(k for k in range(1, len(rows)) if rows[k] < rows[k - 1]), len(rows)]
+            out.append([b - a for a, b in zip(cuts, cuts[1:])])
+    return out
+
+
+def test_building_spills_nothing(spark, tmp_path, monkeypatch, spilled):
+    """A task with many chunks writes its postings in ordered runs of a bounded size instead of sorting them all, which spilled."""
+    monkeypatch.setattr(S, "GROUPED_CHUNKS", 10)
+    monkeypatch.setattr(S, "RUN_TOKENS", 700)
+    index, before = KeywordIndex(spark, str(tmp_path)), spilled()
+    index.refresh(table(spark, LONG).coalesce(1))
+    assert spilled() == before
+    assert runs(spark, index, tmp_path) == [[600, 600, 600, 600]]
+    assert ranking(*index.read(), "w3 OR y77 OR end") == rebuilt(spark, LONG, "w3 OR y77 OR end")
+
+
 def test_many_chunks_are_grouped_in_slices(spark, monkeypatch):
     monkeypatch.setattr(S, "GROUPED_CHUNKS", 3)
     rows = [(i, f"w{i % 4} x w{i % 4} ü") for i in range(40)]
