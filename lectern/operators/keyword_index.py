@@ -3,7 +3,7 @@
 A segment holds the postings of some chunks and a row for each chunk (digest of its text, number of tokens).
 Nothing is shuffled for it: each task makes the postings of its own chunks and writes them in runs in order of (term, chunk_id), so every file is
 an index of some chunks, and a word is a few pages of each run.  A run is sorted in a Python worker's memory and a file holds as many as its task
-needs, so building spills nothing, whatever a task's size.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
+needs, so a task of any size spills nothing.  A chunk that is edited or deleted gets a tombstone in its segment, and its new
 text goes to a new segment.  The manifest lists segments with their counts, so
 statistics of all living chunks need no scan, and every change is one commit: readers stay on the version they
 opened, and of two writers one is refused.  Merging rewrites postings, without texts, when segments are many or half dead.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.versions import VersionLog
-from .search import INDEX_ROW_GROUP, POSTINGS, grouped, tokens
+from .search import INDEX_ROW_GROUP, POSTINGS, grouped, in_runs, tokens
 
 #: More segments than this are merged, the smallest first; so is a segment with a larger share of dead chunks than DEAD.
 MOST_SEGMENTS, DEAD = 8, 0.3
@@ -140,7 +140,7 @@ class KeywordIndex:
         old += [s for s in by_size if s not in old and s["dead_chunks"] > dead * s["n_chunks"]]
         if not old:
             return version
-        new = self._write(uuid.uuid4().hex, self._living(old, "chunks"), self._living(old, "postings").drop("segment").sortWithinPartitions("term", "chunk_id"))
+        new = self._write(uuid.uuid4().hex, self._living(old, "chunks"), in_runs(self._living(old, "postings")))
         return self.log.commit(version, m | {"segments": [s for s in m["segments"] if s not in old] + ([new] if new else [])})
 
     def vacuum(self, keep: int = 2) -> list[str]:

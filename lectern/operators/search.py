@@ -95,6 +95,23 @@ def grouped(chunks: DataFrame) -> DataFrame:
     return d.mapInArrow(batches, POSTINGS)
 
 
+def in_runs(postings: DataFrame) -> DataFrame:
+    """Postings, each partition's in runs in order of (term, chunk_id)."""
+    ship(postings.sparkSession)
+    most, sent = RUN_TOKENS, SENT_POSTINGS
+
+    def batches(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in _gathered(rows, "positions", most):
+            words = b.column("term").dictionary_encode()
+            order = np.lexsort((b.column("chunk_id").to_numpy(), _ranks(words)[words.indices.to_numpy()]))
+            yield from (b.take(pa.array(order[k : k + sent])) for k in range(0, len(order), sent))
+
+    return postings.select("term", "chunk_id", "tf", "n_tokens", "positions").mapInArrow(batches, POSTINGS)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, n_tokens, positions) from (id, text)."""
     t = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("text")).alias("t"))

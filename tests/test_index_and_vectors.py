@@ -129,6 +129,18 @@ def test_building_spills_nothing(spark, tmp_path, monkeypatch, spilled):
     assert ranking(*index.read(), "w3 OR y77 OR end") == rebuilt(spark, LONG, "w3 OR y77 OR end")
 
 
+def test_merging_spills_nothing(spark, tmp_path, spilled):
+    """Runs are put in order in memory when segments are merged too; short ones of a task become one."""
+    index = KeywordIndex(spark, str(tmp_path))
+    index.refresh(table(spark, LONG).coalesce(1))
+    index.apply(table(spark, [(i, f"fresh w3 of {i}") for i in range(300, 500)]).coalesce(1))
+    index.apply(deletes=table(spark, LONG[::3]))
+    want, before = ranking(*index.read()), spilled()
+    index.merge(most=1)
+    assert spilled() == before and ranking(*index.read()) == want
+    assert len(index.manifest()[1]["segments"]) == 1 and all(len(r) == 1 for r in runs(spark, index, tmp_path))
+
+
 def test_many_chunks_are_grouped_in_slices(spark, monkeypatch):
     monkeypatch.setattr(S, "GROUPED_CHUNKS", 3)
     rows = [(i, f"w{i % 4} x w{i % 4} ü") for i in range(40)]
