@@ -28,7 +28,7 @@ INDEX_ROW_GROUP = 4 << 20
 #: Chunks that are taken up at once in a Python worker, and postings that it hands back at once.
 GROUPED_CHUNKS, SENT_POSTINGS = 512, 50_000
 #: Postings are put in order in runs of about so many tokens, in a Python worker's memory: a task's size decides how many runs a file has, and nothing spills.
-RUN_TOKENS = 1 << 21
+RUN_TOKENS = 1 << 20
 POSTINGS = "term string, chunk_id long, tf long, n_tokens int, positions array<int>"
 
 
