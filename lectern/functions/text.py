@@ -32,7 +32,9 @@ def cleaned(c: Column) -> Column:
 
 def cleaned_text(s: str) -> str:
     """``cleaned`` for a Python string."""
-    return re.sub(r"[ \t]+\n|\n{3,}", "\n\n", s).strip(" \t\n\x0b\f\r")
+    if " \n" in s or "\t\n" in s or "\n\n\n" in s:
+        s = re.sub(r"[ \t]+\n|\n{3,}", "\n\n", s)
+    return s.strip(" \t\n\x0b\f\r")
 
 
 def collapsed(c: Column) -> Column:

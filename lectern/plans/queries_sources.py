@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import islice
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from .queries_text import _HTML, _TRIM
 from .registry import query
 
 
+#: Images of a batch, of 26 or 52 kB each.
+IMAGES = 128
+
+
 def scan_images(docs):
     """(path, page_no, image): every text on drawn pages; two full pages share an image, and images are turned in all four directions."""
 
@@ -23,10 +28,9 @@ def scan_images(docs):
 
         from lectern.functions import block_font
 
-        for b in batches:
-            for key, text in zip(b["doc_id"], b["text"]):
-                out = [(str(key), n, image) for n, image in enumerate(block_font.images(text or "", int(key)))]
-                yield pd.DataFrame(out, columns=["path", "page_no", "image"]).astype({"page_no": "int32"})
+        drawn = ((str(key), n, image) for b in batches for key, text in zip(b["doc_id"], b["text"]) for n, image in enumerate(block_font.images(text or "", int(key))))
+        while out := list(islice(drawn, IMAGES)):
+            yield pd.DataFrame(out, columns=["path", "page_no", "image"]).astype({"page_no": "int32"})
 
     return docs.select("doc_id", "text").mapInPandas(run, "path string, page_no int, image binary")
 
@@ -47,7 +51,7 @@ def oriented_scans(spark, sf_dir):
     from ..sources.scans import oriented
 
     ship(spark)
-    found = oriented(scan_images(table(spark, sf_dir, "documents")), block_font.read_image)
+    found = oriented(scan_images(table(spark, sf_dir, "documents")), block_font.read, arrays=True)
     return found.select(F.col("path").cast("long").alias("doc_id"), "page_no", "passes", F.sha2("text", 256).alias("text_sha"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,13 @@ ACCEPT = 0.40
 MOST_CANDIDATES = 2
 PARTS = "path string, page_no int, part int, text string, degrees int, error string"
 
-#: Reads the text of an upright graymap.
-Reader = Callable[[bytes], str]
+#: Reads the text of an upright graymap, or of its gray values where it runs in the worker itself.
+Reader = Callable[[bytes], str] | Callable[[np.ndarray], str]
 #: Says by how many degrees a page has to be turned, or None.
 Osd = Callable[[bytes], "int | None"]
 
 
-def arbitrated(img, reader: Reader, osd: Osd | None = None, accept: float = ACCEPT) -> tuple[str, int, str | None]:
+def arbitrated(img, reader: Callable[[np.ndarray], str], osd: Osd | None = None, accept: float = ACCEPT) -> tuple[str, int, str | None]:
     """(text, degrees, first error) of a part's best rotation; ties go to the one tried first.
 
     Characters that no text has count against a reading: prose in words nobody knows is still better than what a turned page reads like.
@@ -41,7 +42,7 @@ def arbitrated(img, reader: Reader, osd: Osd | None = None, accept: float = ACCE
     best, degrees, most, error = "", 0, -2.0, None
     for turn in (I.candidates(img) if sure is None else [int(sure)])[:MOST_CANDIDATES]:
         try:
-            text = cleaned_text(reader(I.write_pgm(I.rotated(img, turn))) or "")
+            text = cleaned_text(reader(I.rotated(img, turn)) or "")
         except Exception as e:  # the other rotations and parts go on
             error = error or f"{type(e).__name__}: {e}"
             continue
@@ -52,7 +53,7 @@ def arbitrated(img, reader: Reader, osd: Osd | None = None, accept: float = ACCE
     return best, degrees, error
 
 
-def _parts(image: bytes, reader: Reader, osd: Osd | None, accept: float) -> Iterator[tuple]:
+def _parts(image: bytes, reader: Callable[[np.ndarray], str], osd: Osd | None, accept: float) -> Iterator[tuple]:
     """(part, text, degrees, error): part 0 of a single page, or parts 1 and 2 of a double one; all three where a page shows a spine after it was turned."""
     img = I.read_pgm(bytes(image))
     pages = I.split(img)
@@ -66,13 +67,15 @@ def _parts(image: bytes, reader: Reader, osd: Osd | None, accept: float) -> Iter
                 yield k + 1, *arbitrated(p, reader, osd, accept)
 
 
-def _recognised(reader: Reader, osd: Osd | None, accept: float):
+def _recognised(reader: Reader, osd: Osd | None, accept: float, arrays: bool):
+    read = reader if arrays else lambda img: reader(I.write_pgm(img))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, number, image in zip(b["path"], b["page_no"], b["image"]):
                 try:
-                    for part in _parts(image, reader, osd, accept):
+                    for part in _parts(image, read, osd, accept):
                         out.append((path, number, *part))
                 except Exception as e:  # a broken image is a row with an error, and the other pages go on
                     out.append((path, number, 0, "", 0, f"{type(e).__name__}: {e}"))
@@ -82,16 +85,17 @@ def _recognised(reader: Reader, osd: Osd | None, accept: float):
     return run
 
 
-def oriented(images: DataFrame, reader: Reader, osd: Osd | None = None, accept: float = ACCEPT) -> DataFrame:
+def oriented(images: DataFrame, reader: Reader, osd: Osd | None = None, accept: float = ACCEPT, arrays: bool = False) -> DataFrame:
     """(path, page_no, text, passes, error): the text of each page image, halves of a double page in order with a blank line between.
 
-    ``images``: (path, page_no, image) as portable graymaps; rows of one page number of a file are one page.  ``passes`` counts the parts that
+    ``images``: (path, page_no, image) as portable graymaps or bitmaps; rows of one page number of a file are one page.  ``arrays``: the reader
+    takes gray values, which saves a copy of the turned image and its header.  ``passes`` counts the parts that
     gave a text.  Where both halves stood upside down, so did the double page, and its halves change places.  Halves that show only after turning replace the text of the whole page, unless neither gives any.
     """
     spark = images.sparkSession
     ship(spark)
     at = f"{shared_folder(spark)}/recognised-{uuid.uuid4().hex}"
-    images.select("path", F.col("page_no").cast("int").alias("page_no"), "image").mapInPandas(_recognised(reader, osd, accept), PARTS).write.parquet(at)
+    images.select("path", F.col("page_no").cast("int").alias("page_no"), "image").mapInPandas(_recognised(reader, osd, accept, arrays), PARTS).write.parquet(at)
     every = spark.read.schema(PARTS).parquet(at)
     found = F.array_sort(F.collect_list(F.struct("part", "text", "degrees")))
     d = every.groupBy("path", "page_no").agg(found.alias("p"), F.min("error").alias("error"))  # three parts at most

@@ -1,6 +1,7 @@
 """Recognition rounds over pages in any direction."""
 
 import random
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -58,6 +59,49 @@ def test_images_stay_in_their_tasks(spark):
     assert 0 < size() - before < len(image(TEXT[:1500]))
 
 
+def test_black_and_white_pages_travel_as_bitmaps(spark):
+    """An eighth of the graymaps; readers take graymaps or gray values."""
+    a, b = TEXT[:1500].strip("\n"), TEXT[37:1537]
+    both = [list(B.images(a.ljust(1500) + b, turn)) for turn in range(4)]
+    assert all(len(x) == 1 and len(x[0]) < 1 / 7 * len(I.write_pgm(I.read_pgm(x[0]))) for x in both)
+    assert all((I.read_pgm(x) == I.read_pgm(image(a.ljust(1500), b, turn=90 * t))).all() for t, (x,) in enumerate(both))
+    rows = [("two", t, x) for t, (x,) in enumerate(both)]
+    for got in (read_all(spark, rows), read_all(spark, rows, B.read, arrays=True)):
+        assert {(r["text"], r["passes"]) for r in got.values()} == {(f"{a.strip()}\n\n{b.strip()}", 2)}
+    with pytest.raises(ValueError, match="cut"):
+        I.read_pgm(both[0][0][:-1])
+
+
+def test_a_page_is_worked_in_arrays():
+    """Drawing, geometry and reading call no Python function for a character, a line or a lag: a few hundred calls a page, where it were thousands."""
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    text = TEXT[:1500]
+    Y.odd_share(text), Y.quality_of(text)  # tables and words known before
+    sys.setprofile(count)
+    try:
+        parts = [p for x in B.images(text, 1) for p in scans._parts(x, B.read, None, scans.ACCEPT)]
+    finally:
+        sys.setprofile(None)
+    assert [(p[1], p[2]) for p in parts] == [(text.strip(), 270)] and calls < 400
+
+
+@pytest.mark.parametrize("turn", [0, 90, 180, 270])
+def test_profiles_of_views(turn):
+    """Views that go backward in memory have the profiles of their copies, also beyond what a byte counts."""
+    img = np.random.default_rng(3).choice(np.array([0, 255], dtype=np.uint8), (700, 310))
+    img[40:, :5] = 0
+    view = I.rotated(img, turn)[3:, 2:]
+    rows, cols = I.profiles(view)
+    assert (rows == (view < I.INK).mean(axis=1)).all() and (cols == (view < I.INK).mean(axis=0)).all() and (I.columns(view) == cols).all()
+    page = I.rotated(I.rotated(np.ascontiguousarray(B.drawn("a\n漢😀 " * 200)), -turn).copy(), turn)
+    assert B.read(page) == "a\n漢😀 " * 200
+
+
 def test_blank_and_broken_pages(spark):
     got = read_all(spark, [("a", 1, image("")), ("a", 2, b"no image"), ("a", 3, None), ("b", 1, image(TEXT[:1500])), ("b", 1, image(TEXT[:1500]))])
     assert (got["a", 1]["text"], got["a", 1]["passes"], got["a", 1]["error"]) == ("", 0, None)
